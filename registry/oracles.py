@@ -1,5 +1,6 @@
 """All SQL counterparts by query name."""
 
+from registry.oracle_marts import ORACLES as MART_ORACLES
 from registry.oracle_questions import ORACLES as QUESTION_ORACLES
 
-ORACLES: dict[str, str] = {**QUESTION_ORACLES}
+ORACLES: dict[str, str] = {**QUESTION_ORACLES, **MART_ORACLES}

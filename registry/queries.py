@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketgrain.plans import marts
+
+from marketgrain.operators import quality, ranks
+from marketgrain.operators.keys import checked_join, first_per_key
+from marketgrain.plans import customer_value as value
+from marketgrain.plans import forecast, grains, insights, kpis, marts, recommend, views
+from marketgrain.plans.clean import clean_text, parse_dates
 from marketgrain.plans.marketplace import Marketplace
+from marketgrain.plans.order_level import delivery_slice
 from marketgrain.plans.questions import QUESTIONS
 from registry.portable import portable
 
@@ -28,3 +36,543 @@ def runnable(name: str) -> Callable[[SparkSession, str], DataFrame]:
         return portable(QUERIES[name](Marketplace.from_samples(spark, sf_dir)))
 
     return run
+
+
+# ---- data quality -------------------------------------------------------------------------------
+
+
+@named
+def key_findings(m):
+    return quality.key_findings(m.tables)
+
+
+@named
+def candidate_keys(m):
+    return quality.candidate_keys(m.tables)
+
+
+@named
+def join_multiplication(m):
+    t = m.tables
+    return quality.union_all(
+        [
+            quality.join_multiplication("orders to customers", t["orders"], t["customers"], ["customer_id"]),
+            quality.join_multiplication("items to products", t["order_items"], t["products"], ["product_id"]),
+            quality.join_multiplication("orders to items", t["orders"], t["order_items"], ["order_id"]),
+            quality.join_multiplication("orders to payments", t["orders"], t["payments"], ["order_id"]),
+        ]
+    )
+
+
+@named
+def checked_order_customers(m):
+    return checked_join(
+        m.tables["orders"].select("order_id", "customer_id"),
+        m.tables["customers"].select("customer_id", "customer_unique_id", "customer_state"),
+        "customer_id",
+        name="customers",
+    )
+
+
+@named
+def validation_report(m):
+    return quality.validation_report(m.tables).drop("expected_rows", "row_count_matches")
+
+
+@named
+def identity_report(m):
+    return quality.identity_report(m.tables)
+
+
+@named
+def grain_audit(m):
+    return quality.grain_audit(
+        m.tables,
+        m.orders("customers", "sums", "payments", "reviews"),
+        m.customer_features,
+        m.zip_summary,
+        m.items_per_order,
+        m.payments_per_order,
+    )
+
+
+@named
+def range_findings(m):
+    return quality.range_findings(m.tables)
+
+
+@named
+def foreign_key_findings(m):
+    return quality.foreign_key_findings(m.tables)
+
+
+@named
+def null_findings(m):
+    return quality.null_findings(m.tables)
+
+
+@named
+def column_profile(m):
+    return quality.column_profile(m.tables["orders"], "orders")
+
+
+@named
+def date_profile(m):
+    profile = quality.date_profile(m.tables["orders"], "orders")
+    return profile.unionByName(quality.date_profile(m.tables["order_items"], "order_items"))
+
+
+@named
+def numeric_profile(m):
+    profile = quality.numeric_profile(m.tables["order_items"], "order_items")
+    return profile.unionByName(quality.numeric_profile(m.tables["geolocation"], "geolocation"))
+
+
+@named
+def top_values(m):
+    return quality.top_values(m.tables["customers"], "customers").unionByName(
+        quality.top_values(m.tables["payments"], "payments")
+    )
+
+
+# ---- cleaning -----------------------------------------------------------------------------------
+
+
+@named
+def clean_text_columns(m):
+    padded = m.tables["customers"].select(
+        "customer_id", F.concat(F.lit(" \t"), "customer_city", F.lit("\n ")).alias("customer_city"), "customer_state"
+    )
+    return clean_text(padded)
+
+
+@named
+def parsed_dates(m):
+    """Review dates sent through text, with every seventh made unreadable."""
+    text = m.tables["reviews"].select(
+        "review_id",
+        F.when(F.col("review_id") % 7 == 0, "no date")
+        .otherwise(F.col("review_answer_timestamp").cast("string"))
+        .alias("review_answer_timestamp"),
+    )
+    return parse_dates("reviews", text)
+
+
+@named
+def clean_products(m):
+    return m.tables["products"].select("product_id", "product_category_name", "product_category", "product_weight_g")
+
+
+# ---- grains -------------------------------------------------------------------------------------
+
+
+@named
+def zip_summary(m):
+    return m.zip_summary
+
+
+@named
+def customers_geo(m):
+    return m.customers_geo
+
+
+@named
+def sellers_geo(m):
+    return m.sellers_geo
+
+
+@named
+def enriched_items(m):
+    return m.enriched_items
+
+
+@named
+def items_per_order(m):
+    return m.items_per_order
+
+
+@named
+def payments_per_order(m):
+    return m.payments_per_order
+
+
+@named
+def reviews_per_order(m):
+    return m.reviews_per_order
+
+
+@named
+def order_context(m):
+    return grains.order_context(m.enriched_items)
+
+
+@named
+def order_level(m):
+    return m.order_level
+
+
+@named
+def delivery_slice_table(m):
+    return delivery_slice(m.order_level)
+
+
+QUERIES["delivery_slice"] = QUERIES.pop("delivery_slice_table")
+
+
+@named
+def haversine_km(m):
+    """Distance per order between customer and main seller, longest first."""
+    return views.top_rows(m.order_level.select("order_id", "distance_km"), "distance_km", 200, "order_id")
+
+
+@named
+def first_per_key_items(m):
+    """The cheapest item of every seller."""
+    order = ["price", "order_id", "order_item_id", "product_id", "shipping_limit_date"]
+    return first_per_key(m.tables["order_items"], ["seller_id"], [F.asc(c) for c in order])
+
+
+QUERIES["first_per_key"] = QUERIES.pop("first_per_key_items")
+
+
+# ---- marts --------------------------------------------------------------------------------------
+
+
+@named
+def customer_features(m):
+    return m.customer_features
+
+
+@named
+def monthly_sales(m):
+    return marts.monthly_sales(m.orders("customers", "sums"))
+
+
+@named
+def category_summary(m):
+    return marts.category_summary(m.items, m.orders("reviews"))
+
+
+@named
+def seller_summary(m):
+    return marts.seller_summary(m.items, m.orders("customers", "reviews"))
+
+
+@named
+def cohort_retention(m):
+    return marts.cohort_retention(m.orders("customers"))
+
+
+@named
+def cohort_matrix(m):
+    return marts.cohort_matrix(marts.cohort_retention(m.orders("customers")), minimum_size=5)
+
+
+@named
+def state_sales(m):
+    return marts.state_sales(m.orders("customers", "sums"))
+
+
+@named
+def payment_summary(m):
+    return marts.payment_summary(m.orders("payments"))
+
+
+@named
+def customer_state_summary(m):
+    return marts.customer_state_summary(m.customer_features)
+
+
+@named
+def delivery_state_summary(m):
+    return marts.delivery_state_summary(m.orders("customers", "sums", "reviews"))
+
+
+@named
+def review_distribution(m):
+    return marts.review_distribution(m.orders("reviews"))
+
+
+@named
+def delay_review(m):
+    return marts.delay_review_summary(m.orders("reviews"))
+
+
+@named
+def orders_by_month(m):
+    return marts.orders_by_month(m.orders())
+
+
+@named
+def late_review_counts(m):
+    return marts.late_review_counts(m.orders("reviews"))
+
+
+@named
+def kpi_row(m):
+    orders = m.orders("customers", "sums", "reviews")
+    return kpis.kpi_row(orders, kpis.customer_repeats(orders))
+
+
+@named
+def customer_value(m):
+    tiers = value.customer_value(m.customer_features)
+    return tiers.select("customer_unique_id", "total_spend", "historical_customer_value", "value_tier")
+
+
+@named
+def spend_percent_rank(m):
+    return ranks.average_percent_rank(m.customer_features, "total_spend")
+
+
+@named
+def exact_quantiles(m):
+    """Quartiles and tails of the item price per seller state."""
+    return ranks.exact_quantiles(m.items, "price", [0.01, 0.25, 0.5, 0.75, 0.99], ["seller_state"])
+
+
+def _brands(m):
+    """Items under the product's brand instead of its category: brands are many, categories few."""
+    brands = m.tables["products"].select("product_id", F.col("product_brand").alias("product_category"))
+    return checked_join(m.tables["order_items"], brands, "product_id", name="products")
+
+
+@named
+def order_categories(m):
+    return recommend.order_categories(m.items, m.orders())
+
+
+@named
+def recommendations(m):
+    return recommend.recommendations(recommend.order_categories(_brands(m), m.orders()))
+
+
+@named
+def popularity(m):
+    return recommend.popularity(recommend.order_categories(_brands(m), m.orders()))
+
+
+@named
+def recommendations_for(m):
+    held = recommend.order_categories(_brands(m), m.orders())
+    return views.recommendations_for(recommend.recommendations(held), recommend.popularity(held), "Brand#3")
+
+
+# ---- findings -----------------------------------------------------------------------------------
+
+
+@named
+def business_insights(m):
+    orders = m.orders("customers", "sums", "payments", "reviews")
+    repeats = kpis.customer_repeats(orders)
+    monthly = forecast.mark_complete(marts.monthly_sales(orders))
+    return insights.business_insights(
+        kpis.kpi_row(orders, repeats),
+        orders,
+        repeats,
+        monthly.where("is_complete"),
+        marts.category_summary(m.items, orders),
+        marts.seller_summary(m.items, orders),
+        marts.state_sales(orders),
+        marts.payment_summary(orders),
+        marts.delay_review_summary(orders),
+    )
+
+
+QUERIES["insights"] = QUERIES.pop("business_insights")
+
+SLICE = {
+    "start": datetime.date(1996, 1, 1),
+    "end": datetime.date(1999, 12, 31),
+    "states": ["NATION_1", "NATION_4", "NATION_7", "NATION_11"],
+    "categories": ["Economy Line", "Promo", "Small Line"],
+}
+
+
+def _slice(m, *parts):
+    return views.slice_orders(m.orders("customers", "sums", "context", *parts), **SLICE)
+
+
+@named
+def order_slice(m):
+    return _slice(m).select(
+        "order_id", "order_purchase_timestamp", "customer_state", "product_category", "merchandise_revenue"
+    )
+
+
+@named
+def filtered_insights(m):
+    return insights.slice_insights(_slice(m, "payments", "reviews"))
+
+
+@named
+def filter_values(m):
+    return views.filter_values(m.orders("customers", "context"))
+
+
+@named
+def overview_measures(m):
+    return views.overview_measures(_slice(m))
+
+
+@named
+def overview_monthly(m):
+    return views.overview_monthly(_slice(m))
+
+
+@named
+def overview_categories(m):
+    return views.overview_categories(m.orders("sums", "context"))
+
+
+@named
+def overview_states(m):
+    return views.overview_states(m.orders("customers", "sums"))
+
+
+def _complete_monthly(m):
+    return forecast.mark_complete(marts.monthly_sales(m.orders("customers", "sums")))
+
+
+@named
+def sales_headline(m):
+    return views.sales_headline(_complete_monthly(m))
+
+
+@named
+def growth_months(m):
+    return views.growth_months(_complete_monthly(m))
+
+
+@named
+def sales_top_states(m):
+    return views.top_rows(marts.state_sales(m.orders("customers", "sums")), "merchandise_revenue", 12, "customer_state")
+
+
+@named
+def customer_headline(m):
+    return kpis.customer_headline(m.customer_features)
+
+
+@named
+def customer_top_states(m):
+    return views.top_rows(marts.customer_state_summary(m.customer_features), "customers", 15, "customer_state")
+
+
+@named
+def purchase_frequency(m):
+    return views.purchase_frequency(m.customer_features)
+
+
+@named
+def spend_histogram(m):
+    return views.histogram(m.customer_features, ["total_spend"])
+
+
+@named
+def recency_histogram(m):
+    return views.histogram(m.customer_features, ["recency"])
+
+
+@named
+def rfm_histogram(m):
+    buyers = m.customer_features.where(F.col("delivered_orders") > 0)
+    return views.histogram(buyers, ["recency", "frequency", "monetary"], bins=40)
+
+
+@named
+def rfm_base(m):
+    rfm = _rfm(m)
+    return rfm.select("*", *[F.log1p(F.col(c).cast("double")).alias(f"log_{c}") for c in ("recency", "frequency", "monetary")])
+
+
+def _rfm(m):
+    from marketgrain.ml.segmentation import rfm_base as base
+
+    return base(m.customer_features)
+
+
+@named
+def top_categories(m):
+    return views.top_rows(QUERIES["category_summary"](m), "merchandise_revenue", 10, "product_category")
+
+
+@named
+def top_sellers(m):
+    return views.top_rows(QUERIES["seller_summary"](m), "merchandise_revenue", 10, "seller_id", "seller_state")
+
+
+@named
+def product_headline(m):
+    return views.product_headline(QUERIES["category_summary"](m))
+
+
+@named
+def delivery_headline(m):
+    return views.delivery_headline(m.orders("sums", "reviews"))
+
+
+@named
+def slow_states(m):
+    return views.slow_states(QUERIES["delivery_state_summary"](m))
+
+
+@named
+def late_states(m):
+    return views.slow_states(QUERIES["delivery_state_summary"](m), "late_delivery_rate")
+
+
+@named
+def seller_scorecard(m):
+    return views.seller_scorecard(QUERIES["seller_summary"](m))
+
+
+# ---- forecasts ----------------------------------------------------------------------------------
+
+SERIES = "customer_state"
+# a state sees fewer orders a month than the whole marketplace
+SERIES_MINIMUM_ORDERS = 2
+
+
+def _series_months(m):
+    monthly = marts.monthly_sales(m.orders("customers", "sums"), SERIES)
+    return forecast.complete_months(monthly, SERIES, SERIES_MINIMUM_ORDERS)
+
+
+@named
+def complete_months(m):
+    whole = marts.monthly_sales(m.orders("customers", "sums")).withColumn(SERIES, F.lit("all"))
+    flagged = forecast.complete_months(whole, SERIES).unionByName(_series_months(m))
+    return flagged.select(SERIES, "purchase_period", "all_orders", "position", "is_complete", "cutoff")
+
+
+@named
+def forecast_validation(m):
+    months = forecast.split_months(_series_months(m), SERIES)
+    return forecast.naive_predictions(months, SERIES)
+
+
+@named
+def forecast_metrics(m):
+    months = forecast.split_months(_series_months(m), SERIES)
+    return forecast.forecast_metrics(forecast.naive_predictions(months, SERIES), [SERIES, "model"])
+
+
+@named
+def forecast_future(m):
+    return forecast.naive_future(forecast.split_months(_series_months(m), SERIES), SERIES)
+
+
+@named
+def trend_forecast(m):
+    trend = forecast.trend_predictions(forecast.split_months(_series_months(m), SERIES), SERIES)
+    return trend.withColumn("predicted", F.round("predicted", 1))
+
+
+@named
+def forecast_history(m):
+    history = forecast.forecast_history(
+        marts.monthly_sales(m.orders("customers", "sums"), SERIES), SERIES, SERIES_MINIMUM_ORDERS
+    )
+    rounded = {c: F.round(c, 1) for c in ("actual", "predicted", "future_forecast")}
+    return history.withColumns(rounded)
