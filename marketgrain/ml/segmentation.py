@@ -2,10 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketgrain.session import pin
+
 RFM = ("recency", "frequency", "monetary")
+CLUSTER_COUNTS = (2, 3, 4, 5, 6)
+RESTARTS, SAMPLE, SEED = 10, 12_000, 42
+UNSEGMENTED = "No Delivered Purchase"
+
+# Names from the lowest to the highest value score, by number of clusters.
+SEGMENT_NAMES = {
+    2: ["Low Engagement", "High Value"],
+    3: ["At Risk", "Regular", "Champions"],
+    4: ["Low Engagement", "At Risk", "Loyal", "Champions"],
+    5: ["Low Engagement", "At Risk", "Regular", "Loyal", "Champions"],
+    6: ["Dormant", "Low Engagement", "At Risk", "Regular", "Loyal", "Champions"],
+}
+
+# What a segment means and what to do about it.
+INTERPRETATIONS = {
+    "Champions": (
+        "Most recent, frequent, and valuable customers.",
+        "Protect loyalty with early access and recognition.",
+    ),
+    "High Value": (
+        "Customers with stronger frequency and spend than the broader base.",
+        "Prioritize loyalty offers and relevant cross-sell.",
+    ),
+    "Loyal": ("Repeat customers with consistent value.", "Use replenishment and category-affinity campaigns."),
+    "Regular": (
+        "Mid-value customers with ordinary purchase patterns.",
+        "Encourage a second or next purchase with targeted offers.",
+    ),
+    "At Risk": (
+        "Customers whose recency is weaker relative to their value.",
+        "Test selective re-engagement based on prior category.",
+    ),
+    "Low Engagement": (
+        "Mostly one-order customers with lower historical engagement.",
+        "Use low-cost onboarding and post-purchase journeys.",
+    ),
+    "Dormant": ("Long-recency, low-frequency customers.", "Limit spend and use measured win-back tests."),
+}
 
 
 def rfm_base(features: DataFrame) -> DataFrame:
@@ -13,3 +60,192 @@ def rfm_base(features: DataFrame) -> DataFrame:
     return features.where(F.col("delivered_orders") > 0).select(
         "customer_unique_id", *[F.greatest(F.col(c), F.lit(0)).alias(c) for c in RFM]
     )
+
+
+def segment_profiles(rfm: DataFrame) -> DataFrame:
+    """One row per ``cluster``: size, mean R/F/M, value score and segment name.
+
+    The score is -z(recency) + z(frequency) + z(monetary) over the clusters, with population
+    deviations; a constant measure contributes nothing.
+    """
+    profiles = rfm.groupBy("cluster").agg(
+        F.count("customer_unique_id").alias("customers"), *[F.avg(F.col(c).cast("double")).alias(c) for c in RFM]
+    )
+    # one row per cluster, at most six
+    all_rows = Window.partitionBy()
+
+    def z(name: str):
+        spread = F.stddev_pop(name).over(all_rows)
+        return (F.col(name) - F.avg(name).over(all_rows)) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)
+
+    scored = profiles.withColumn("value_score", -z("recency") + z("frequency") + z("monetary"))
+    place = F.row_number().over(Window.partitionBy().orderBy("value_score", "cluster"))
+    clusters = F.count(F.lit(1)).over(all_rows)
+    name = F.lit(None).cast("string")
+    for count, names in SEGMENT_NAMES.items():
+        listed = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("place"))
+        name = F.when(F.col("clusters") == count, listed).otherwise(name)
+    return (
+        scored.withColumn("place", place)
+        .withColumn("clusters", clusters)
+        .withColumn("segment", name)
+        .drop("place", "clusters")
+    )
+
+
+def interpretations(profiles: DataFrame) -> DataFrame:
+    """Behaviour and action per segment."""
+
+    def lookup(position: int, default: str):
+        text = F.lit(default)
+        for segment, parts in INTERPRETATIONS.items():
+            text = F.when(F.col("segment") == segment, parts[position]).otherwise(text)
+        return text
+
+    return profiles.select(
+        "segment",
+        lookup(0, "Observed RFM cluster.").alias("behaviour"),
+        lookup(1, "Validate messaging with controlled tests.").alias("action"),
+    )
+
+
+def _scaled(rfm: DataFrame) -> tuple[PipelineModel, DataFrame]:
+    logs = ", ".join(f"LN(1 + CAST(`{c}` AS DOUBLE)) AS `{c}__log`" for c in RFM)
+    assembler = VectorAssembler(inputCols=[f"{c}__log" for c in RFM], outputCol="logs")
+    logged = SQLTransformer(statement=f"SELECT *, {logs} FROM __THIS__")
+    vectors = assembler.transform(logged.transform(rfm))
+    scaler = StandardScaler(inputCol="logs", outputCol="features", withMean=True, withStd=True).fit(vectors)
+    model = PipelineModel(stages=[logged, assembler, scaler])
+    return model, scaler.transform(vectors).select("customer_unique_id", *RFM, "features")
+
+
+def best_kmeans(points: DataFrame, clusters: int, restarts: int = RESTARTS, seed: int = SEED) -> KMeansModel:
+    """The least inertia over ``restarts`` seeds."""
+    runs = [
+        KMeans(k=clusters, seed=seed + run, maxIter=300, featuresCol="features", predictionCol="cluster").fit(points)
+        for run in range(restarts)
+    ]
+    return min(runs, key=lambda model: model.summary.trainingCost)
+
+
+def sample_points(labelled: DataFrame, size: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """At most ``size`` customers in a fixed pseudo-random order."""
+    return labelled.orderBy(F.xxhash64(F.col("customer_unique_id").cast("string"), F.lit(seed)), "customer_unique_id").limit(size)
+
+
+def euclidean_silhouettes(sample: DataFrame, label_columns: Sequence[str]) -> DataFrame:
+    """Mean Euclidean silhouette per label column over a bounded sample.
+
+    The sample (at most ``SAMPLE`` rows of a few numbers) is sent to the tasks; each task measures its
+    share of the points against it and emits one number per point, never the pairs.
+    """
+    import numpy as np
+    import pandas as pd
+
+    labels = list(label_columns)
+    coordinates = vector_to_array("features")
+    flat = sample.select(*[coordinates[i].alias(f"x{i}") for i in range(len(RFM))], *labels)
+    everyone = flat.toPandas()
+    points = everyone[[f"x{i}" for i in range(len(RFM))]].to_numpy()
+    marks = {c: everyone[c].to_numpy() for c in labels}
+
+    def measure(batches):
+        for batch in batches:
+            own = batch[[f"x{i}" for i in range(points.shape[1])]].to_numpy()
+            rows = {c: np.zeros(len(own)) for c in labels}
+            for first in range(0, len(own), 256):
+                block = own[first : first + 256]
+                distance = np.sqrt(((block[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+                for column in labels:
+                    mine = batch[column].to_numpy()[first : first + 256]
+                    found = np.unique(marks[column])
+                    sums = np.column_stack([distance[:, marks[column] == v].sum(axis=1) for v in found])
+                    sizes = np.array([(marks[column] == v).sum() for v in found])
+                    home = np.searchsorted(found, mine)
+                    index = np.arange(len(block))
+                    inside = sums[index, home] / np.maximum(sizes[home] - 1, 1)
+                    others = sums / sizes
+                    others[index, home] = np.inf
+                    nearest = others.min(axis=1)
+                    width = (nearest - inside) / np.maximum(np.maximum(nearest, inside), 1e-300)
+                    rows[column][first : first + 256] = np.where((sizes[home] > 1) & np.isfinite(nearest), width, 0.0)
+            yield pd.DataFrame(rows)
+
+    schema = ", ".join(f"`{c}` double" for c in labels)
+    tasks = sample.sparkSession.sparkContext.defaultParallelism
+    return flat.repartition(tasks).mapInPandas(measure, schema).agg(*[F.avg(c).alias(c) for c in labels])
+
+
+@dataclass
+class SegmentationResult:
+    segments: DataFrame
+    profiles: DataFrame
+    metrics: DataFrame
+    model: PipelineModel
+    metadata: dict
+
+
+def train(
+    features: DataFrame,
+    cluster_counts: Sequence[int] = CLUSTER_COUNTS,
+    restarts: int = RESTARTS,
+    sample_size: int = SAMPLE,
+) -> SegmentationResult:
+    """K-Means on scaled logs; the number of clusters with the best silhouette, fewer on ties."""
+    features = pin(features)
+    scaling, vectors = _scaled(rfm_base(features))
+    points = pin(vectors).persist()
+    fitted = {k: best_kmeans(points, k, restarts) for k in cluster_counts}
+    labelled = points
+    for k, model in fitted.items():
+        labelled = model.copy({model.predictionCol: f"cluster_{k}"}).transform(labelled)
+    labelled = pin(labelled)
+    columns = [f"cluster_{k}" for k in cluster_counts]
+    widths = euclidean_silhouettes(sample_points(labelled, sample_size), columns).first()
+    points.unpersist()
+
+    # one row per number of clusters
+    chosen = min(cluster_counts, key=lambda k: (-widths[f"cluster_{k}"], k))
+    rows = [
+        ("KMeans", k, float(fitted[k].summary.trainingCost), float(widths[f"cluster_{k}"]), k == chosen)
+        for k in cluster_counts
+    ]
+    spark = features.sparkSession
+    metrics = spark.createDataFrame(
+        rows, "model string, clusters int, inertia double, silhouette double, selected boolean"
+    )
+    rfm = labelled.select("customer_unique_id", *RFM, F.col(f"cluster_{chosen}").alias("cluster"))
+    profiles = pin(segment_profiles(rfm))
+    label = F.lit(None).cast("string")
+    for row in profiles.select("cluster", "segment").collect():
+        label = F.when(F.col("cluster") == row["cluster"], row["segment"]).otherwise(label)
+    labels = rfm.select("customer_unique_id", "cluster", label.alias("segment"))
+    segments = features.join(labels, "customer_unique_id", "left").withColumn(
+        "segment", F.coalesce("segment", F.lit(UNSEGMENTED))
+    )
+    return SegmentationResult(
+        segments,
+        profiles,
+        metrics,
+        PipelineModel(stages=[*scaling.stages, fitted[chosen]]),
+        {
+            "selected_k": chosen,
+            "silhouette": float(widths[f"cluster_{chosen}"]),
+            "customers_segmented": labelled.count(),
+        },
+    )
+
+
+def largest_segment(profiles: DataFrame) -> DataFrame:
+    return profiles.orderBy(F.desc("customers"), "segment").limit(1).select("segment", "customers")
+
+
+def segment_counts(segments: DataFrame) -> DataFrame:
+    return segments.groupBy("segment").agg(F.count(F.lit(1)).alias("customers"))
+
+
+def segment_means(segments: DataFrame) -> DataFrame:
+    return segments.groupBy("segment").agg(
+        F.count_distinct("customer_unique_id").alias("customers"),
+        *[F.avg(F.col(c).cast("double")).alias(c) for c in RFM],
+    )

@@ -251,7 +251,7 @@ _SHARED = {
                         UNION ALL
                         SELECT customer_state, purchase_period, v, 'Linear Trend + Seasonality', predicted
                         FROM f_trend JOIN f_months USING (customer_state, purchase_period) WHERE phase = 'Validation'""",
-    "f_chosen": """SELECT customer_state, model FROM f_predictions GROUP BY ALL
+    "f_chosen": """SELECT customer_state, model FROM f_predictions GROUP BY customer_state, model
                    QUALIFY row_number() OVER (PARTITION BY customer_state ORDER BY AVG((actual - predicted) ** 2),
                      list_position(['Last Value Naive', 'Moving Average (3)', 'Seasonal Naive',
                                     'Linear Trend + Seasonality'], model)) = 1""",

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+from marketgrain import job
+from marketgrain.functions.scalars import risk_band
+from marketgrain.ml import delivery, retention, segmentation
+from marketgrain.ml import metrics as measures
 from marketgrain.operators import quality, ranks
 from marketgrain.operators.keys import checked_join, first_per_key
 from marketgrain.plans import customer_value as value
@@ -487,9 +491,7 @@ def rfm_base(m):
 
 
 def _rfm(m):
-    from marketgrain.ml.segmentation import rfm_base as base
-
-    return base(m.customer_features)
+    return segmentation.rfm_base(m.customer_features)
 
 
 @named
@@ -576,3 +578,141 @@ def forecast_history(m):
     )
     rounded = {c: F.round(c, 1) for c in ("actual", "predicted", "future_forecast")}
     return history.withColumns(rounded)
+
+
+# ---- models -------------------------------------------------------------------------------------
+
+
+def _lateness(m):
+    """Delivered orders with a probability that any engine can compute: a short promise is a risk."""
+    known = m.orders().where((F.col("order_status") == "delivered") & F.col("late_delivery").isNotNull())
+    probability = (F.lit(1300.0) - F.col("estimated_delivery_days") + F.col("purchase_month")) / 1300.0
+    return known.select(
+        "order_id", "order_purchase_timestamp", "late_delivery", probability.alias("late_delivery_probability")
+    )
+
+
+@named
+def delivery_training_set(m):
+    return delivery.training_set(m.order_level)
+
+
+@named
+def chronological_split(m):
+    return delivery.chronological_split(_lateness(m)).select("order_id", "order_purchase_timestamp", "evaluation_split")
+
+
+@named
+def prior_baseline(m):
+    return delivery.prior_baseline(delivery.chronological_split(_lateness(m)))
+
+
+@named
+def class_weights(m):
+    return measures.class_weights(_lateness(m), "late_delivery")
+
+
+@named
+def classification_metrics(m):
+    return measures.classification_metrics(_lateness(m), "late_delivery", "late_delivery_probability")
+
+
+@named
+def confusion_matrix(m):
+    matrix = measures.confusion_matrix(_lateness(m), "late_delivery", "late_delivery_probability")
+    return matrix.toDF("actual", "predicted_on_time", "predicted_late")
+
+
+@named
+def roc_curve(m):
+    curve = measures.roc_curve(_lateness(m), "late_delivery", "late_delivery_probability")
+    return curve.withColumn("threshold", F.when(F.col("threshold") < float("inf"), F.col("threshold")))
+
+
+@named
+def pr_curve(m):
+    return measures.pr_curve(_lateness(m), "late_delivery", "late_delivery_probability")
+
+
+@named
+def risk_bands(m):
+    band = risk_band(F.col("late_delivery_probability")).alias("risk_category")
+    return _lateness(m).groupBy(band).agg(F.count(F.lit(1)).alias("orders"))
+
+
+CUTOFF, HORIZON_END = datetime.datetime(2000, 12, 31), datetime.datetime(2001, 6, 30)
+
+
+@named
+def retention_dataset(m):
+    return retention.retention_dataset(m.orders("customers", "sums", "reviews"), CUTOFF, HORIZON_END)
+
+
+@named
+def retention_known_at_cutoff(m):
+    return retention.retention_dataset(m.orders("customers", "sums", "reviews"), CUTOFF, HORIZON_END, True)
+
+
+@named
+def retention_gate(m):
+    return retention.feasibility(QUERIES["retention_dataset"](m))
+
+
+@named
+def retention_scores(m):
+    """The gate is lowered to the size of the sample tables."""
+    return retention.train(m.orders("customers", "sums", "reviews"), CUTOFF, HORIZON_END, 5, 0.005, 5).predictions
+
+
+@named
+def segment_naming(m):
+    """Profiles and names for clusters that any engine can form."""
+    clusters = (F.col("customer_unique_id") % 4).cast("int").alias("cluster")
+    return segmentation.segment_profiles(_rfm(m).select("*", clusters))
+
+
+@named
+def segments(m):
+    result = segmentation.train(m.customer_features, restarts=2)
+    return result.segments.select("customer_unique_id", "recency", "frequency", "monetary", "cluster", "segment")
+
+
+@named
+def segment_summary(m):
+    return segmentation.train(m.customer_features, restarts=2).profiles
+
+
+# the sample tables are small, so are the forests trained on them
+SAMPLE_SETTINGS = delivery.Settings(forest_trees=20, forest_depth=8)
+
+
+@named
+def delivery_scores(m):
+    return delivery.train(m.order_level, SAMPLE_SETTINGS).predictions
+
+
+@named
+def feature_importance(m):
+    return delivery.readable_importance(delivery.train(m.order_level, SAMPLE_SETTINGS).importance)
+
+
+@named
+def model_metrics(m):
+    """Metrics of all model families in one table."""
+    return job.model_metrics(
+        delivery.train(m.order_level, SAMPLE_SETTINGS).metrics,
+        forecast.compare_models(
+            forecast.validation_predictions(
+                forecast.split_months(
+                    forecast.complete_months(
+                        marts.monthly_sales(m.orders("customers", "sums")).withColumn("series", F.lit("all")), "series"
+                    ),
+                    "series",
+                ),
+                "series",
+            ),
+            "series",
+        ).drop("series"),
+        segmentation.train(m.customer_features, restarts=2).metrics,
+        retention.train(m.orders("customers", "sums", "reviews"), CUTOFF, HORIZON_END, 5, 0.005, 5).metrics,
+    )
