@@ -90,7 +90,7 @@ def dashboard_tables(m: Marketplace, minimum_orders: int = forecast.MINIMUM_ORDE
             monthly.withColumn(SERIES, F.lit("all")), SERIES, minimum_orders
         ).drop(SERIES),
         "product_summary": lambda: marts.category_summary(items, orders),
-        "seller_summary": lambda: marts.seller_summary(items, orders),
+        "seller_summary": lambda: marts.seller_summary(items, orders, m.tables["sellers"]),
         "state_sales": lambda: marts.state_sales(orders),
         "customer_state_summary": lambda: marts.customer_state_summary(customers),
         "delivery_state_summary": lambda: marts.delivery_state_summary(orders),

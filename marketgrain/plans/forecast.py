@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketgrain.session import pin
+
 LAST_VALUE = "Last Value Naive"
 MOVING_AVERAGE = "Moving Average (3)"
 SEASONAL = "Seasonal Naive"
@@ -244,11 +246,15 @@ def future_predictions(months: DataFrame, series: str, horizon: int = HORIZON) -
 def forecast_history(
     monthly: DataFrame, series: str, minimum_orders: int = MINIMUM_ORDERS, horizon: int = HORIZON
 ) -> DataFrame:
-    """Training, validation, excluded and future rows of every series under its selected model."""
-    flagged = complete_months(monthly, series, minimum_orders)
+    """Training, validation, excluded and future rows of every series under its selected model.
+
+    The months are read many times below, so they are written once: the orders behind them are
+    summed a single time.
+    """
+    flagged = pin(complete_months(monthly, series, minimum_orders))
     months = split_months(flagged, series)
     predictions = validation_predictions(months, series)
-    chosen = compare_models(predictions, series).where("selected").select(series, "model")
+    chosen = pin(compare_models(predictions, series).where("selected").select(series, "model"))
     nothing, amount = F.lit(None).cast("double"), F.col("merchandise_revenue").cast("double").alias("actual")
     selected = predictions.join(chosen, [series, "model"]).select(series, "purchase_period", "predicted")
     history = (

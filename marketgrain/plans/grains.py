@@ -6,10 +6,10 @@ the rows is folded before it is shuffled, and its result is unique on the key by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from marketgrain.operators.keys import checked_join, first_per_key, not_null
+from marketgrain.operators.keys import checked_join, not_null
 from marketgrain.operators.ranks import exact_quantiles
 
 # The box of plausible coordinates, both ends included.
@@ -37,24 +37,19 @@ def zip_summary(geolocation: DataFrame) -> DataFrame:
     places = known.groupBy("geolocation_zip_code_prefix", "geolocation_state", "geolocation_city").agg(
         F.count(F.lit(1)).alias("seen")
     )
-    rows = places.groupBy("geolocation_zip_code_prefix").agg(F.sum("seen").alias("geolocation_source_rows"))
-    # the most frequent (state, city) pair, not two separate modes
-    usual = first_per_key(
-        places,
-        ["geolocation_zip_code_prefix"],
-        [F.desc("seen"), F.asc_nulls_last("geolocation_state"), F.asc_nulls_last("geolocation_city")],
-    ).drop("seen")
-    return (
-        rows.join(medians, "geolocation_zip_code_prefix", "left")
-        .join(usual, "geolocation_zip_code_prefix", "left")
-        .select(
-            "geolocation_zip_code_prefix",
-            "geolocation_lat",
-            "geolocation_lng",
-            "geolocation_source_rows",
-            "geolocation_state",
-            "geolocation_city",
-        )
+    state, city = F.col("geolocation_state"), F.col("geolocation_city")
+    # the most frequent (state, city) pair, not two separate modes; unknown names come last on ties
+    frequency = F.struct(-F.col("seen"), state.isNull(), state, city.isNull(), city)
+    summary = places.groupBy("geolocation_zip_code_prefix").agg(
+        F.sum("seen").alias("geolocation_source_rows"),
+        F.min_by(F.struct(state, city), frequency).alias("place"),
+    )
+    return summary.join(medians, "geolocation_zip_code_prefix", "left").select(
+        "geolocation_zip_code_prefix",
+        "geolocation_lat",
+        "geolocation_lng",
+        "geolocation_source_rows",
+        "place.*",
     )
 
 
@@ -78,44 +73,57 @@ def sellers_geo(sellers: DataFrame, zips: DataFrame) -> DataFrame:
     return _located(sellers, zips, "seller", "seller_zip")
 
 
-def enriched_items(order_items: DataFrame, products: DataFrame, sellers: DataFrame) -> DataFrame:
-    """Order items with category, weight and the seller's place; still one row per item.
-
-    ``sellers`` may come without coordinates when the caller does not need them.
-    """
+def categorised_items(order_items: DataFrame, products: DataFrame) -> DataFrame:
+    """Order items with category and weight; still one row per item."""
     product = products.select("product_id", "product_category", "product_weight_g")
-    seller_columns = ["seller_id", "seller_state", "seller_lat", "seller_lng"]
-    seller = sellers.select(*[c for c in seller_columns if c in sellers.columns])
     joined = checked_join(order_items, product, "product_id", name="products")
-    joined = checked_join(joined, seller, "seller_id", name="sellers")
     return joined.withColumn("product_category", F.coalesce("product_category", F.lit("Unknown")))
 
 
+def enriched_items(items: DataFrame, sellers: DataFrame) -> DataFrame:
+    """Categorised items with the seller's state and coordinates; still one row per item."""
+    seller = sellers.select("seller_id", "seller_state", "seller_lat", "seller_lng")
+    return checked_join(items, seller, "seller_id", name="sellers")
+
+
 def items_per_order(order_items: DataFrame) -> DataFrame:
-    return (
-        not_null(order_items, "order_id")
-        .groupBy("order_id")
-        .agg(
-            F.count(F.lit(1)).alias("item_count"),
-            F.count_distinct("product_id").alias("unique_product_count"),
-            F.count_distinct("seller_id").alias("unique_seller_count"),
-            F.coalesce(F.sum("price"), F.lit(0)).cast("decimal(22,2)").alias("merchandise_revenue"),
-            F.coalesce(F.sum("freight_value"), F.lit(0)).cast("decimal(22,2)").alias("total_freight_value"),
-        )
+    """Counts and sums per order.
+
+    Each distinct count folds its own (order, id) pairs and then counts rows: two narrow shuffles
+    instead of every row three times, and the last step of both is on ``order_id``, so the join of the
+    two moves nothing.
+    """
+    items = not_null(order_items, "order_id")
+    by_product = _sums(items.groupBy("order_id", "product_id"), F.col("price"), F.col("freight_value"))
+    by_order = by_product.groupBy("order_id").agg(
+        F.sum("item_count").alias("item_count"),
+        F.count("product_id").alias("unique_product_count"),
+        F.sum("merchandise_revenue").cast("decimal(22,2)").alias("merchandise_revenue"),
+        F.sum("total_freight_value").cast("decimal(22,2)").alias("total_freight_value"),
+    )
+    pairs = items.select("order_id", "seller_id").distinct()
+    sellers = pairs.groupBy("order_id").agg(F.count("seller_id").alias("unique_seller_count"))
+    return by_order.join(sellers, "order_id").select(
+        "order_id",
+        "item_count",
+        "unique_product_count",
+        "unique_seller_count",
+        "merchandise_revenue",
+        "total_freight_value",
+    )
+
+
+def _sums(grouped: GroupedData, price: Column, freight: Column) -> DataFrame:
+    return grouped.agg(
+        F.count(F.lit(1)).alias("item_count"),
+        F.coalesce(F.sum(price), F.lit(0)).cast("decimal(22,2)").alias("merchandise_revenue"),
+        F.coalesce(F.sum(freight), F.lit(0)).cast("decimal(22,2)").alias("total_freight_value"),
     )
 
 
 def order_sums(order_items: DataFrame) -> DataFrame:
     """``items_per_order`` without the distinct counts, for marts that need only the sums."""
-    return (
-        not_null(order_items, "order_id")
-        .groupBy("order_id")
-        .agg(
-            F.count(F.lit(1)).alias("item_count"),
-            F.coalesce(F.sum("price"), F.lit(0)).cast("decimal(22,2)").alias("merchandise_revenue"),
-            F.coalesce(F.sum("freight_value"), F.lit(0)).cast("decimal(22,2)").alias("total_freight_value"),
-        )
-    )
+    return _sums(not_null(order_items, "order_id").groupBy("order_id"), F.col("price"), F.col("freight_value"))
 
 
 def payments_per_order(payments: DataFrame) -> DataFrame:
@@ -161,10 +169,13 @@ def reviews_per_order(reviews: DataFrame) -> DataFrame:
     )
 
 
-def order_context(items: DataFrame) -> DataFrame:
-    """Category and seller place of the order's most valuable item, and the mean product weight."""
+def order_context(items: DataFrame, sellers: DataFrame) -> DataFrame:
+    """Category and seller place of the order's most valuable item, and the mean product weight.
+
+    ``items`` are categorised items. The seller is looked up for the one chosen item of an order, not
+    for every item. ``sellers`` may come without coordinates when the caller does not need them.
+    """
     line_value = F.col("price") + F.col("freight_value")
-    carried = [c for c in ("product_category", "seller_state", "seller_lat", "seller_lng") if c in items.columns]
     rank = F.struct(
         line_value.isNull(),
         -line_value,
@@ -174,12 +185,15 @@ def order_context(items: DataFrame) -> DataFrame:
         "seller_id",
         "shipping_limit_date",
     )
-    return (
+    chosen = (
         not_null(items, "order_id")
         .groupBy("order_id")
         .agg(
-            F.min_by(F.struct(*carried), rank).alias("primary_item"),
+            F.min_by(F.struct("product_category", "seller_id"), rank).alias("primary_item"),
             F.avg("product_weight_g").alias("average_product_weight_g"),
         )
         .select("order_id", "primary_item.*", "average_product_weight_g")
     )
+    place = [c for c in ("seller_state", "seller_lat", "seller_lng") if c in sellers.columns]
+    located = checked_join(chosen, sellers.select("seller_id", *place), "seller_id", name="sellers")
+    return located.select("order_id", "product_category", *place, "average_product_weight_g")

@@ -51,18 +51,15 @@ class Marketplace:
         return grains.sellers_geo(self.tables["sellers"], self.zip_summary)
 
     @cached_property
-    def enriched_items(self) -> DataFrame:
-        """Items with category, weight and seller place."""
+    def items(self) -> DataFrame:
+        """Order items with category and weight."""
         stored = self.published.get("seller_order_items")
-        return stored or grains.enriched_items(self.tables["order_items"], self.tables["products"], self.sellers_geo)
+        return stored or grains.categorised_items(self.tables["order_items"], self.tables["products"])
 
     @cached_property
-    def items(self) -> DataFrame:
-        """Enriched items without coordinates: what the marts read."""
-        stored = self.published.get("seller_order_items")
-        return stored or grains.enriched_items(
-            self.tables["order_items"], self.tables["products"], self.tables["sellers"]
-        )
+    def enriched_items(self) -> DataFrame:
+        """Items with the seller's place too."""
+        return self.published.get("seller_order_items") or grains.enriched_items(self.items, self.sellers_geo)
 
     @cached_property
     def items_per_order(self) -> DataFrame:
@@ -99,9 +96,17 @@ class Marketplace:
             items=items,
             payments=self.payments_per_order if "payments" in parts else None,
             reviews=self.reviews_per_order if "reviews" in parts else None,
-            context=grains.order_context(self.enriched_items if geo else self.items) if "context" in parts else None,
+            context=self._context(geo) if "context" in parts else None,
         )
 
+    def _context(self, geo: bool) -> DataFrame:
+        items = self.items.drop("seller_state", "seller_lat", "seller_lng")
+        return grains.order_context(items, self.sellers_geo if geo else self.tables["sellers"])
+
+    @cached_property
+    def order_context(self) -> DataFrame:
+        return self._context(geo=True)
+
     @cached_property
     def order_level(self) -> DataFrame:
         """All parts."""

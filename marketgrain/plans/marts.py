@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketgrain.functions.scalars import mean_money, month_distance, ratio, whole_days
-from marketgrain.operators.keys import not_null
+from marketgrain.operators.keys import checked_join, not_null
 from marketgrain.plans.order_level import delivered_orders
 
 def _is_delivered():
@@ -53,12 +53,15 @@ def customer_features(order_level: DataFrame, items: DataFrame) -> DataFrame:
             ],
         )
     )
+    # a product has one category, so distinct products are distinct rows
     variety = (
         items.select("order_id", "product_id", "product_category")
         .join(delivered_orders(order_level).select("order_id", "customer_unique_id"), "order_id")
+        .select("customer_unique_id", "product_id", "product_category")
+        .distinct()
         .groupBy("customer_unique_id")
         .agg(
-            F.count_distinct("product_id").alias("product_diversity"),
+            F.count("product_id").alias("product_diversity"),
             F.count_distinct("product_category").alias("category_diversity"),
         )
     )
@@ -134,21 +137,25 @@ def category_summary(items: DataFrame, order_level: DataFrame) -> DataFrame:
     return summary.withColumn("category_share", ratio(F.col("merchandise_revenue"), whole))
 
 
-def seller_summary(items: DataFrame, order_level: DataFrame) -> DataFrame:
-    """Two levels at seller-order grain; ``category_reach`` sums the distinct categories of each order."""
+def seller_summary(items: DataFrame, order_level: DataFrame, sellers: DataFrame) -> DataFrame:
+    """Two levels at seller-order grain; ``category_reach`` sums the distinct categories of each order.
+
+    A seller has one state, so the state joins the finished row per seller; sellers without a known
+    state are left out.
+    """
     outcome = delivered_orders(order_level).select(
         "order_id", "average_review_score", "delivery_days", "late_delivery", "customer_state"
     )
-    return (
-        not_null(items, "seller_id", "order_id", "seller_state")
-        .groupBy("order_id", "seller_id", "seller_state")
+    per_seller = (
+        not_null(items, "seller_id", "order_id")
+        .groupBy("order_id", "seller_id")
         .agg(
             F.count(F.lit(1)).alias("units"),
             _total("price").alias("revenue"),
             F.count_distinct("product_category").alias("categories"),
         )
         .join(outcome, "order_id")
-        .groupBy("seller_id", "seller_state")
+        .groupBy("seller_id")
         .agg(
             F.count("order_id").alias("orders"),
             _total("revenue").alias("merchandise_revenue"),
@@ -160,6 +167,10 @@ def seller_summary(items: DataFrame, order_level: DataFrame) -> DataFrame:
             F.count_distinct("customer_state").alias("geographic_reach"),
         )
     )
+    states = not_null(sellers.select("seller_id", "seller_state"), "seller_state")
+    return checked_join(per_seller, states, "seller_id", "inner", name="sellers").select(
+        "seller_id", "seller_state", *[c for c in per_seller.columns if c != "seller_id"]
+    )
 
 
 def active_months(order_level: DataFrame) -> DataFrame:

@@ -16,11 +16,12 @@ from marketgrain.ml import metrics as measures
 from marketgrain.operators import quality, ranks
 from marketgrain.operators.keys import checked_join, first_per_key
 from marketgrain.plans import customer_value as value
-from marketgrain.plans import forecast, grains, insights, kpis, marts, recommend, views
+from marketgrain.plans import forecast, insights, kpis, marts, recommend, views
 from marketgrain.plans.clean import clean_text, parse_dates
 from marketgrain.plans.marketplace import Marketplace
 from marketgrain.plans.order_level import delivery_slice
 from marketgrain.plans.questions import QUESTIONS
+from marketgrain.session import pin
 from registry.portable import portable
 
 Query = Callable[[Marketplace], DataFrame]
@@ -207,7 +208,7 @@ def reviews_per_order(m):
 
 @named
 def order_context(m):
-    return grains.order_context(m.enriched_items)
+    return m.order_context
 
 
 @named
@@ -259,7 +260,7 @@ def category_summary(m):
 
 @named
 def seller_summary(m):
-    return marts.seller_summary(m.items, m.orders("customers", "reviews"))
+    return marts.seller_summary(m.items, m.orders("customers", "reviews"), m.tables["sellers"])
 
 
 @named
@@ -332,7 +333,8 @@ def spend_percent_rank(m):
 @named
 def exact_quantiles(m):
     """Quartiles and tails of the item price per seller state."""
-    return ranks.exact_quantiles(m.items, "price", [0.01, 0.25, 0.5, 0.75, 0.99], ["seller_state"])
+    items = checked_join(m.tables["order_items"], m.tables["sellers"], "seller_id", name="sellers")
+    return ranks.exact_quantiles(items, "price", [0.01, 0.25, 0.5, 0.75, 0.99], ["seller_state"])
 
 
 def _brands(m):
@@ -367,7 +369,8 @@ def recommendations_for(m):
 
 @named
 def business_insights(m):
-    orders = m.orders("customers", "sums", "payments", "reviews")
+    # every finding reads the orders, so they are stored once as the job stores them
+    orders = pin(m.orders("customers", "sums", "payments", "reviews"))
     repeats = kpis.customer_repeats(orders)
     monthly = forecast.mark_complete(marts.monthly_sales(orders))
     return insights.business_insights(
@@ -376,7 +379,7 @@ def business_insights(m):
         repeats,
         monthly.where("is_complete"),
         marts.category_summary(m.items, orders),
-        marts.seller_summary(m.items, orders),
+        marts.seller_summary(m.items, orders, m.tables["sellers"]),
         marts.state_sales(orders),
         marts.payment_summary(orders),
         marts.delay_review_summary(orders),
