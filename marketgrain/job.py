@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -177,7 +178,7 @@ def run(spark: SparkSession, source: Marketplace, output: str, options: JobOptio
         writers.write_csv(published[name], f"{output}/csv", name)
 
     facts = spark.createDataFrame(
-        [(str(risk.metadata), str(segments.metadata), str(repeat.metadata))],
+        [tuple(json.dumps(part.metadata, default=str) for part in (risk, segments, repeat))],
         "delivery_risk string, segmentation string, retention string",
     )
     writers.write_report(
