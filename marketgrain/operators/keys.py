@@ -14,17 +14,14 @@ _POSITION = "__position"
 def unique_rows(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """``df`` itself, but the job fails when a key occurs twice.
 
-    The check is part of the plan: rows are folded per key on the way to the shuffle that a join on
-    the same key needs anyway, so it costs no extra pass and no separate action. Copies of a hot key
-    collapse before they are shuffled.
+    The number of repeated keys is a scalar subquery over the key columns alone, so it runs inside the
+    same job, copies of a hot key fold before the shuffle, and ``df`` reaches its join unchanged:
+    adaptive execution can still broadcast it or split a skewed partner.
     """
-    message = F.lit(f"{name} key {list(keys)} is not unique")
-    folded = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias(_COPIES),
-        *[F.any_value(column).alias(column) for column in df.columns if column not in keys],
-    )
-    single = F.when(F.col(_COPIES) == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
-    return folded.where(single).select(*df.columns)
+    copies = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_COPIES))
+    repeated = copies.where(F.col(_COPIES) > 1).agg(F.count(F.lit(1))).scalar()
+    failure = F.raise_error(F.lit(f"{name} key {list(keys)} is not unique")).cast("boolean")
+    return df.where(F.when(repeated == 0, F.lit(True)).otherwise(failure))
 
 
 def checked_join(

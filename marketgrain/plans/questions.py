@@ -28,10 +28,11 @@ def _order_revenue(t: Tables) -> DataFrame:
     """Price and freight per order that has items."""
     return t["order_items"].groupBy("order_id").agg(F.sum("price").alias("revenue"), F.sum("freight_value").alias("freight"))
 
-def _categorised(t: Tables, *columns: str | Column) -> DataFrame:
-    """Items of delivered orders with category."""
-    items = t["order_items"].select("order_id", "product_id", "price")
-    return items.join(_delivered(t, *columns), "order_id").join(_named(t), "product_id")
+def _category_orders(t: Tables, *columns: str | Column) -> DataFrame:
+    """Revenue per category and delivered order: an order meets its items once per category."""
+    items = t["order_items"].select("order_id", "product_id", "price").join(_named(t), "product_id")
+    folded = items.groupBy("order_id", "category").agg(F.sum("price").alias("revenue"))
+    return folded.join(_delivered(t, *columns), "order_id")
 
 def _people(t: Tables, *columns: str) -> DataFrame:
     return t["customers"].select("customer_id", *columns)
@@ -88,12 +89,12 @@ def q07(t: Tables) -> DataFrame:
 
 def q08(t: Tables) -> DataFrame:
     """Fifteen categories with the most delivered revenue."""
-    revenue = _categorised(t).groupBy("category").agg(F.sum("price").alias("merchandise_revenue"))
+    revenue = _category_orders(t).groupBy("category").agg(F.sum("revenue").alias("merchandise_revenue"))
     return revenue.orderBy(F.desc("merchandise_revenue"), "category").limit(15)
 
 def q09(t: Tables) -> DataFrame:
     """Fifteen categories in the most delivered orders."""
-    orders = _categorised(t).groupBy("category").agg(F.count_distinct("order_id").alias("orders"))
+    orders = _category_orders(t).groupBy("category").agg(F.count(F.lit(1)).alias("orders"))
     return orders.orderBy(F.desc("orders"), "category").limit(15)
 
 def _seller_orders(t: Tables) -> DataFrame:
@@ -233,7 +234,7 @@ def q25(t: Tables) -> DataFrame:
 
 def q26(t: Tables) -> DataFrame:
     """Category share and running share from the largest down; equal revenues share one running value."""
-    revenue = _categorised(t).groupBy("category").agg(F.sum("price").alias("revenue"))
+    revenue = _category_orders(t).groupBy("category").agg(F.sum("revenue").alias("revenue"))
     # one row per category
     whole = F.sum("revenue").over(Window.partitionBy())
     running = F.sum("revenue").over(
@@ -248,17 +249,26 @@ def q26(t: Tables) -> DataFrame:
 
 def q27(t: Tables) -> DataFrame:
     """Distinct products and categories per customer, delivered orders."""
-    bought = _categorised(t, "customer_id").join(_people(t, "customer_unique_id"), "customer_id")
+    buyers = _delivered(t, "customer_id").join(_people(t, "customer_unique_id"), "customer_id")
+    bought = (
+        t["order_items"]
+        .select("order_id", "product_id")
+        .join(buyers, "order_id")
+        .select("customer_unique_id", "product_id")
+        .distinct()
+        .join(_named(t), "product_id")
+    )
+    # a product has one category, so distinct products are distinct rows
     return bought.groupBy("customer_unique_id").agg(
-        F.count_distinct("product_id").alias("products"), F.count_distinct("category").alias("categories")
+        F.count(F.lit(1)).alias("products"), F.count_distinct("category").alias("categories")
     )
 
 def q28(t: Tables) -> DataFrame:
     """Category rank by revenue within each year."""
     yearly = (
-        _categorised(t, F.year("order_purchase_timestamp").alias("year"))
+        _category_orders(t, F.year("order_purchase_timestamp").alias("year"))
         .groupBy("year", "category")
-        .agg(F.sum("price").alias("revenue"))
+        .agg(F.sum("revenue").alias("revenue"))
     )
     rank = F.dense_rank().over(Window.partitionBy("year").orderBy(F.desc("revenue")))
     return yearly.withColumn("revenue_rank", rank).orderBy("year", "revenue_rank", "category")
