@@ -44,7 +44,9 @@ def month_start(moment: Column) -> Column:
 
 
 def micros_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end)
+    """Elapsed microseconds of zoneless times (``timestampdiff`` would read them in the session zone)."""
+    seconds = (end - start).cast("interval second").cast("decimal(20,6)")
+    return (seconds * 1_000_000).cast("bigint")
 
 
 def fractional_days(start: Column, end: Column) -> Column:

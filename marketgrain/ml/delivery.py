@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -153,7 +155,10 @@ def train(order_level: DataFrame, settings: Settings | None = None) -> DeliveryR
     weighted = measures.with_balance(prepared.where(F.col("evaluation_split") == "Training"), "late_delivery")
     test = prepared.where(F.col("evaluation_split") != "Training")
 
-    fitted = {name: e.fit(weighted) for name, e in _estimators(settings, summary["train_rows"]).items()}
+    estimators = _estimators(settings, summary["train_rows"])
+    with ThreadPool(len(estimators)) as pool:
+        fit = inheritable_thread_target(split.sparkSession)(lambda estimator: estimator.fit(weighted))
+        fitted = dict(zip(estimators, pool.map(fit, estimators.values())))
     scored = [
         prior_baseline(prepared).select(F.lit(BASELINE).alias("model"), "late_delivery", "late_delivery_probability")
     ] + [

@@ -49,7 +49,8 @@ def retention_dataset(
     With ``known_at_cutoff`` an outcome dated after the cutoff (a late flag, a review) counts as
     unknown; without it orders are cut by purchase time only.
     """
-    start, end = (F.lit(moment).cast("timestamp_ntz") for moment in (cutoff, horizon_end))
+    # through text, so that no session zone shifts the moment
+    start, end = (F.lit(str(moment)).cast("timestamp_ntz") for moment in (cutoff, horizon_end))
     bought = F.col("order_purchase_timestamp")
     sold = not_null(delivered_orders(order_level), "customer_unique_id")
     review, late = F.col("average_review_score"), F.col("late_delivery")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
@@ -17,6 +19,7 @@ from marketgrain.session import pin
 RFM = ("recency", "frequency", "monetary")
 CLUSTER_COUNTS = (2, 3, 4, 5, 6)
 RESTARTS, SAMPLE, SEED = 10, 12_000, 42
+PARALLEL_FITS = 8
 UNSEGMENTED = "No Delivered Purchase"
 
 # Names from the lowest to the highest value score, by number of clusters.
@@ -119,13 +122,32 @@ def _scaled(rfm: DataFrame) -> tuple[PipelineModel, DataFrame]:
     return model, scaler.transform(vectors).select("customer_unique_id", *RFM, "features")
 
 
-def best_kmeans(points: DataFrame, clusters: int, restarts: int = RESTARTS, seed: int = SEED) -> KMeansModel:
-    """The least inertia over ``restarts`` seeds."""
-    runs = [
-        KMeans(k=clusters, seed=seed + run, maxIter=300, featuresCol="features", predictionCol="cluster").fit(points)
-        for run in range(restarts)
-    ]
-    return min(runs, key=lambda model: model.summary.trainingCost)
+def best_kmeans(
+    points: DataFrame,
+    cluster_counts: Sequence[int],
+    restarts: int = RESTARTS,
+    seed: int = SEED,
+    parallelism: int = PARALLEL_FITS,
+) -> dict[int, KMeansModel]:
+    """Per number of clusters the fit with the least inertia over ``restarts`` seeds.
+
+    The fits share the stored points and are submitted side by side, since each is a chain of short jobs.
+    """
+
+    def fit(run: tuple[int, int]) -> tuple[int, KMeansModel]:
+        clusters, restart = run
+        estimator = KMeans(
+            k=clusters, seed=seed + restart, maxIter=300, featuresCol="features", predictionCol="cluster"
+        )
+        return clusters, estimator.fit(points)
+
+    runs = [(k, restart) for k in cluster_counts for restart in range(restarts)]
+    with ThreadPool(min(parallelism, len(runs))) as pool:
+        fitted = pool.map(inheritable_thread_target(points.sparkSession)(fit), runs)
+    return {
+        k: min((model for count, model in fitted if count == k), key=lambda model: model.summary.trainingCost)
+        for k in cluster_counts
+    }
 
 
 def sample_points(labelled: DataFrame, size: int = SAMPLE, seed: int = SEED) -> DataFrame:
@@ -195,7 +217,7 @@ def train(
     features = pin(features)
     scaling, vectors = _scaled(rfm_base(features))
     points = pin(vectors).persist()
-    fitted = {k: best_kmeans(points, k, restarts) for k in cluster_counts}
+    fitted = best_kmeans(points, cluster_counts, restarts)
     labelled = points
     for k, model in fitted.items():
         labelled = model.copy({model.predictionCol: f"cluster_{k}"}).transform(labelled)

@@ -32,12 +32,9 @@ def running_totals(
     """
     groups = list(groups)
     direction = F.desc if descending else F.asc
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = pin(
-        df.repartitionByRange(partitions, *[F.asc(g) for g in groups], *[direction(o) for o in order]).withColumn(
-            _RANGE, F.spark_partition_id()
-        )
-    )
+    # without a fixed number, adaptive execution merges small neighbouring ranges
+    ranges = df.repartitionByRange(*[F.asc(g) for g in groups], *[direction(o) for o in order])
+    ranged = pin(ranges.withColumn(_RANGE, F.spark_partition_id()))
     # one row per (group, range): at most groups + partitions rows, whatever the data size
     pieces = ranged.groupBy(*groups, _RANGE).agg(*[F.sum(w).alias(w) for w in weights])
     whole = Window.partitionBy(*groups)

@@ -676,13 +676,13 @@ def segment_naming(m):
 
 @named
 def segments(m):
-    result = segmentation.train(m.customer_features, restarts=2)
+    result = segmentation.train(m.customer_features)
     return result.segments.select("customer_unique_id", "recency", "frequency", "monetary", "cluster", "segment")
 
 
 @named
 def segment_summary(m):
-    return segmentation.train(m.customer_features, restarts=2).profiles
+    return segmentation.train(m.customer_features).profiles
 
 
 # the sample tables are small, so are the forests trained on them
@@ -716,6 +716,6 @@ def model_metrics(m):
             ),
             "series",
         ).drop("series"),
-        segmentation.train(m.customer_features, restarts=2).metrics,
+        segmentation.train(m.customer_features).metrics,
         retention.train(m.orders("customers", "sums", "reviews"), CUTOFF, HORIZON_END, 5, 0.005, 5).metrics,
     )

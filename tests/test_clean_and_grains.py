@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from marketgrain.functions.scalars import haversine_km, strip, title_case, whole_days
+from marketgrain.functions.scalars import fractional_days, haversine_km, strip, title_case, whole_days
 from marketgrain.plans import grains, marts
 from marketgrain.plans.clean import clean_products, clean_text, parse_dates
 from marketgrain.plans.order_level import build_order_level
@@ -30,6 +30,18 @@ def test_whole_days_floor(spark):
     assert frame.select(whole_days(F.col("b"), F.col("a"))).first()[0] == 0
 
 
+def test_elapsed_time_ignores_the_session_zone(spark):
+    # a clock change lies between the two times in this zone
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        frame = spark.createDataFrame([(day("2018-11-03"), day("2018-11-04"))], "a timestamp_ntz, b timestamp_ntz")
+        assert frame.select(fractional_days(F.col("a"), F.col("b"))).first()[0] == 1.0
+        assert frame.select(whole_days(F.col("a"), F.col("b"))).first()[0] == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_haversine(spark):
     frame = spark.createDataFrame([(0.0, 0.0, 0.0, 180.0), (None, 0.0, 1.0, 1.0)], "a double, b double, c double, d double")
     near, unknown = (r[0] for r in frame.select(haversine_km(*map(F.col, "abcd"))).collect())

@@ -7,6 +7,15 @@ from marketgrain.plans.customer_value import customer_value
 from marketgrain.sources.writers import with_row_keys
 
 
+@pytest.fixture(autouse=True, params=["one range", "many ranges"])
+def ranges(request, spark):
+    """Small tables fit one range; the second run keeps every range the partitioner made."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, str(request.param == "one range").lower())
+    yield
+    spark.conf.set(name, "true")
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """A third of all rows share one value and half of them one group."""
@@ -67,3 +76,9 @@ def test_row_keys_are_dense(skewed):
     got = with_row_keys(df, ["v", "id"]).toPandas().sort_values("row_key")
     assert got.row_key.tolist() == list(range(1, len(frame) + 1))
     assert got.id.tolist() == frame.sort_values(["v", "id"]).id.tolist()
+
+
+def test_the_second_run_has_many_ranges(spark, skewed):
+    frame, df = skewed
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    assert df.repartitionByRange("v", "id").rdd.getNumPartitions() > 1
