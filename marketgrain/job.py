@@ -193,7 +193,7 @@ def run(spark: SparkSession, source: Marketplace, output: str, options: JobOptio
             },
         ),
         reports,
-        "pipeline_results",
+        "run_results",
     )
     if options.jdbc_url:
         writers.load_relational(m.tables, options.jdbc_url, options.jdbc_properties)

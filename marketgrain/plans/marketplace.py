@@ -15,6 +15,7 @@ from marketgrain.plans import grains, marts
 from marketgrain.plans.clean import clean_tables, with_categories
 from marketgrain.plans.order_level import build_order_level
 from marketgrain.sources.sample_views import sample_tables
+from marketgrain.sources.schemas import RELATIONAL_NAMES
 
 PARTS = ("customers", "items", "payments", "reviews", "context", "geo")
 
@@ -38,6 +39,12 @@ class Marketplace:
     def with_published(self, **published: DataFrame) -> Marketplace:
         return Marketplace(self.tables, {**self.published, **published})
 
+    def register_views(self) -> list[str]:
+        """The source tables as temporary views under their relational names, for ``spark.sql``."""
+        for table, view in RELATIONAL_NAMES.items():
+            self.tables[table].createOrReplaceTempView(view)
+        return list(RELATIONAL_NAMES.values())
+
     @cached_property
     def zip_summary(self) -> DataFrame:
         return self.published.get("geolocation_zip_summary") or grains.zip_summary(self.tables["geolocation"])

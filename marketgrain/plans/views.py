@@ -155,12 +155,18 @@ def purchase_frequency(features: DataFrame, rows: int = 8) -> DataFrame:
     return counted.orderBy("orders").limit(rows)
 
 
-def histogram(df: DataFrame, columns: Sequence[str], bins: int = 45, cap: float | None = 0.99) -> DataFrame:
+def histogram(
+    df: DataFrame, columns: Sequence[str], bins: int = 45, cap: float | None = 0.99, by: str | None = None
+) -> DataFrame:
     """Rows (measure, bin, lower, upper, rows) with equal bins from the minimum to the ``cap`` quantile.
 
-    Values above the cap count in the last bin. Only occupied bins are listed.
+    Values above the cap count in the last bin. Only occupied bins are listed. With ``by`` each bin is
+    split by that column.
     """
-    long = _long(df, columns)
+    groups = [by] if by else []
+    values: list[Column] = [F.col(c).cast("double").alias(c) for c in columns]
+    long = df.select(*groups, *values).unpivot(groups, list(columns), "measure", "value")
+    long = long.where(F.col("value").isNotNull())
     bounds = long.groupBy("measure").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     if cap is not None:
         caps = exact_quantiles(long, "value", [cap], ["measure"]).select("measure", F.col("quantile").alias("cap"))
@@ -171,9 +177,10 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 45, cap: float
     return (
         # one row of bounds per measure: the caller's list of columns
         long.join(F.broadcast(bounds), "measure")
-        .groupBy("measure", position.alias("bin"), "low", "high")
+        .groupBy(*groups, "measure", position.alias("bin"), "low", "high")
         .agg(F.count(F.lit(1)).alias("rows"))
         .select(
+            *groups,
             "measure",
             "bin",
             (F.col("low") + width * F.col("bin")).alias("lower"),
@@ -183,11 +190,15 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 45, cap: float
     )
 
 
-def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    values: list[Column] = [F.col(c).cast("double").alias(c) for c in columns]
-    return df.select(*values).unpivot([], list(columns), "measure", "value").where(F.col("value").isNotNull())
-
-
-def measure_counts(df: DataFrame, key: str) -> DataFrame:
-    """Rows per value of ``key``."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+def forecast_lines(history: DataFrame, series: str) -> DataFrame:
+    """(series, line, purchase_period, value): actual, predicted, future and excluded months as chart lines."""
+    excluded = F.col("split") == "Excluded Partial"
+    lines = {
+        "Actual": F.when(~excluded, F.col("actual")),
+        "Predicted": F.col("predicted"),
+        "Future Forecast": F.col("future_forecast"),
+        "Excluded Partial": F.when(excluded, F.col("actual")),
+    }
+    wide = history.select(series, "purchase_period", *[value.alias(name) for name, value in lines.items()])
+    long = wide.unpivot([series, "purchase_period"], list(lines), "line", "value")
+    return long.where(F.col("value").isNotNull())

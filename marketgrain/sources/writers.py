@@ -8,20 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketgrain.operators.ranks import running_totals
-from marketgrain.sources.schemas import REQUIRED_COLUMNS
-
-# Names of the relational tables.
-RELATIONAL_NAMES = {
-    "customers": "customers",
-    "orders": "orders",
-    "order_items": "order_items",
-    "payments": "order_payments",
-    "reviews": "order_reviews",
-    "products": "products",
-    "sellers": "sellers",
-    "geolocation": "geolocation",
-    "category_translation": "product_category_translation",
-}
+from marketgrain.sources.schemas import RELATIONAL_NAMES, REQUIRED_COLUMNS
+
 BATCH_ROWS = 10_000
 
 

@@ -255,6 +255,21 @@ _SHARED = {
                    QUALIFY row_number() OVER (PARTITION BY customer_state ORDER BY AVG((actual - predicted) ** 2),
                      list_position(['Last Value Naive', 'Moving Average (3)', 'Seasonal Naive',
                                     'Linear Trend + Seasonality'], model)) = 1""",
+    "f_history": """SELECT m.customer_state, m.purchase_period, m.v AS actual, p.predicted, CAST(NULL AS DOUBLE) AS future_forecast, m.split
+             FROM f_months m LEFT JOIN (SELECT * FROM f_predictions JOIN f_chosen USING (customer_state, model)) p
+               ON p.customer_state = m.customer_state AND p.purchase_period = m.purchase_period
+             UNION ALL
+             SELECT customer_state, purchase_period, CAST(merchandise_revenue AS DOUBLE), CAST(NULL AS DOUBLE),
+                    CAST(NULL AS DOUBLE), 'Excluded Partial'
+             FROM f_states WHERE NOT is_complete
+             UNION ALL
+             SELECT customer_state, purchase_period, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), predicted,
+                    'Future Forecast'
+             FROM (SELECT customer_state, purchase_period, model, predicted FROM f_future
+                   UNION ALL
+                   SELECT customer_state, purchase_period, 'Linear Trend + Seasonality', predicted
+                   FROM f_trend WHERE phase = 'Future')
+             JOIN f_chosen USING (customer_state, model)""",
     "r_held": """SELECT DISTINCT order_id, product_brand AS category
                  FROM v_items WHERE order_id IN (SELECT order_id FROM v_delivered)""",
     "r_orders": "SELECT category, COUNT(*) AS orders FROM r_held GROUP BY category",
@@ -401,7 +416,7 @@ _MARTS = {
         ),
     ),
     # ---- cleaning
-    "clean_text_columns": (
+    "clean_text": (
         "customer_id:l customer_city:s customer_state:s",
         "SELECT * FROM c_customers",
     ),
@@ -792,23 +807,21 @@ _MARTS = {
         "customer_state:s phase:s step:l predicted:d",
         "SELECT customer_state, phase, step, round(predicted, 1) AS predicted FROM f_trend",
     ),
+    "forecast_lines": (
+        "customer_state:s line:s purchase_period:t value:d",
+        """SELECT customer_state, 'Actual' AS line, purchase_period, round(actual, 1) AS value
+           FROM f_history WHERE actual IS NOT NULL AND split <> 'Excluded Partial'
+           UNION ALL SELECT customer_state, 'Predicted', purchase_period, round(predicted, 1)
+           FROM f_history WHERE predicted IS NOT NULL
+           UNION ALL SELECT customer_state, 'Future Forecast', purchase_period, round(future_forecast, 1)
+           FROM f_history WHERE future_forecast IS NOT NULL
+           UNION ALL SELECT customer_state, 'Excluded Partial', purchase_period, round(actual, 1)
+           FROM f_history WHERE split = 'Excluded Partial'""",
+    ),
     "forecast_history": (
         "customer_state:s purchase_period:t actual:d predicted:d future_forecast:d split:s",
         """SELECT customer_state, purchase_period, round(actual, 1) AS actual, round(predicted, 1) AS predicted,
-                  round(future_forecast, 1) AS future_forecast, split FROM (
-             SELECT m.customer_state, m.purchase_period, m.v AS actual, p.predicted, NULL AS future_forecast, m.split
-             FROM f_months m LEFT JOIN (SELECT * FROM f_predictions JOIN f_chosen USING (customer_state, model)) p
-               ON p.customer_state = m.customer_state AND p.purchase_period = m.purchase_period
-             UNION ALL
-             SELECT customer_state, purchase_period, CAST(merchandise_revenue AS DOUBLE), NULL, NULL, 'Excluded Partial'
-             FROM f_states WHERE NOT is_complete
-             UNION ALL
-             SELECT customer_state, purchase_period, NULL, NULL, predicted, 'Future Forecast'
-             FROM (SELECT customer_state, purchase_period, model, predicted FROM f_future
-                   UNION ALL
-                   SELECT customer_state, purchase_period, 'Linear Trend + Seasonality', predicted
-                   FROM f_trend WHERE phase = 'Future')
-             JOIN f_chosen USING (customer_state, model))""",
+                  round(future_forecast, 1) AS future_forecast, split FROM f_history""",
     ),
 }
 

@@ -109,6 +109,16 @@ _MODELS = {
         """SELECT CASE WHEN p <= 0.25 THEN 'Low' WHEN p <= 0.5 THEN 'Medium' ELSE 'High' END AS risk_category,
                   COUNT(*) AS orders FROM l_orders GROUP BY 1""",
     ),
+    "risk_histogram": (
+        "risk_category:s measure:s bin:l lower:d upper:d rows:l",
+        """SELECT band AS risk_category, 'late_delivery_probability' AS measure, bin,
+                  low + (high - low) / 40 * bin AS lower, low + (high - low) / 40 * (bin + 1) AS upper,
+                  COUNT(*) AS rows
+           FROM (SELECT CASE WHEN p <= 0.25 THEN 'Low' WHEN p <= 0.5 THEN 'Medium' ELSE 'High' END AS band, low, high,
+                        LEAST(floor((p - low) / ((high - low) / 40)), 39) AS bin
+                 FROM l_orders, (SELECT MIN(p) AS low, MAX(p) AS high FROM l_orders))
+           GROUP BY ALL""",
+    ),
     "retention_dataset": (_RETENTION_SPEC, "SELECT * FROM r_plain"),
     "retention_known_at_cutoff": (_RETENTION_SPEC, "SELECT * FROM r_known"),
     "retention_gate": (

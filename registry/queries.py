@@ -144,13 +144,16 @@ def top_values(m):
 
 
 @named
-def clean_text_columns(m):
+def clean_text_table(m):
     padded = m.tables["customers"].select(
         "customer_id", F.concat(F.lit(" \t"), "customer_city", F.lit("\n ")).alias("customer_city"), "customer_state"
     )
     return clean_text(padded)
 
 
+QUERIES["clean_text"] = QUERIES.pop("clean_text_table")
+
+
 @named
 def parsed_dates(m):
     """Review dates sent through text, with every seventh made unreadable."""
@@ -574,11 +577,19 @@ def trend_forecast(m):
     return trend.withColumn("predicted", F.round("predicted", 1))
 
 
+def _history(m):
+    monthly = marts.monthly_sales(m.orders("customers", "sums"), SERIES)
+    return forecast.forecast_history(monthly, SERIES, SERIES_MINIMUM_ORDERS)
+
+
+@named
+def forecast_lines(m):
+    return views.forecast_lines(_history(m), SERIES).withColumn("value", F.round("value", 1))
+
+
 @named
 def forecast_history(m):
-    history = forecast.forecast_history(
-        marts.monthly_sales(m.orders("customers", "sums"), SERIES), SERIES, SERIES_MINIMUM_ORDERS
-    )
+    history = _history(m)
     rounded = {c: F.round(c, 1) for c in ("actual", "predicted", "future_forecast")}
     return history.withColumns(rounded)
 
@@ -643,6 +654,12 @@ def risk_bands(m):
     return _lateness(m).groupBy(band).agg(F.count(F.lit(1)).alias("orders"))
 
 
+@named
+def risk_histogram(m):
+    banded = _lateness(m).withColumn("risk_category", risk_band(F.col("late_delivery_probability")))
+    return views.histogram(banded, ["late_delivery_probability"], bins=40, cap=None, by="risk_category")
+
+
 CUTOFF, HORIZON_END = datetime.datetime(2000, 12, 31), datetime.datetime(2001, 6, 30)
 
 

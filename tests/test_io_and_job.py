@@ -7,7 +7,7 @@ from marketgrain import job
 from marketgrain.ml import delivery
 from marketgrain.plans.marketplace import Marketplace
 from marketgrain.sources import readers, writers
-from marketgrain.sources.schemas import DATE_COLUMNS, REQUIRED_COLUMNS, SCHEMAS
+from marketgrain.sources.schemas import DATE_COLUMNS, RELATIONAL_NAMES, REQUIRED_COLUMNS, SCHEMAS
 
 FILES = {
     "customers": 'k1,u1,1000,"são paulo ",SP\nk2,u2,2000,rio,RJ\n',
@@ -90,10 +90,37 @@ def test_a_long_table_does_not_go_into_a_report(spark):
 
 def test_relational_projection(spark, source):
     tables = writers.relational_tables(readers.read_sources(spark, str(source)))
-    assert set(tables) == set(writers.RELATIONAL_NAMES.values())
+    assert set(tables) == set(RELATIONAL_NAMES.values())
     assert tables["order_payments"].columns == REQUIRED_COLUMNS["payments"]
 
 
+def test_sql_over_registered_views(spark, small):
+    assert "order_reviews" in small.register_views()
+    text = "SELECT payment_type, count(*) AS payment_records FROM order_payments GROUP BY payment_type"
+    from marketgrain.plans.questions import QUESTIONS
+
+    assert spark.sql(text).exceptAll(QUESTIONS["q15"](small.tables).drop("amount_paid")).count() == 0
+
+
+def test_export_writes_every_row(spark, small, tmp_path):
+    path = str(tmp_path / "export")
+    orders = small.orders("sums").select("order_id", "merchandise_revenue")
+    writers.export_csv(orders, path)
+    assert spark.read.csv(path, header=True).count() == orders.count()
+
+
+def test_popularity_stands_in_for_missing_recommendations(spark):
+    from marketgrain.plans.views import recommendations_for
+
+    schema = "source_category string, recommended_category string, co_purchase_orders long, recommendation_strength double"
+    popular = spark.createDataFrame([("Art", 5), ("Toys", 3)], "product_category string, orders long")
+    none = recommendations_for(spark.createDataFrame([], schema), popular, "Art")
+    assert {r["recommended_category"] for r in none.collect()} == {"Art", "Toys"}
+    some = spark.createDataFrame([("Toys", "Art", 2, 0.5)], schema)
+    assert recommendations_for(some, popular, "Art").count() == 0
+    assert recommendations_for(some, popular, "Toys").first()["recommended_category"] == "Art"
+
+
 def test_whole_job(spark, small, tmp_path):
     output = str(tmp_path)
     options = job.JobOptions(
@@ -112,7 +139,7 @@ def test_whole_job(spark, small, tmp_path):
     assert modules == {"Delivery Risk", "Forecasting", "Segmentation", "Retention"}
     assert job.module_metrics(published["model_metrics"], "Forecasting", selected_only=True).count() == 1
     assert "is_complete" in published["monthly_sales"].columns
-    report = readers.read_report(spark, f"{output}/reports", "pipeline_results").first()
+    report = readers.read_report(spark, f"{output}/reports", "run_results").first()
     assert report["kpis"]["total_delivered_orders"] > 0 and len(report["validation"]["tables"]) == 9
     for name in ("delivery_predictions", "customer_segments", "forecast_history", "category_recommendations"):
         assert readers.path_exists(spark, f"{output}/dashboard/{name}")

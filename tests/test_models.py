@@ -213,6 +213,10 @@ def test_segments_separate_planted_groups(spark):
     bought = segments[segments.delivered_orders > 0]
     assert (bought[bought.monetary > 500].segment == "High Value").all()
     assert (bought[bought.monetary < 500].segment == "Low Engagement").all()
+    counts = {r["segment"]: r["customers"] for r in segmentation.segment_counts(result.segments).collect()}
+    assert sum(counts.values()) == 300 and counts[segmentation.UNSEGMENTED] == 30
+    means = {r["segment"]: r["monetary"] for r in segmentation.segment_means(result.segments).collect()}
+    assert means["High Value"] > means["Low Engagement"]
     assert segmentation.largest_segment(result.profiles).first()["segment"] == "Low Engagement"
     assert {r["segment"] for r in segmentation.interpretations(result.profiles).collect()} == {"High Value", "Low Engagement"}
 
