@@ -46,7 +46,7 @@ def _decontamination() -> str:
             f"SELECT d.doc_id, d.i, t.item_id, t.i AS j, t.n, d.w AS dw, t.w AS tw FROM (SELECT *, {key} AS k FROM dwin) d "
             f"JOIN (SELECT *, {key} AS k FROM twin) t USING (k)"
         )
-    equal = "len(list_filter(range(1, 14), p -> dw[p] = tw[p]))"
+    equal = "len(list_filter(range(1, 14), lambda p: dw[p] = tw[p]))"
     return f"""
 WITH dwin AS ({windows("doc_id", "documents")}), twin AS ({windows("item_id", "benchmark")}),
 hit AS (SELECT DISTINCT doc_id, i, item_id, j, n, dw, tw FROM ({" UNION ALL ".join(masks)}) WHERE {equal} >= 11),
@@ -74,7 +74,7 @@ def _quality() -> str:
     return rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^ \t\n\v\f\r]')) AS lines
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\v\f\r]')) AS lines
   FROM documents),
 win AS (
   SELECT doc_id, i, array_to_string(list_slice(words, i, i + 2), ' ') AS k
