@@ -125,14 +125,16 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ..
     for step in _STEPS:
         judged = judged.withColumns({name: F.expr(text) for name, text in step.items()})
     judged = judged.withColumn("base_failed", _broken(base))
-    judged = judged.withColumn("kept", ~F.col("base_failed") & ~_broken(rules))
+    # an expression that is not deterministic keeps filters on the verdict above the figures; pushed below them, the
+    # optimizer would repeat every figure inside the condition
+    verdict = ~F.col("base_failed") & ~_broken(rules) & (F.spark_partition_id() >= 0)
+    judged = judged.withColumn("kept", verdict)
     return judged.select(*[F.col(f"`{c}`") for c in through], *FIGURES, "base_failed", "kept")
 
 
 def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that break no rule, with the columns of ``docs``."""
-    # an expression that is not deterministic keeps the filter above the figures; pushed below them, the optimizer
-    # would repeat every figure inside the condition
-    verdict = F.col("kept") & (F.spark_partition_id() >= 0)
-    judged = judge(docs, rules).withColumn("qr_verdict", verdict)
-    return judged.where("qr_verdict").select(*[F.col(f"`{c}`") for c in docs.columns])
+    other = [c for c in docs.columns if c != "text"]
+    judged = judge(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in other]).alias("qr_other")), rules)
+    given = [F.col("text") if c == "text" else F.col(f"qr_other.`{c}`").alias(c) for c in docs.columns]
+    return judged.where("kept").select(*given)
