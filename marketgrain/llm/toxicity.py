@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from marketgrain.llm.common import by_bytes, ranges, word_table
 
 BITS = 18
-SAMPLE_DOCS = 6000
-SAMPLE_BYTES = 24 << 20
+SAMPLE_DOCS = 4000
+SAMPLE_BYTES = 8 << 20
 #: Times more often in toxic documents than in clean ones, and the least log-likelihood ratio, of a toxic word.
 LEAST_RATIO = 8.0
 LEAST_EVIDENCE = 25.0
