@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketgrain.llm.common import stored
 from marketgrain.llm.tokens import encoding
 
 BLOCK = 256
@@ -50,6 +51,7 @@ def limit_table(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
     the tokens of the latter, ``tokens_kept`` what is left of all documents cut at the limit and
     ``tokens_lost`` the rest; ``share_within`` is the quantile of the limit.
     """
+    histogram = stored(histogram, "lengths")  # read twice below; the texts are encoded once
     blocked = histogram.withColumn("block", F.floor(F.col("n_tokens") / F.lit(block)))
     sums = [F.sum("n_docs").alias("block_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("block_tokens")]
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
