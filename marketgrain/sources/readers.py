@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from marketgrain.sources.lazy import LazyTables
 from marketgrain.sources.schemas import SCHEMAS
 
+#: Tables whose quoted texts hold line breaks.
+MULTILINE_TABLES = frozenset({"reviews"})
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Ask the path's own file system, be it local, HDFS or an object store."""
@@ -26,15 +30,36 @@ def source_paths(spark: SparkSession, folder: str, files: Mapping[str, str] | No
     return paths
 
 
+def file_columns(spark: SparkSession, path: str) -> list[str]:
+    """The column names in the header of a CSV file or folder."""
+    return spark.read.csv(path, header=True, escape='"').columns
+
+
+def contract_order(header: Sequence[str], ddl: str) -> tuple[T.StructType, list[str]]:
+    """The types of a file's columns in the file's own order, and the contract's columns in its order."""
+    contract = {field.name: field.dataType for field in T.StructType.fromDDL(ddl).fields}
+    fields = [T.StructField(name, contract.get(name, T.StringType())) for name in header]
+    return T.StructType(fields), list(contract)
+
+
 def read_sources(spark: SparkSession, folder: str, files: Mapping[str, str] | None = None) -> LazyTables:
     """The nine CSV tables under their source column names, with declared types and dates as text.
 
-    Quoted line breaks make a CSV file unsplittable; ``store_sources`` keeps a columnar copy to work from.
+    Columns are found by the header, in any order; all missing ones are named in one error and others are
+    ignored. A value that does not fit its type fails the read. Only reviews hold line breaks in quotes, so
+    only they are read as whole files; ``store_sources`` keeps a columnar copy to work from.
     """
     paths = source_paths(spark, folder, files)
+    headers = {table: file_columns(spark, path) for table, path in paths.items()}
+    orders = {table: contract_order(headers[table], SCHEMAS[table]) for table in paths}
+    gaps = {t: sorted(set(names) - set(headers[t])) for t, (_, names) in orders.items()}
+    if any(gaps.values()):
+        raise ValueError("Missing source columns: " + "; ".join(f"{t}: {', '.join(g)}" for t, g in gaps.items() if g))
 
     def reader(table: str):
-        return lambda: spark.read.schema(SCHEMAS[table]).csv(paths[table], header=True, multiLine=True, escape='"')
+        schema, names = orders[table]
+        options = {"header": True, "escape": '"', "mode": "FAILFAST", "multiLine": table in MULTILINE_TABLES}
+        return lambda: spark.read.schema(schema).csv(paths[table], **options).select(*names)
 
     return LazyTables({table: reader(table) for table in SCHEMAS})
 

@@ -479,7 +479,7 @@ _MARTS = {
     ),
     "haversine_km": (
         "order_id:l distance_km:d",
-        "SELECT order_id, distance_km FROM v_orders ORDER BY distance_km DESC NULLS LAST, order_id LIMIT 200",
+        "SELECT order_id, distance_km FROM v_orders",
     ),
     "first_per_key": (
         "order_id:l order_item_id:l product_id:l seller_id:l shipping_limit_date:t price:m freight_value:m",

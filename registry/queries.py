@@ -229,8 +229,8 @@ QUERIES["delivery_slice"] = QUERIES.pop("delivery_slice_table")
 
 @named
 def haversine_km(m):
-    """Distance per order between customer and main seller, longest first."""
-    return views.top_rows(m.order_level.select("order_id", "distance_km"), "distance_km", 200, "order_id")
+    """Distance per order between customer and main seller."""
+    return m.order_level.select("order_id", "distance_km")
 
 
 @named

@@ -7,7 +7,7 @@ from marketgrain import job
 from marketgrain.ml import delivery
 from marketgrain.plans.marketplace import Marketplace
 from marketgrain.sources import readers, writers
-from marketgrain.sources.schemas import DATE_COLUMNS, RELATIONAL_NAMES, REQUIRED_COLUMNS, SCHEMAS
+from marketgrain.sources.schemas import DATE_COLUMNS, FOREIGN_KEYS, RELATIONAL_NAMES, REQUIRED_COLUMNS, SCHEMAS
 
 FILES = {
     "customers": 'k1,u1,1000,"são paulo ",SP\nk2,u2,2000,rio,RJ\n',
@@ -81,11 +81,29 @@ def test_monthly_partitions_keep_types_and_rows(spark, tmp_path, small):
     assert "PartitionFilters: [isnotnull(purchase_period" in plan
 
 
-def test_a_long_table_does_not_go_into_a_report(spark):
-    from pyspark.errors import PySparkException
+def test_columns_are_found_by_header(spark, source):
+    (source / "sellers.csv").write_text("extra,seller_state,seller_id,seller_city,seller_zip_code_prefix\nx,SP,s1,sp,1000\n")
+    row = readers.read_sources(spark, str(source))["sellers"].first()
+    assert row.asDict() == {
+        "seller_id": "s1", "seller_zip_code_prefix": 1000, "seller_city": "sp", "seller_state": "SP",
+    }
+    (source / "sellers.csv").write_text("seller_id,seller_state\ns1,SP\n")
+    (source / "category_translation.csv").write_text("product_category_name\nbeleza\n")
+    with pytest.raises(ValueError, match="sellers: seller_city, seller_zip_code_prefix; category_translation: product"):
+        readers.read_sources(spark, str(source))
+
+
+def test_a_value_of_the_wrong_type_fails(spark, source):
+    header = ",".join(REQUIRED_COLUMNS["sellers"])
+    (source / "sellers.csv").write_text(f"{header}\ns1,not a number,sp,SP\n")
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        readers.read_sources(spark, str(source))["sellers"].collect()
+
 
-    with pytest.raises(PySparkException, match="more than 3 rows"):
-        writers.nested_rows(spark.range(10).toDF("n"), "numbers", 3).collect()
+def test_parents_load_before_their_children():
+    order = writers.load_order(SCHEMAS)
+    assert sorted(order) == sorted(SCHEMAS)
+    assert all(order.index(parent) < order.index(child) for child, _, parent, _ in FOREIGN_KEYS)
 
 
 def test_relational_projection(spark, source):
