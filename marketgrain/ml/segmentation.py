@@ -11,14 +11,14 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketgrain.session import pin
 
 RFM = ("recency", "frequency", "monetary")
 CLUSTER_COUNTS = (2, 3, 4, 5, 6)
-RESTARTS, SAMPLE, SEED = 10, 12_000, 42
+RESTARTS, SEED = 10, 42
 PARALLEL_FITS = 8
 UNSEGMENTED = "No Delivered Purchase"
 
@@ -150,52 +150,33 @@ def best_kmeans(
     }
 
 
-def sample_points(labelled: DataFrame, size: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """At most ``size`` customers in a fixed pseudo-random order."""
-    return labelled.orderBy(F.xxhash64(F.col("customer_unique_id").cast("string"), F.lit(seed)), "customer_unique_id").limit(size)
+def silhouettes(points: DataFrame, coordinates: Sequence[str], label_columns: Sequence[str]) -> DataFrame:
+    """One row with the mean silhouette of all ``points`` per label column, by squared Euclidean distance.
 
+    The mean squared distance from a point to a cluster follows from the cluster's size, mean and mean
+    square, so the work is linear in the points: two passes per label column, no pairs. A point alone in its
+    cluster, or with no other cluster, counts as zero.
+    """
+    square = sum((F.col(c) * F.col(c) for c in coordinates), F.lit(0.0))
+    widths = []
+    for label in label_columns:
+        clusters = points.groupBy(F.col(label).alias("cluster")).agg(
+            F.count(F.lit(1)).alias("n"), F.avg(square).alias("square"), *[F.avg(c).alias(f"mean_{c}") for c in coordinates]
+        )
+        # one entry per cluster, as many as the fit was asked for
+        points = points.withColumn(f"{label}_clusters", clusters.agg(F.collect_list(F.struct("*"))).scalar())
+        known = F.col(f"{label}_clusters")
 
-def euclidean_silhouettes(sample: DataFrame, label_columns: Sequence[str]) -> DataFrame:
-    """Mean Euclidean silhouette per label column over a bounded sample.
+        def distance(cluster: Column) -> Column:
+            product = sum((F.col(c) * cluster[f"mean_{c}"] for c in coordinates), F.lit(0.0))
+            return F.greatest(cluster["square"] - 2 * product + square, F.lit(0.0))
 
-    The sample (at most ``SAMPLE`` rows of a few numbers) is sent to the tasks; each task measures its
-    share of the points against it and emits one number per point, never the pairs.
-    """
-    import numpy as np
-    import pandas as pd
-
-    labels = list(label_columns)
-    coordinates = vector_to_array("features")
-    flat = sample.select(*[coordinates[i].alias(f"x{i}") for i in range(len(RFM))], *labels)
-    everyone = flat.toPandas()
-    points = everyone[[f"x{i}" for i in range(len(RFM))]].to_numpy()
-    marks = {c: everyone[c].to_numpy() for c in labels}
-
-    def measure(batches):
-        for batch in batches:
-            own = batch[[f"x{i}" for i in range(points.shape[1])]].to_numpy()
-            rows = {c: np.zeros(len(own)) for c in labels}
-            for first in range(0, len(own), 256):
-                block = own[first : first + 256]
-                distance = np.sqrt(((block[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
-                for column in labels:
-                    mine = batch[column].to_numpy()[first : first + 256]
-                    found = np.unique(marks[column])
-                    sums = np.column_stack([distance[:, marks[column] == v].sum(axis=1) for v in found])
-                    sizes = np.array([(marks[column] == v).sum() for v in found])
-                    home = np.searchsorted(found, mine)
-                    index = np.arange(len(block))
-                    inside = sums[index, home] / np.maximum(sizes[home] - 1, 1)
-                    others = sums / sizes
-                    others[index, home] = np.inf
-                    nearest = others.min(axis=1)
-                    width = (nearest - inside) / np.maximum(np.maximum(nearest, inside), 1e-300)
-                    rows[column][first : first + 256] = np.where((sizes[home] > 1) & np.isfinite(nearest), width, 0.0)
-            yield pd.DataFrame(rows)
-
-    schema = ", ".join(f"`{c}` double" for c in labels)
-    tasks = sample.sparkSession.sparkContext.defaultParallelism
-    return flat.repartition(tasks).mapInPandas(measure, schema).agg(*[F.avg(c).alias(c) for c in labels])
+        own = F.get(F.filter(known, lambda c: c["cluster"] == F.col(label)), F.lit(0))
+        inside = distance(own) * own["n"] / F.nullif(own["n"] - 1, F.lit(0))
+        nearest = F.array_min(F.transform(F.filter(known, lambda c: c["cluster"] != F.col(label)), distance))
+        width = (nearest - inside) / F.nullif(F.greatest(nearest, inside), F.lit(0.0))
+        widths.append(F.avg(F.coalesce(width, F.lit(0.0))).alias(label))
+    return points.agg(*widths)
 
 
 @dataclass
@@ -211,7 +192,6 @@ def train(
     features: DataFrame,
     cluster_counts: Sequence[int] = CLUSTER_COUNTS,
     restarts: int = RESTARTS,
-    sample_size: int = SAMPLE,
 ) -> SegmentationResult:
     """K-Means on scaled logs; the number of clusters with the best silhouette, fewer on ties."""
     features = pin(features)
@@ -223,7 +203,9 @@ def train(
         labelled = model.copy({model.predictionCol: f"cluster_{k}"}).transform(labelled)
     labelled = pin(labelled)
     columns = [f"cluster_{k}" for k in cluster_counts]
-    widths = euclidean_silhouettes(sample_points(labelled, sample_size), columns).first()
+    places = vector_to_array("features")
+    flat = labelled.select(*[places[i].alias(c) for i, c in enumerate(RFM)], *columns)
+    widths = silhouettes(flat, RFM, columns).first()
     points.unpersist()
 
     # one row per number of clusters

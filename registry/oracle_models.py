@@ -54,6 +54,14 @@ _SHARED = {
                             AVG(GREATEST(recency, 0)) AS recency, AVG(frequency) AS frequency,
                             AVG(CAST(monetary AS DOUBLE)) AS monetary
                      FROM m_features WHERE delivered_orders > 0 GROUP BY 1""",
+    "s_points": """SELECT customer_unique_id AS id, customer_unique_id % 4 AS cluster, ln(1 + GREATEST(recency, 0)) AS r,
+                          ln(1 + GREATEST(frequency, 0)) AS f, ln(1 + GREATEST(CAST(monetary AS DOUBLE), 0)) AS m
+                   FROM m_features WHERE delivered_orders > 0""",
+    "s_distances": """SELECT a.id, a.cluster = b.cluster AS own, b.cluster AS other, SUM(pow(a.r - b.r, 2)
+                             + pow(a.f - b.f, 2) + pow(a.m - b.m, 2)) AS total, COUNT(*) FILTER (WHERE a.id <> b.id) AS n
+                      FROM s_points a, s_points b GROUP BY a.id, a.cluster, b.cluster""",
+    "s_widths": """SELECT id, MAX(total / n) FILTER (WHERE own AND n > 0) AS inside,
+                          MIN(total / n) FILTER (WHERE NOT own) AS nearest FROM s_distances GROUP BY id""",
     "s_scores": """SELECT *, - (recency - AVG(recency) OVER ()) / stddev_pop(recency) OVER ()
                              + (frequency - AVG(frequency) OVER ()) / stddev_pop(frequency) OVER ()
                              + (monetary - AVG(monetary) OVER ()) / stddev_pop(monetary) OVER () AS value_score
@@ -128,6 +136,11 @@ _MODELS = {
                   SUM(target) >= 200 AND AVG(target) >= 0.005 AND COUNT(*) - SUM(target) >= 1000 AS model_trained
            FROM r_plain""",
     ),
+    "silhouette": (
+        "silhouette:d",
+        """SELECT AVG(COALESCE((nearest - inside) / nullif(GREATEST(nearest, inside), 0), 0)) AS silhouette
+           FROM s_widths""",
+    ),
     "segment_naming": (
         "cluster:l customers:l recency:d frequency:d monetary:d value_score:d segment:s",
         """SELECT *, ['Low Engagement', 'At Risk', 'Loyal', 'Champions'][row_number() OVER (ORDER BY value_score, cluster)]

@@ -691,6 +691,16 @@ def segment_naming(m):
     return segmentation.segment_profiles(_rfm(m).select("*", clusters))
 
 
+@named
+def silhouette(m):
+    """Silhouette of all customers for clusters that any engine can form."""
+    points = _rfm(m).select(
+        *[F.log1p(F.col(c).cast("double")).alias(c) for c in segmentation.RFM],
+        (F.col("customer_unique_id") % 4).cast("int").alias("silhouette"),
+    )
+    return segmentation.silhouettes(points, segmentation.RFM, ["silhouette"])
+
+
 @named
 def segments(m):
     result = segmentation.train(m.customer_features)
@@ -702,25 +712,21 @@ def segment_summary(m):
     return segmentation.train(m.customer_features).profiles
 
 
-# the sample tables are small, so are the forests trained on them
-SAMPLE_SETTINGS = delivery.Settings(forest_trees=20, forest_depth=8)
-
-
 @named
 def delivery_scores(m):
-    return delivery.train(m.order_level, SAMPLE_SETTINGS).predictions
+    return delivery.train(m.order_level).predictions
 
 
 @named
 def feature_importance(m):
-    return delivery.readable_importance(delivery.train(m.order_level, SAMPLE_SETTINGS).importance)
+    return delivery.readable_importance(delivery.train(m.order_level).importance)
 
 
 @named
 def model_metrics(m):
     """Metrics of all model families in one table."""
     return job.model_metrics(
-        delivery.train(m.order_level, SAMPLE_SETTINGS).metrics,
+        delivery.train(m.order_level).metrics,
         forecast.compare_models(
             forecast.validation_predictions(
                 forecast.split_months(

@@ -169,32 +169,28 @@ def test_preparation_groups_rare_levels_and_ignores_unseen(spark):
     assert out[1]["k__onehot"].numNonzeros() == 0 and out[0]["k__onehot"].numNonzeros() == 1
 
 
-def test_silhouette_equals_brute_force(spark):
-    from pyspark.ml.linalg import Vectors
-
+def test_silhouettes_equal_brute_force(spark):
     generator = np.random.default_rng(2)
     points = generator.normal(size=(60, 3)) + 3 * (np.arange(60) % 3)[:, None]
-    labels = np.arange(60) % 3
-    single = np.where(np.arange(60) == 0, 1, 0)
-    rows = [(i, Vectors.dense(p), int(a), int(b)) for i, (p, a, b) in enumerate(zip(points, labels, single))]
-    frame = spark.createDataFrame(rows, ["customer_unique_id", "features", "cluster_3", "cluster_2"])
-    row = segmentation.euclidean_silhouettes(segmentation.sample_points(frame), ["cluster_3", "cluster_2"]).first()
+    marks = {"three": np.arange(60) % 3, "single": np.where(np.arange(60) == 0, 1, 0), "one": np.zeros(60, int)}
+    rows = [(*map(float, p), *(int(m[i]) for m in marks.values())) for i, p in enumerate(points)]
+    frame = spark.createDataFrame(rows, ["x", "y", "z", *marks])
+    row = segmentation.silhouettes(frame, ["x", "y", "z"], list(marks)).first()
 
     def brute(marks):
-        distance = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+        distance = ((points[:, None] - points[None]) ** 2).sum(2)
         widths = []
         for i in range(len(points)):
             own = (marks == marks[i]) & (np.arange(len(points)) != i)
-            if not own.any():
+            others = [distance[i, marks == m].mean() for m in set(marks) if m != marks[i]]
+            if not own.any() or not others:
                 widths.append(0.0)
                 continue
-            inside = distance[i, own].mean()
-            nearest = min(distance[i, marks == m].mean() for m in set(marks) if m != marks[i])
+            inside, nearest = distance[i, own].mean(), min(others)
             widths.append((nearest - inside) / max(nearest, inside))
         return np.mean(widths)
 
-    assert row["cluster_3"] == pytest.approx(brute(labels))
-    assert row["cluster_2"] == pytest.approx(brute(single))
+    assert row.asDict() == {name: pytest.approx(brute(m)) for name, m in marks.items()}
 
 
 def test_segments_separate_planted_groups(spark):
