@@ -2,9 +2,9 @@
 
 The last token of an encoding is enough to extend it: the encoding of a prefix ending in token ``t`` is
 the encoding of the prefix without ``t``, followed by ``t``, where ``t`` is the one suffix token that the
-merges would leave beside the token before it. Distinct words are visited in sorted order, which is the
-depth-first order of their trie; the last token of every prefix stays on a stack, so a prefix that many
-words share is encoded once.
+merges would leave beside the token before it. Distinct words are sorted, so that words of one trie branch
+are neighbours, and the trie is walked a letter deeper at a time for all its branches; every prefix keeps
+its last token, so a prefix that many words share is encoded once.
 
 A text is cut at its special tokens, then at single spaces into chunks, and each distinct chunk is cut into
 words and encoded once per partition. Only texts in which a space touches other white space are cut into
