@@ -7,7 +7,8 @@ Forward-backward gives each word's marginal; a document's score is a logistic fu
 sum, maximum and mean, and its spans are the runs of words that are toxic at one half or more.
 
 Models are fitted on the driver from at most ``SAMPLE_DOCS`` labelled documents with together at most
-``SAMPLE_BYTES`` of text, chosen by a hash of their ids; whole texts are used. All documents are scored, as
+``SAMPLE_BYTES`` of text, chosen by a hash of their ids; whole texts are used, one of each id, none longer than
+``SAMPLE_BYTES / PARTS``. If labelled documents are of both kinds, the sample is, or fitting fails. All documents are scored, as
 independent rows, nothing is shuffled. Words are compared as in decontamination.
 
 Null and empty texts get the score of no evidence. Documents with a null id are scored and never learned
@@ -23,7 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketgrain.llm.common import by_bytes, ranges, word_table
@@ -31,6 +32,8 @@ from marketgrain.llm.common import by_bytes, ranges, word_table
 BITS = 18
 SAMPLE_DOCS = 4000
 SAMPLE_BYTES = 8 << 20
+#: A text longer than this part of the bound is not learned from; a kind that the sample lacks gets this part of it.
+PARTS = 16
 #: Times more often in toxic documents than in clean ones, and the least log-likelihood ratio, of a toxic word.
 LEAST_RATIO = 8.0
 LEAST_EVIDENCE = 25.0
@@ -217,22 +220,37 @@ def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = ROUNDS) -> Model:
     )
 
 
+def _first(rows: DataFrame, most_docs: int, most_bytes: int) -> pa.Table:
+    """The first rows by a hash of their ids, as many as fit the bounds."""
+    ordered = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).toArrow()
+    return ordered.filter(pa.array(np.cumsum(ordered["size"].to_numpy()) <= most_bytes, pa.bool_()))
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES
 ) -> pa.Table:
     """Texts and labels of at most so many documents and bytes, none of them held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = (
-        known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
-        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-        .orderBy(*order)
-        .limit(sample_docs)
-    )
+    known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id")  # at most sample_docs rows are sent
-    so_far = F.sum(F.octet_length("text").cast("bigint")).over(Window.orderBy(*order, F.xxhash64("text")))
-    return found.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).select("text", "toxic").toArrow()
+    texts = texts.withColumn("row", F.xxhash64("text"))
+    # chosen by sizes alone; only chosen texts are moved
+    sizes = texts.select("doc_id", "row", F.octet_length("text").cast("bigint").alias("size")).join(known, "doc_id")
+    fitting = sizes.where(F.col("size") <= sample_bytes // PARTS).groupBy("doc_id", "toxic")
+    rows = fitting.agg(F.min(F.struct("row", "size")).alias("one")).select("doc_id", "toxic", "one.*")
+    chosen = _first(rows, sample_docs, sample_bytes)
+    for kind in sorted({0, 1} - set(chosen["toxic"].to_pylist())):
+        more = _first(rows.where(F.col("toxic") == kind), max(1, sample_docs // PARTS), sample_bytes // PARTS)
+        if more.num_rows:
+            others = _first(rows.where(F.col("toxic") != kind), sample_docs - more.num_rows, sample_bytes - sample_bytes // PARTS)
+            chosen = pa.concat_tables([others, more])
+        elif not sizes.where(F.col("toxic") == kind).isEmpty():
+            raise ValueError(f"all documents labelled toxic = {kind} are longer than {sample_bytes // PARTS} bytes")
+    picked = docs.sparkSession.createDataFrame(
+        list(zip(*(chosen[c].to_pylist() for c in ("doc_id", "row", "toxic")))), "doc_id bigint, row bigint, toxic int"
+    )
+    found = texts.join(F.broadcast(picked), ["doc_id", "row"])  # at most sample_docs rows are sent
+    return found.dropDuplicates(["doc_id", "row"]).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic").toArrow()
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
