@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # White space of the pre-tokenizer's pattern.
@@ -303,7 +304,14 @@ def _coded_rows(path: str, rows: int):
 
 
 def encode_and_decode(docs: DataFrame, path: str, rows: int = 512) -> DataFrame:
-    """``docs`` with ``ids`` (array<int>) and ``decoded``; ``rows`` texts share one trie."""
+    """``docs`` with ``ids`` (array<int>) and ``decoded``; ``rows`` texts share one trie.
+
+    Columns named ``ids`` or ``decoded`` are replaced, the others pass through under any name. Repeated rows are
+    coded each, a null text as an empty one; an empty table gives an empty table.
+    """
     kept = [f for f in docs.schema.fields if f.name not in ("ids", "decoded")]
-    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return docs.mapInArrow(_coded_rows(path, rows), schema)
+    names = [f.name if f.name == "text" else f"given_{k}" for k, f in enumerate(kept)]  # names with dots can't be passed
+    given = docs.select(*[F.col(f"`{f.name}`").alias(n) for f, n in zip(kept, names)])
+    schema = T.StructType([T.StructField(n, f.dataType) for f, n in zip(kept, names)])
+    schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
+    return given.mapInArrow(_coded_rows(path, rows), schema).toDF(*[f.name for f in kept], "ids", "decoded")

@@ -50,6 +50,21 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def row_key() -> Column:
+    """A number for a row by its id and text; rows without an id differ by their text."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+
+
+def whole_rows(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, so that working columns can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def given_columns(docs: DataFrame, held: str) -> list[Column]:
+    """The columns of ``docs`` out of the column ``held`` made by ``whole_rows``."""
+    return [F.col(held).getField(c).alias(c) for c in docs.columns]
+
+
 def shard_count(docs: DataFrame, column: str, shard_bytes: int) -> int:
     """Shards of about ``shard_bytes`` of text each."""
     total = docs.agg(F.sum(F.octet_length(F.col(column)).cast("bigint"))).first()[0] or 0

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketgrain.llm.common import by_bytes, mixed, stored, word_table
+from marketgrain.llm.common import by_bytes, given_columns, mixed, row_key, stored, whole_rows, word_table
 
 SPAN = 13
 SUBSTITUTIONS = 2
@@ -181,6 +181,12 @@ def overlaps(
 
 
 def without_overlaps(docs: DataFrame, items: DataFrame, **options: int) -> DataFrame:
-    """The documents that overlap no test item; documents without an id stay."""
-    hit = stored(overlaps(docs, items, **options).select("doc_id").distinct(), "overlaps")  # sized, so the join can choose
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    """The documents that overlap no test item, with the columns of ``docs``.
+
+    Rows are judged by id and text together, so rows without an id and rows that share one are judged each.
+    """
+    rows = docs.select(row_key().alias("key"), whole_rows(docs).alias("held"))
+    keyed = rows.select(F.col("key").alias("doc_id"), F.col("held").getField("text").alias("text"))
+    hit = overlaps(keyed, items, **options).select(F.col("doc_id").alias("key")).distinct()
+    hit = stored(hit, "overlaps")  # sized, so the join can choose
+    return rows.join(hit, "key", "left_anti").select(*given_columns(docs, "held"))

@@ -14,7 +14,9 @@ documents hold is one row per task there. The join that marks lines keeps its si
 execution deals a frequent key to several tasks. Runs are written to the shared folder.
 
 A null or empty text is one empty line. Documents with a null ``doc_id`` keep all lines and make others
-lose none. Rows that repeat a ``doc_id`` are one document. Keys are compared by 128 bits of hashes.
+lose none. Rows that repeat a ``doc_id`` are one document. Keys are compared by 128 bits of hashes. Columns other
+than ``doc_id`` and ``text`` pass through and may have any name; those named like a result column are replaced.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketgrain.llm.common import SPACES, stored, text_of
+from marketgrain.llm.common import SPACES, stored, text_of, whole_rows
 
 MIN_CHARS = 10
 FAN_OUT = 2
@@ -95,24 +97,24 @@ class LineRuns:
 
 def _without(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """``docs`` without the marked lines."""
-    gone = marked.groupBy(F.col("doc_id").alias("ld_doc"), F.col("row").alias("ld_row")).agg(
-        F.collect_set("line").alias("ld_gone")
+    gone = marked.groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone"))
+    through = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
+    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("row"), whole_rows(docs.select(*[f"`{c}`" for c in through])).alias("held"))
+    joined = rows.join(gone, ["doc_id", "row"], "left")
+    text = F.coalesce(F.col("held").getField("text"), F.lit(""))
+    lines = joined.select("held", "gone", text.alias("text"), _lines(text).alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
     )
-    through = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
-    joined = docs.select(*through, F.xxhash64(text_of()).alias("ld_text")).join(
-        gone, (F.col("doc_id") == F.col("ld_doc")) & (F.col("ld_text") == F.col("ld_row")), "left"
-    )
-    lines = joined.select(*through, "ld_gone", _lines(text_of()).alias("ld_lines"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("ld_lines") - 1), F.col("ld_gone"))
-    kept = F.when(F.col("ld_gone").isNull(), text_of()).otherwise(
-        F.array_join(F.transform(left, lambda i: F.get("ld_lines", i)), "\n")
-    )
-    return lines.select(
-        *through,
-        F.size("ld_lines").cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("ld_gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
+    judged = lines.select(
+        "held",
+        F.size("lines").cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
         kept.alias("kept"),
     )
+    results = [F.col(c) for c in ("n_lines", "n_dropped", "kept")]
+    return judged.select(*[F.col("held").getField(c).alias(c) for c in through], *results)
 
 
 def dedup_lines(docs: DataFrame, batches: int = BATCHES, fan_out: int = FAN_OUT, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -1,14 +1,16 @@
 """Token-id output: documents packed into rows of one context length.
 
-Documents are dealt to shards of a few MB by their id. A shard cuts documents longer than the context into
+Documents are dealt to shards of a few MB by their id and text. A shard cuts documents longer than the context into
 whole rows and a rest, loses nothing, and places the pieces by best fit decreasing: longest first, each in
 the open row whose free space is the least that holds it. A segment tree over the capacities finds that row
-in the logarithm of the context length. A shard is one task, so neither copies nor long documents load a
-task beyond a shard and one document, and the rows depend only on the ids and texts.
+in the logarithm of the context length. A shard is held whole, so neither copies nor long documents load a
+task beyond a shard and one document; many shards share one partition of the shuffle. The rows depend only on
+the ids and texts.
 
 Ties go by document id, then by position in the document; among rows of equal free space the latest is
 filled first. Null and empty texts have no tokens and appear in no row. Documents with a null id are packed
-too. Rows that repeat an id are packed each.
+too. Rows that repeat an id are packed each and spread over shards by their text; equal rows share a shard.
+Texts may have runs of white space of any length. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketgrain.llm.common import shard_count, shard_of
-from marketgrain.llm.tokens import encoding
+from marketgrain.llm.common import row_key, shard_count
+from marketgrain.llm.tokens import encode
 
 CONTEXT = 2048
 #: Id that fills the end of a row; the vocabulary's own ids end before it.
@@ -95,11 +97,11 @@ _PACKED = pa.schema(
 
 def _packed_rows(path: str, context: int, padding: int):
     def run(docs: pa.Table) -> pa.Table:
-        encode = encoding(path).encode_ordinary
+        encoded = encode(path)
         docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         pieces = []
         for doc_id, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist()):
-            ids = np.array(encode(text), "<u2") if text else np.zeros(0, "<u2")
+            ids = np.array(encoded(text), "<u2") if text else np.zeros(0, "<u2")
             pieces += [(doc_id, at, ids[at : at + context]) for at in range(0, len(ids), context)]
         out: list[list] = [[] for _ in _PACKED]
         for number, row in enumerate(best_fit([len(ids) for _, _, ids in pieces], context)):
@@ -127,7 +129,7 @@ def pack(
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     shards = shard_count(docs, "text", shard_bytes)
-    dealt = docs.withColumn("shard", shard_of(F.col("doc_id"), F.col("text"), shards)).repartition(shards, "shard")
+    dealt = docs.withColumn("shard", F.pmod(row_key(), F.lit(shards)).cast("int")).repartition("shard")
     return dealt.groupBy("shard").applyInArrow(
         _packed_rows(path, context, padding),
         "shard int, row int, n_tokens int, ids binary, cu_seqlens array<int>, resets array<int>, "
@@ -135,6 +137,10 @@ def pack(
     )
 
 
-def write_matrices(packed: DataFrame, folder: str) -> None:
-    """Write the rows as parquet, a folder per shard, in row order: each file's ``ids`` is an id matrix."""
-    packed.repartition("shard").sortWithinPartitions("shard", "row").write.partitionBy("shard").parquet(folder)
+def write_matrices(packed: DataFrame, folder: str, shards: int = 64) -> None:
+    """Write the rows as parquet, a folder per range of ``shards`` shards, in shard and row order.
+
+    Each file's ``ids`` is an id matrix; a folder holds a few hundred MB at the default sizes.
+    """
+    ranged = packed.withColumn("shards", F.floor(F.col("shard") / F.lit(shards)).cast("int"))
+    ranged.repartition("shards").sortWithinPartitions("shards", "shard", "row").write.partitionBy("shards").parquet(folder)

@@ -16,7 +16,9 @@ grows with the logarithm of the longest chain. All joins are on both sides' own
 execution splits fingerprints that many documents share.
 
 Null texts are empty. A document without an id belongs to its component; a component without any id has a
-null ``component_id``. Repeated rows are kept as they are.
+null ``component_id``. ``near_duplicates`` returns repeated rows each; ``first_of_each_group`` takes rows equal
+in id and text for one document, and keeps one of equal rows without an id. Columns other than ``doc_id`` and
+``text`` pass through and may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketgrain.llm.common import stored
+from marketgrain.llm.common import given_columns, row_key, stored, whole_rows
 
 SHINGLE = 3
 SEED = 42
@@ -59,22 +61,25 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
-def _fingerprint_rows(shingle: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-
+def _fingerprint_rows(shingle: int, through: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(text.as_py(), shingle) for text in batch["text"]]
             fps = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], fps], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in through), fps], names=[*through, "fp"])
 
     return run
 
 
+def _with_fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
+    """The 64-bit numbers of ``rows`` and the fingerprint ``fp`` of their ``text``."""
+    through = [c for c in rows.columns if c != "text"]
+    return rows.mapInArrow(_fingerprint_rows(shingle, through), ", ".join(f"{c} bigint" for c in [*through, "fp"]))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` of every row, ``fp`` as a signed 64-bit number."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.mapInArrow(_fingerprint_rows(shingle), "doc_id bigint, fp bigint")
+    return _with_fingerprints(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), shingle)
 
 
 def _block_keys() -> list[str]:
@@ -190,22 +195,40 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         edges = stored(moved.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), name)
 
 
+def _rooted(nodes: DataFrame, distance: int, cell: int) -> DataFrame:
+    """``nodes`` with the fingerprint ``root`` of their component."""
+    grouped = components(links(nodes, distance, cell))
+    joined = nodes.join(grouped, nodes.fp == grouped.node, "left")
+    return joined.select(*[nodes[c] for c in nodes.columns], F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, cell: int = CELL
 ) -> DataFrame:
     """``doc_id, fp, component_id`` of every row of ``docs``."""
     found = stored(fingerprints(docs, shingle), "fingerprints")
-    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least_doc"))
-    grouped = components(links(nodes, distance, cell))
-    placed = nodes.join(grouped, nodes.fp == grouped.node, "left").select(
-        "fp", "least_doc", F.coalesce("root", "fp").alias("root")
-    )
+    placed = _rooted(found.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), distance, cell)
     named = placed.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     labels = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
     return found.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def first_of_each_group(docs: DataFrame) -> DataFrame:
-    """The document with the least id of every group, and documents without an id."""
-    stay = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.where(F.col("doc_id").isNull()).unionByName(docs.join(stay, "doc_id", "left_semi"))
+def first_of_each_group(
+    docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, cell: int = CELL
+) -> DataFrame:
+    """The document with the least id of every component, with the columns of ``docs``.
+
+    Documents without an id come last in their component; one stays where the component has no other.
+    """
+    rows = docs.select(row_key().alias("key"), whole_rows(docs).alias("held"))
+    keyed = rows.select(
+        "key", F.col("held").getField("doc_id").cast("bigint").alias("id"), F.col("held").getField("text").cast("string").alias("text")
+    )
+    found = stored(_with_fingerprints(keyed, shingle), "fingerprints")
+    order = F.struct(F.col("id").isNull(), "id", "key")
+    nodes = found.groupBy("fp").agg(F.min(order).alias("least"))
+    least = _rooted(nodes, distance, cell).groupBy("root").agg(F.min("least").alias("least"))
+    stay = stored(least.select(F.col("least.id").alias("id"), F.col("least.key").alias("key")), "first-documents")
+    known = rows.join(stay.where("id IS NOT NULL").select("key"), "key", "left_semi")
+    unknown = rows.join(stay.where("id IS NULL").select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return known.unionByName(unknown).select(*given_columns(docs, "held"))

@@ -6,7 +6,9 @@ every context limit, how many documents exceed it, how many tokens there are and
 limit keeps. Lengths fall into blocks of ``BLOCK``; sums run inside a block and over the blocks' totals, so
 no task holds all lengths.
 
-Null and empty texts have zero tokens and count as documents. An empty table gives an empty histogram.
+Null and empty texts have zero tokens and count as documents; rows that repeat an id count each. Texts may have
+runs of white space of any length. Only the column ``text`` is read, so other columns may have any name. An empty
+table gives an empty histogram.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketgrain.llm.common import stored
-from marketgrain.llm.tokens import encoding
+from marketgrain.llm.tokens import encode
 
 BLOCK = 256
 
@@ -28,9 +30,9 @@ def _length_rows(path: str):
     schema = pa.schema([("n_tokens", pa.int64()), ("n_docs", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        ids = encode(path)
         for batch in batches:
-            lengths = np.array([len(encode(text)) if text else 0 for text in batch["text"].to_pylist()], np.int64)
+            lengths = np.array([len(ids(text)) if text else 0 for text in batch["text"].to_pylist()], np.int64)
             sizes, counts = np.unique(lengths, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(counts.astype(np.int64))], schema=schema)
 

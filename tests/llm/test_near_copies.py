@@ -1,11 +1,10 @@
-"""The pipeline's near-duplicate stage against all pairs of texts."""
+"""Near copies by exact similarity against all pairs of texts."""
 
 import random
 
 import pytest
 
-import corpus_pipeline
-from marketgrain.llm import near_copies, simhash
+from marketgrain.llm import near_copies
 from tests.llm.cases import documents
 
 
@@ -56,14 +55,6 @@ def test_groups_equal_all_pairs(spark, options):
     assert sorted(r.doc_id for r in got.collect()) == sorted(want)
 
 
-def test_stage_finds_copies_beyond_three_bits(spark):
-    given = rows()
-    want = least_similar(given)
-    docs = documents(spark, given)
-    assert {r.doc_id for r in simhash.first_of_each_group(docs).collect()} != want
-    assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == want
-
-
 def test_documents_without_id_stay(spark):
     docs = documents(spark, [(1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f")])
     assert sorted(str(r.doc_id) for r in near_copies.first_of_each_group(docs).collect()) == ["1", "None"]

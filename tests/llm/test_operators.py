@@ -122,9 +122,12 @@ def test_decontamination(spark, docs, slice_words):
     assert {(r.doc_id, r.item_id, r.doc_start, r.doc_end, r.n_overlap_words) for r in rows} == want
     assert {10, 14} <= {r.doc_id for r in rows}
     kept = decontaminate.without_overlaps(docs, table)
-    hit = {i for i, *_ in want} - {None}
+    rows = [(k, x) for k, (_, x) in enumerate(texts())]  # every row judged by its own text
+    numbered = decontaminate.overlaps(documents(spark, rows), table, slice_words=slice_words)
+    hit = {r.doc_id for r in numbered.select("doc_id").collect()}
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in texts() if i not in hit)
+    assert {texts()[k][0] for k in hit} == {i for i, *_ in want}
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(r for k, r in enumerate(texts()) if k not in hit)
 
 
 # ---- pages -------------------------------------------------------------------------------------
