@@ -38,11 +38,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -165,6 +165,59 @@ def word_table(texts: pa.Array, fold: bool = False, punctuation: bool = False) -
     )
 
 
+class PieceWords(NamedTuple):
+    """Words of many texts one after another, with the piece of text that each lies in."""
+
+    hashes: np.ndarray  # uint64 per word
+    text: np.ndarray  # index of the word's text
+    piece: np.ndarray  # number of the word's piece; pieces don't reach into another text
+    begins: np.ndarray  # first byte of each word in ``data``
+    ends: np.ndarray
+    data: np.ndarray  # bytes of all texts
+
+
+#: Bytes that end a piece of text: . , ; : ! ? and line ends.
+_PIECE_ENDS = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)])
+_PIECE_SEPARATORS = _PIECE_ENDS | np.isin(np.arange(256), [0x20, 0x09])
+
+
+def piece_words(texts: pa.Array) -> PieceWords:
+    """64-bit hashes of the words between spaces, tabs and piece ends, A-Z folded; a null text has none."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    body = texts.buffers()[2]
+    data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    code = _TABLES[True, False][1]
+    found: list[list[np.ndarray]] = [[] for _ in range(5)]
+    at = pieces = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        part, local = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        hashes, bounds = _slice_words(part, local, _PIECE_SEPARATORS, code)
+        inside = ~_PIECE_SEPARATORS[part]
+        border = np.zeros(len(part) + 1, bool)
+        border[local] = True
+        begins = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]])[: len(part)] | inside & border[:-1])
+        ends = np.flatnonzero(inside & np.concatenate([~inside[1:], [True]])[: len(part)] | inside & border[1:]) + 1
+        cuts = np.cumsum(_PIECE_ENDS[part] | border[:-1])
+        for column, values in zip(
+            found,
+            (
+                hashes,
+                np.repeat(np.arange(at, to), np.diff(bounds)),
+                cuts[begins] + pieces,
+                begins + offsets[at],
+                ends + offsets[at],
+            ),
+        ):
+            column.append(values)
+        pieces += int(cuts[-1]) + 1 if len(cuts) else 1
+        at = to
+    arrays = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in found]
+    return PieceWords(arrays[0].astype(np.uint64), *arrays[1:], data)
+
+
 def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every ``size`` neighbours, also of those that cross texts."""
     count = max(0, len(hashes) - size + 1)

@@ -88,11 +88,13 @@ f AS (
     CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
     CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-    len(list_intersect(words, [{stop}])) AS n_stop_words, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+    len(list_filter(words, lambda w: w IN ({stop}))) AS n_stop_words, length(array_to_string(lines, '')) AS n_line_chars,
+    length(array_to_string(list_distinct(lines), '')) AS n_kept_line_chars, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN repeated USING (doc_id)),
 g AS (
   SELECT *, word_chars / nullif(n_words, 0) AS mean_word_length, n_symbols / nullif(n_words, 0) AS symbol_ratio,
-    n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio,
+    (n_line_chars - n_kept_line_chars) / nullif(n_line_chars, 0) AS dup_line_char_ratio,
+    n_stop_words / nullif(n_words, 0) AS stop_word_ratio,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
   FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -115,9 +117,65 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_JACCARD = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_FOLDED}, '[^ \t\n\v\f\r]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 4), ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, least(len(words), 1) + 1))) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both
+  FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+link AS (
+  SELECT a, b FROM shared JOIN n nx ON nx.doc_id = a JOIN n ny ON ny.doc_id = b
+  WHERE 100 * n_both >= 80 * (nx.n + ny.n - n_both)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT doc_id, b FROM reach JOIN edge ON other = a),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id),
+degree AS (SELECT a AS doc_id, count(*) AS n_links FROM edge GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id) LEFT JOIN degree USING (doc_id)
+"""
+
+_COLLOCATIONS = rf"""
+WITH piece AS (
+  SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS words
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLDED}, '[.,;:!?\n\v\f\r]')) AS piece
+    FROM documents)),
+words AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM piece GROUP BY lang),
+f AS (
+  SELECT lang, k, array_to_string(list_slice(words, i, i + k - 1), ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM piece, (SELECT unnest([1, 2, 3, 4]) AS k))
+  GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (
+  SELECT lang, k, phrase, a, j, array_to_string(list_slice(w, 1, j), ' ') AS part, array_to_string(list_slice(w, j + 1, k), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+scored AS (
+  SELECT cut.*, x.f AS l, y.f AS r, CAST(CAST(a AS HUGEINT) * 2000000 // (x.f + y.f) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = part JOIN f y ON y.lang = cut.lang AND y.phrase = rest),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_size AS (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2),
+inside AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM inner_size) GROUP BY ALL),
+free AS (
+  SELECT least.* FROM least LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM free)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score
+FROM ranked JOIN words USING (lang) WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": _SUBSTRING,
     "op3_decontamination": _decontamination(),
     "op6_quality_rules": _quality(),
     "op7_line_dedup": _LINES,
+    "op12_ngram_jaccard_join": _JACCARD,
+    "op13_phrase_collocations": _COLLOCATIONS,
 }

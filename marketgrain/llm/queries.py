@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketgrain.llm import bpe, decontaminate, html, line_dedup, packing, quality_rules, simhash, substring
-from marketgrain.llm import token_counts, toxicity
+from marketgrain.llm import alignment, bpe, collocations, decontaminate, html, jaccard, line_dedup, packing
+from marketgrain.llm import quality_rules, simhash, substring, token_counts, toxicity
 from marketgrain.llm.common import table
 from marketgrain.llm.oracles import ORACLES
 
@@ -20,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 MERGES = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _sha256(column: Column) -> Column:
@@ -85,6 +86,21 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"), MERGES, PIECES)
+    digest = F.when(F.col("groups") == "", "").otherwise(_sha256(F.col("groups")))
+    counts = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    return aligned.withColumn("n_groups", F.col("n_links")).select("doc_id", *counts, digest.alias("groups_sha256"))
+
+
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -98,6 +114,9 @@ QUERIES: dict[str, Query] = {
         op8_simhash,
         op9_token_counts,
         op10_token_packing,
+        op11_cross_tokenizer_alignment,
+        op12_ngram_jaccard_join,
+        op13_phrase_collocations,
     )
 }
 
