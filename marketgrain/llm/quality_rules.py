@@ -3,7 +3,11 @@
 Words are runs without the six ASCII white-space characters. Every figure is a built-in expression over
 the whole text; there are no user functions and no shuffle. A null text is an empty text. A figure whose
 divisor is zero is null, and a null figure breaks no rule. Input columns other than ``text`` pass through;
-a figure replaces an input column of the same name.
+a figure replaces an input column of the same name. Rows are judged each, so repeated rows, ties and rows without an
+id give no trouble; an empty table gives an empty table.
+
+Repeated lines weigh by their characters: a short heading that returns in a long text is no sign of a bad one. Stop
+words weigh by their share of all words.
 
 Repeated word windows are found inside a row: each three-word window becomes one number, its hash with
 the low bits replaced by its position. Sorting the numbers puts equal windows side by side; neighbours
@@ -30,6 +34,9 @@ STOP_WORDS = (
 ).split()
 
 
+_STOP_LIST = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+
+
 class Rule(NamedTuple):
     """A document breaks the rule when its figure lies outside the closed range."""
 
@@ -46,8 +53,8 @@ BASE_RULES = (
 RULES = (
     Rule("mean_word_length", 2, 15),
     Rule("symbol_ratio", None, 0.1),
-    Rule("dup_line_ratio", None, 0.3),
-    Rule("n_stop_words", 2, None),
+    Rule("dup_line_char_ratio", None, 0.2),
+    Rule("stop_word_ratio", 0.05, None),
 )
 
 # The figures, each a projection over the ones before it.
@@ -63,7 +70,9 @@ _STEPS: tuple[dict[str, str], ...] = (
         "n_symbols": "CAST(length(qr_core) - length(translate(qr_core, qr_symbols, '')) AS bigint)",
         "n_lines": "CAST(size(qr_lines) AS bigint)",
         "n_dup_lines": "CAST(size(qr_lines) - size(array_distinct(qr_lines)) AS bigint)",
-        "n_stop_words": "CAST(size(array_intersect(qr_stop, qr_words)) AS bigint)",
+        "n_line_chars": "CAST(length(array_join(qr_lines, '')) AS bigint)",
+        "n_dup_line_chars": "CAST(length(array_join(qr_lines, '')) - length(array_join(array_distinct(qr_lines), '')) AS bigint)",
+        "n_stop_words": f"CAST(size(filter(qr_words, w -> w IN ({_STOP_LIST}))) AS bigint)",
         "qr_mask": "shiftleft(1L, length(bin(size(qr_words)))) - 1L",
     },
     {
@@ -90,7 +99,8 @@ _STEPS: tuple[dict[str, str], ...] = (
     {
         "mean_word_length": "word_chars / nullif(n_words, 0)",
         "symbol_ratio": "n_symbols / nullif(n_words, 0)",
-        "dup_line_ratio": "n_dup_lines / nullif(n_lines, 0)",
+        "dup_line_char_ratio": "n_dup_line_chars / nullif(n_line_chars, 0)",
+        "stop_word_ratio": "n_stop_words / nullif(n_words, 0)",
         "repeat_word_ratio": "n_repeat_words / nullif(n_words, 0)",
     },
 )
@@ -114,7 +124,6 @@ def _broken(rules: tuple[Rule, ...]) -> Column:
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
     """``docs`` with every figure, ``base_failed`` and ``kept``."""
     constants = {
-        "qr_stop": F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)]),
         "qr_spaces": F.lit(SPACES),
         "qr_symbols": F.lit(SYMBOLS),
         "qr_text": text_of(),
