@@ -3,19 +3,22 @@
 A window is 13 consecutive words of one document. A word goes if a window that covers it also starts in
 a document with a smaller ``doc_id``. Nothing is judged on what is left after a removal.
 
-1. Documents are dealt to shards of a few MB by their id, in one shuffle that all later steps share.
+1. Documents are dealt to shards of a few MB, in one shuffle that all later steps share. Rows that repeat an id, and
+   copies without one, spread over shards. A partition of the shuffle holds many shards.
 2. Every window is named by the least hash of its 7-word phrases, so equal windows have equal names and
    neighbours mostly share one. Names seen in two documents are *recurring*; only they are followed.
 3. Each shard hashes the windows with recurring names. A window is *confirmed* for a shard when a
    document of the shard has it and a smaller ``doc_id`` anywhere holds it too.
 4. Each shard takes the first occurrence of every confirmed window as a passage, cuts passages into
    phrases of 7 words, compiles them into one Aho-Corasick automaton and streams its documents through
-   it. Any 13 words hold a whole phrase, so each occurrence is found and compared around its phrase.
+   it. Any 13 words hold a whole phrase, so each occurrence is found; the windows around a phrase found are then
+   looked up by their own hash among the confirmed ones.
 
 Every task holds one shard. A frequent passage adds one row per shard to the counts, however many
 documents have it. Null texts have no words; documents with a null ``doc_id`` neither lose words nor
 make others lose any; rows that repeat a ``doc_id`` are one document for the comparison and stay
-separate rows of the result. Words are compared by 64-bit hashes.
+separate rows of the result. Words are compared by 64-bit hashes. Only ``doc_id`` and ``text`` are read, so other
+columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketgrain.llm.common import by_bytes, ranges, rolling, shard_count, shard_of, sliding_min, word_table
+from marketgrain.llm.common import by_bytes, ranges, rolling, shard_count, sliding_min, word_table
 
 WINDOW = 13
 PHRASE = 7
@@ -79,7 +82,7 @@ def _name_rows(window: int, phrase: int):
 
 
 def _window_rows(window: int, phrase: int):
-    schema = pa.schema([("window", pa.int64()), ("low", pa.int64()), ("more", pa.int64())])
+    schema = pa.schema([("shard", pa.int32()), ("window", pa.int64()), ("low", pa.int64()), ("more", pa.int64())])
 
     def run(docs: pa.Table, names: pa.Table) -> pa.Table:
         if not docs.num_rows or not names.num_rows:
@@ -88,7 +91,8 @@ def _window_rows(window: int, phrase: int):
         hashes, own, text, whole = _windows(word_table(docs["text"]), window, phrase)
         use = whole & known[text] & np.isin(own, names["name"].to_numpy())
         key, low, high = _extremes(hashes[use].view(np.int64), ids[text[use]])
-        return pa.table([key, low, high - low], schema=schema)
+        shards = np.full(len(key), docs["shard"][0].as_py(), np.int32)
+        return pa.table([shards, key, low, high - low], schema=schema)
 
     return run
 
@@ -106,24 +110,17 @@ def _phrases(words, first: np.ndarray, window: int, phrase: int) -> np.ndarray:
     return np.concatenate([np.arange(b, e + window - phrase, phrase) for b, e in zip(begins, ends)] or [[]]).astype(np.int64)
 
 
-def _occurrences(words, passages: np.ndarray, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions at which a phrase of a passage occurs, with the position of the phrase in its passage."""
+def _occurrences(words, passages: np.ndarray, phrase: int) -> np.ndarray:
+    """Positions at which a phrase of a passage occurs, ascending."""
     inside = (passages[:, None] + np.arange(phrase)).ravel()
     alphabet = np.unique(words.hashes[inside])
     rank = np.minimum(np.searchsorted(alphabet, words.hashes), len(alphabet) - 1)
     body = _as_text(np.where(alphabet[rank] == words.hashes, rank + 1, 0))
-    at: dict[str, list[int]] = {}
-    for p in passages.tolist():
-        at.setdefault(body[p : p + phrase], []).append(p)
-    automaton = ahocorasick.Automaton()
-    for text, places in at.items():
-        automaton.add_word(text, places)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for text in {body[p : p + phrase] for p in passages.tolist()}:
+        automaton.add_word(text)
     automaton.make_automaton()
-    found, source = [], []
-    for end, places in automaton.iter(body):
-        found.extend([end - phrase + 1] * len(places))
-        source.extend(places)
-    return np.array(found, np.int64), np.array(source, np.int64)
+    return np.fromiter((end - phrase + 1 for end, _ in automaton.iter(body)), np.int64)
 
 
 def _covered(words, ids, known, confirmed: pa.Table, window: int, phrase: int) -> np.ndarray:
@@ -143,15 +140,14 @@ def _covered(words, ids, known, confirmed: pa.Table, window: int, phrase: int) -
     passages = _phrases(words, first, window, phrase)
     if not len(passages):
         return covered
-    found, source = _occurrences(words, passages, phrase)
+    # an occurrence names its windows itself, however many passages hold its phrase
+    found = _occurrences(words, passages, phrase)
     change = np.zeros(len(words.hashes) + 1, np.int32)
     for shift in range(window - phrase + 1):
-        f, s = found - shift, source - shift
-        use = (f >= 0) & (s >= 0) & (f < len(hashes)) & (s < len(hashes))
-        f, s = f[use], s[use]
-        use = first[s] & whole[f] & (hashes[f] == hashes[s]) & known[text[f]]
-        f, s = f[use], s[use]
-        f = np.unique(f[owners[rank[s]] < ids[text[f]]])
+        f = found - shift
+        f = f[(f >= 0) & (f < len(hashes))]
+        f = f[recurs[f]]
+        f = f[owners[rank[f]] < ids[text[f]]]  # ascending and distinct
         change[f] += 1
         change[f + window] -= 1
     return np.cumsum(change[:-1]) > 0
@@ -192,7 +188,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHA
     phrase = (window + 1) // 2
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     shards = shard_count(docs, "text", shard_bytes)
-    dealt = docs.withColumn("shard", shard_of(F.col("doc_id"), F.col("text"), shards)).repartition(shards, "shard")
+    shard = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(shards)).cast("int")
+    dealt = docs.withColumn("shard", shard).repartition("shard")
 
     seen = dealt.mapInArrow(_name_rows(window, phrase), "name bigint, seen bigint")
     by_name = Window.partitionBy("name")
@@ -205,12 +202,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHA
     windows = (
         dealt.groupBy("shard")
         .cogroup(recurring.groupBy("shard"))
-        .applyInArrow(_window_rows(window, phrase), "window bigint, low bigint, more bigint")
+        .applyInArrow(_window_rows(window, phrase), "shard int, window bigint, low bigint, more bigint")
     )
     confirmed = (
         windows.withColumn("owner", F.min("low").over(Window.partitionBy("window")))
         .where(F.col("owner") < F.col("low") + F.col("more"))
-        .select(shard_of(F.col("low"), F.lit(None).cast("string"), shards).alias("shard"), "window", "owner")
+        .select("shard", "window", "owner")
     )
     return (
         dealt.groupBy("shard")

@@ -1,15 +1,17 @@
 """Rows without an id, repeated rows, names that clash or hold a dot, and long white space in stages and token operators."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from marketgrain.llm import line_dedup, packing, simhash, token_counts, tokens
+from marketgrain.llm import common, line_dedup, packing, simhash, substring, token_counts, tokens
 from marketgrain.llm.queries import MERGES, RANKS
 from tests.llm.cases import documents, texts
 from tests.llm.test_operators import fingerprint
@@ -120,3 +122,31 @@ def test_token_operators_on_long_white_space(spark):
         for s, at in zip(r.segments, r.resets):
             found[s.doc_id][s.offset] = found[s.doc_id].get(s.offset, 0) + s.length
     assert {i: sum(x.values()) for i, x in found.items()} == {1: 1_000_001, 2: 150_000, 3: 2, None: 1_000_001}
+
+
+# ---- substring dedup of shared phrases and repeated rows ----------------------------------------
+
+
+def test_a_phrase_that_many_passages_share_takes_linear_time():
+    """Documents that begin with one line and recur elsewhere: every occurrence is looked up, none against all passages."""
+    rng = random.Random(1)
+    head = "licensed under the terms of this file"
+    bodies = [f"{head} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(4000)]
+    words = common.word_table(pa.array(bodies * 2))
+    ids = np.arange(8000)
+    hashes = substring._windows(words, 13, 7)[0]
+    inside = words.text[: len(hashes)] == words.text[12:]
+    confirmed = np.unique(hashes[inside & (words.text[: len(hashes)] < 4000)])
+    owner = {h: int(t) for h, t in zip(hashes[inside][::-1].tolist(), words.text[: len(hashes)][inside][::-1].tolist())}
+    table = pa.table({"window": confirmed.view(np.int64), "owner": np.array([owner[h] for h in confirmed.tolist()], np.int64)})
+    started = time.perf_counter()
+    covered = substring._covered(words, ids, np.ones(8000, bool), table, 13, 7)
+    assert time.perf_counter() - started < 10
+    assert covered[words.text >= 4000].all() and not covered[words.text < 4000].any()
+
+
+def test_rows_that_repeat_an_id_spread_over_shards(spark):
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(7, f"{passage} {k}") for k in range(30)] + [(None, passage)] * 10 + [(9, passage), (9, passage), (8, "x " + passage)]
+    found = substring.remove_repeats(documents(spark, rows), shard_bytes=300).collect()
+    assert Counter((r.doc_id, r.n_removed) for r in found) == Counter({(7, 0): 30, (None, 0): 10, (9, 40): 2, (8, 40): 1})
