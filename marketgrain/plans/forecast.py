@@ -10,8 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from marketgrain.session import pin
+from marketgrain.plans import trend
 
 LAST_VALUE = "Last Value Naive"
 MOVING_AVERAGE = "Moving Average (3)"
@@ -65,19 +66,22 @@ def split_months(months: DataFrame, series: str) -> DataFrame:
     )
 
 
+def _naive_guesses(value: Column, window: WindowSpec) -> dict[str, Column]:
+    last = F.lag(value, 1).over(window)
+    return {
+        LAST_VALUE: last,
+        MOVING_AVERAGE: F.avg(value).over(window.rowsBetween(-3, -1)),
+        SEASONAL: F.coalesce(F.lag(value, SEASON).over(window), last),
+    }
+
+
 def naive_predictions(months: DataFrame, series: str) -> DataFrame:
     """Walk-forward predictions of the three naive candidates on the validation months.
 
     Actuals are fed back, so each is a window over the rows before the predicted one.
     """
-    window = Window.partitionBy(series).orderBy("purchase_period")
     value = F.col("merchandise_revenue").cast("double")
-    last = F.lag(value, 1).over(window)
-    guesses = {
-        LAST_VALUE: last,
-        MOVING_AVERAGE: F.avg(value).over(window.rowsBetween(-3, -1)),
-        SEASONAL: F.coalesce(F.lag(value, SEASON).over(window), last),
-    }
+    guesses = _naive_guesses(value, Window.partitionBy(series).orderBy("purchase_period"))
     wide = months.select(
         series,
         "purchase_period",
@@ -88,50 +92,61 @@ def naive_predictions(months: DataFrame, series: str) -> DataFrame:
     return wide.unpivot([series, "purchase_period", "actual"], list(guesses), "model", "predicted")
 
 
+def _trend_fits(months: DataFrame, series: str) -> DataFrame:
+    """One row per series: ``validation`` fitted on the training months, ``future`` on all complete months.
+
+    Validation counts seasons from the first row, Future takes real calendar months. Both fits come from one
+    aggregate; ``validation`` is null without a training month.
+    """
+    phases = F.array(
+        F.struct(
+            F.lit("validation").alias("phase"),
+            (F.col("position") % SEASON + 1).alias("month"),
+            (F.col("split") == "Training").alias("known"),
+        ),
+        F.struct(F.lit("future").alias("phase"), F.month("purchase_period").alias("month"), F.lit(True).alias("known")),
+    )
+    points = months.select(
+        series, F.col("position").cast("bigint").alias("x"), F.col("merchandise_revenue").alias("y"), F.explode(phases).alias("p")
+    ).where("p.known")
+    fitted = trend.fits(points.select(series, "p.phase", "p.month", "x", "y"), [series, "phase"])
+    fit = F.struct(*trend.FIT)
+    return fitted.groupBy(series).agg(
+        *[F.max(F.when(F.col("phase") == phase, fit)).alias(phase) for phase in ("validation", "future")]
+    )
+
+
+def _at_row(fit: str) -> Column:
+    """The validation fit at the row's own position."""
+    return trend.predicted(F.col(fit), F.col("position"), F.col("position") % SEASON + 1)
+
+
+def _ahead(fit: str, rows: Column, cutoff: Column, step: Column) -> Column:
+    """The future fit ``step`` months after the last of ``rows`` complete months."""
+    return trend.predicted(F.col(fit), rows + step - 1, F.month(F.add_months(cutoff.cast("date"), step)))
+
+
 def trend_predictions(months: DataFrame, series: str, horizon: int = HORIZON) -> DataFrame:
     """Least squares on row index and yearly sine and cosine, clipped at zero.
 
-    Rows (series, phase, step, predicted): phase Validation is fitted on the training months and
-    counts seasons from the first row, phase Future is fitted on all complete months with real
-    calendar months. A group is one series' month history, so the fit is a small local solve.
+    Rows (series, phase, step, predicted): the steps of Validation are the held-out months, those of Future the
+    months after the last complete one.
     """
-    import numpy as np
-    import pandas as pd
-
-    key_type = dict(months.dtypes)[series]
-
-    def design(index, month):
-        angle = 2 * np.pi * month / 12
-        return np.column_stack([np.ones(len(index)), index, np.sin(angle), np.cos(angle)])
-
-    def solve(index, month, target, later_index, later_month):
-        # centred, as the intercept is not part of the minimum-norm choice on short histories
-        known, asked = design(index, month)[:, 1:], design(later_index, later_month)[:, 1:]
-        centre = known.mean(axis=0)
-        weights = np.linalg.lstsq(known - centre, target - target.mean(), rcond=None)[0]
-        return np.maximum((asked - centre) @ weights + target.mean(), 0.0)
-
-    def fit(history: pd.DataFrame) -> pd.DataFrame:
-        history = history.sort_values("purchase_period")
-        target = history["merchandise_revenue"].astype(float).to_numpy()
-        n, train = len(target), int((history["split"] == "Training").sum())
-        index = np.arange(n + horizon)
-        calendar = pd.DatetimeIndex(history["purchase_period"]).month.to_numpy()
-        following = (calendar[-1] + np.arange(horizon)) % 12 + 1
-        frames = []
-        if train:
-            counted = index[:n] % 12 + 1
-            guess = solve(index[:train], counted[:train], target[:train], index[train:n], counted[train:])
-            frames.append(pd.DataFrame({"phase": "Validation", "step": np.arange(1, n - train + 1), "predicted": guess}))
-        guess = solve(index[:n], calendar, target, index[n:], following)
-        frames.append(pd.DataFrame({"phase": "Future", "step": np.arange(1, horizon + 1), "predicted": guess}))
-        result = pd.concat(frames, ignore_index=True)
-        result.insert(0, series, history[series].iloc[0])
-        return result
-
-    history = months.select(series, "purchase_period", F.col("merchandise_revenue").cast("double"), "split")
-    return history.groupBy(series).applyInPandas(
-        fit, f"`{series}` {key_type}, phase string, step int, predicted double"
+    counts = months.groupBy(series).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("split") == "Training").alias("position"),
+        F.max("purchase_period").alias("cutoff"),
+    )
+    both = counts.join(_trend_fits(months, series), series)
+    held_out = both.where("position > 0").select(
+        series, "validation", "position", F.explode(F.sequence(F.lit(1), (F.col("rows") - F.col("position")).cast("int"))).alias("step")
+    )
+    held_out = held_out.withColumn("position", F.col("position") + F.col("step") - 1)
+    ahead = both.select(series, "future", "rows", "cutoff", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    return held_out.select(series, F.lit("Validation").alias("phase"), "step", _at_row("validation").alias("predicted")).unionByName(
+        ahead.select(
+            series, F.lit("Future").alias("phase"), "step", _ahead("future", F.col("rows"), F.col("cutoff"), F.col("step")).alias("predicted")
+        )
     )
 
 
@@ -147,8 +162,8 @@ def validation_predictions(months: DataFrame, series: str, candidates: Sequence[
         F.col("merchandise_revenue").cast("double").alias("actual"),
         F.row_number().over(by_month).alias("step"),
     )
-    trend = trend_predictions(months, series).where(F.col("phase") == "Validation")
-    joined = held_out.join(trend, [series, "step"]).select(
+    line = trend_predictions(months, series).where(F.col("phase") == "Validation")
+    joined = held_out.join(line, [series, "step"]).select(
         series, "purchase_period", "actual", F.lit(TREND).alias("model"), "predicted"
     )
     return naive.unionByName(joined)
@@ -174,20 +189,11 @@ def compare_models(predictions: DataFrame, series: str) -> DataFrame:
     return metrics.withColumn("selected", best == 1)
 
 
-def naive_future(months: DataFrame, series: str, horizon: int = HORIZON) -> DataFrame:
-    """Recursive forecasts (series, purchase_period, model, step, predicted) of the naive candidates.
+def _naive_ahead(tail: Column, horizon: int) -> dict[str, Column]:
+    """The next ``horizon`` values of each naive candidate after ``tail``, the last values of a series.
 
-    Predictions are fed back: the recursion folds over the series' last twelve values.
+    Predictions are fed back: the recursion folds over the tail.
     """
-    position = F.col("position")
-    last_rows = months.withColumn("from_end", F.col("months") - position).where(F.col("from_end") <= SEASON)
-    tails = last_rows.groupBy(series).agg(
-        F.array_sort(F.collect_list(F.struct(position, F.col("merchandise_revenue").cast("double").alias("v")))).alias(
-            "tail"
-        ),
-        F.max("purchase_period").alias("cutoff"),
-    )
-    tails = tails.withColumn("tail", F.transform("tail", lambda row: row.getField("v")))
 
     def last(history: Column) -> Column:
         return F.element_at(history, -1)
@@ -199,22 +205,30 @@ def naive_future(months: DataFrame, series: str, horizon: int = HORIZON) -> Data
     def season_ago(history: Column) -> Column:
         return F.when(F.size(history) >= SEASON, F.try_element_at(history, F.lit(-SEASON))).otherwise(last(history))
 
-    def extended(rule) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.lit(horizon)), F.col("tail"), lambda history, _: F.concat(history, F.array(rule(history)))
-        )
+    def ahead(rule) -> Column:
+        whole = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), tail, lambda history, _: F.concat(history, F.array(rule(history))))
+        return F.slice(whole, F.size(tail) + 1, F.lit(horizon))
 
-    rules = {LAST_VALUE: last, MOVING_AVERAGE: mean_of_three, SEASONAL: season_ago}
-    runs = [
-        tails.select(
-            series,
-            "cutoff",
-            F.lit(name).alias("model"),
-            F.posexplode(F.slice(extended(rule), F.size("tail") + 1, F.lit(horizon))).alias("ahead", "predicted"),
-        )
-        for name, rule in rules.items()
-    ]
-    every = runs[0].unionByName(runs[1]).unionByName(runs[2])
+    return {name: ahead(rule) for name, rule in ((LAST_VALUE, last), (MOVING_AVERAGE, mean_of_three), (SEASONAL, season_ago))}
+
+
+def naive_future(months: DataFrame, series: str, horizon: int = HORIZON) -> DataFrame:
+    """Recursive forecasts (series, purchase_period, model, step, predicted) of the naive candidates."""
+    position = F.col("position")
+    last_rows = months.withColumn("from_end", F.col("months") - position).where(F.col("from_end") <= SEASON)
+    tails = last_rows.groupBy(series).agg(
+        F.array_sort(F.collect_list(F.struct(position, F.col("merchandise_revenue").cast("double").alias("v")))).alias(
+            "tail"
+        ),
+        F.max("purchase_period").alias("cutoff"),
+    )
+    tails = tails.withColumn("tail", F.transform("tail", lambda row: row.getField("v")))
+    candidates = F.array(
+        *[F.struct(F.lit(name).alias("model"), values.alias("values")) for name, values in _naive_ahead(F.col("tail"), horizon).items()]
+    )
+    every = tails.select(series, "cutoff", F.explode(candidates).alias("candidate")).select(
+        series, "cutoff", "candidate.model", F.posexplode("candidate.values").alias("ahead", "predicted")
+    )
     step = F.col("ahead") + 1
     return every.select(
         series, _months_after(F.col("cutoff"), step).alias("purchase_period"), "model", step.alias("step"), "predicted"
@@ -228,7 +242,7 @@ def _months_after(month: Column, count: Column) -> Column:
 def future_predictions(months: DataFrame, series: str, horizon: int = HORIZON) -> DataFrame:
     """Forecasts of all four candidates."""
     cutoffs = months.groupBy(series).agg(F.max("purchase_period").alias("cutoff"))
-    trend = (
+    line = (
         trend_predictions(months, series, horizon)
         .where(F.col("phase") == "Future")
         .join(cutoffs, series)
@@ -240,7 +254,7 @@ def future_predictions(months: DataFrame, series: str, horizon: int = HORIZON) -
             "predicted",
         )
     )
-    return naive_future(months, series, horizon).unionByName(trend)
+    return naive_future(months, series, horizon).unionByName(line)
 
 
 def forecast_history(
@@ -248,41 +262,56 @@ def forecast_history(
 ) -> DataFrame:
     """Training, validation, excluded and future rows of every series under its selected model.
 
-    The months are read many times below, so they are written once: the orders behind them are
-    summed a single time.
+    One plan without a job of its own: the months are dealt by series once, and every step below is a window or a
+    group of that series. The last complete month carries the future rows until they are listed.
     """
-    flagged = pin(complete_months(monthly, series, minimum_orders))
-    months = split_months(flagged, series)
-    predictions = validation_predictions(months, series)
-    chosen = pin(compare_models(predictions, series).where("selected").select(series, "model"))
-    nothing, amount = F.lit(None).cast("double"), F.col("merchandise_revenue").cast("double").alias("actual")
-    selected = predictions.join(chosen, [series, "model"]).select(series, "purchase_period", "predicted")
-    history = (
-        months.select(series, "purchase_period", amount, "split")
-        .join(selected, [series, "purchase_period"], "left")
-        .select(series, "purchase_period", "actual", "predicted", nothing.alias("future_forecast"), "split")
-    )
-    excluded = flagged.where(~F.col("is_complete")).select(
-        series,
-        "purchase_period",
-        amount,
-        nothing.alias("predicted"),
-        nothing.alias("future_forecast"),
-        F.lit("Excluded Partial").alias("split"),
+    flagged = complete_months(monthly, series, minimum_orders)
+    whole = Window.partitionBy(series)
+    amount = F.col("merchandise_revenue").cast("double")
+    rows = F.count_if(F.col("is_complete"))
+    held_out = F.least(F.lit(4), F.greatest(F.lit(3), F.floor(F.col("months") / 5)))
+    validated = F.col("position") >= F.col("months") - held_out
+    labelled = flagged.withColumn("months", rows.over(whole)).withColumn(
+        "split",
+        F.when(~F.col("is_complete"), "Excluded Partial").when(validated, "Validation").otherwise("Training"),
     )
-    future = (
-        future_predictions(months, series, horizon)
-        .join(chosen, [series, "model"])
-        .select(
-            series,
-            "purchase_period",
-            nothing.alias("actual"),
-            nothing.alias("predicted"),
-            F.col("predicted").alias("future_forecast"),
-            F.lit("Future Forecast").alias("split"),
+    # complete months are the first rows of a series, so the rows before one are complete too
+    window = whole.orderBy("purchase_period")
+    guessed = labelled.withColumns({f"guess_{k}": guess for k, guess in enumerate(_naive_guesses(amount, window).values())})
+    tail = F.collect_list(amount).over(window.rowsBetween(1 - SEASON, 0))
+    guessed = guessed.withColumn("tail", F.when(F.col("position") == F.col("months") - 1, tail))
+    fitted = guessed.join(_trend_fits(labelled.where("is_complete"), series), series)
+    place = CANDIDATES.index(TREND)
+    fitted = fitted.withColumn(f"guess_{place}", F.when(F.col("validation").isNotNull(), _at_row("validation")))
+
+    def error(k: int) -> Column:
+        missed = amount - F.col(f"guess_{k}")
+        return F.sqrt(F.avg(F.when(F.col("split") == "Validation", missed * missed)).over(whole))
+
+    # least error first, unknown errors last, the earlier candidate on ties
+    ranked = [F.struct(error(k).isNull().alias("unknown"), error(k).alias("rmse"), F.lit(k).alias("k")) for k in range(len(CANDIDATES))]
+    chosen = fitted.withColumn("chosen", F.array_min(F.array(*ranked)).getField("k"))
+    guesses = F.array(*[F.col(f"guess_{k}") for k in range(len(CANDIDATES))])
+    naive = _naive_ahead(F.col("tail"), horizon)
+    steps = F.sequence(F.lit(1), F.lit(horizon))
+    ahead = [naive[name] if name in naive else F.transform(steps, lambda step: _ahead("future", F.col("months"), F.col("purchase_period"), step)) for name in CANDIDATES]
+    following = F.element_at(F.array(*ahead), F.col("chosen") + 1)
+
+    nothing = F.lit(None).cast("double")
+
+    def row(period: Column, actual: Column, guess: Column, future: Column, split: Column) -> Column:
+        return F.struct(
+            period.alias("purchase_period"), actual.alias("actual"), guess.alias("predicted"), future.alias("future_forecast"), split.alias("split")
         )
+
+    guess = F.when(F.col("split") == "Validation", F.element_at(guesses, F.col("chosen") + 1))
+    own = row(F.col("purchase_period"), amount, guess, nothing, F.col("split"))
+    later = F.transform(
+        following,
+        lambda value, k: row(_months_after(F.col("purchase_period"), k + 1), nothing, nothing, value, F.lit("Future Forecast")),
     )
-    return history.unionByName(excluded).unionByName(future)
+    listed = F.when(F.col("tail").isNotNull(), F.concat(F.array(own), later)).otherwise(F.array(own))
+    return chosen.select(series, F.explode(listed).alias("row")).select(series, "row.*")
 
 
 def mark_complete(monthly: DataFrame, minimum_orders: int = MINIMUM_ORDERS) -> DataFrame:

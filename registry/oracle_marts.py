@@ -1,5 +1,7 @@
 """SQL counterparts of the quality, grain, mart, view and forecast queries."""
 
+import math
+
 from registry.portable import portable_sql
 from registry.views import VIEWS
 
@@ -132,30 +134,99 @@ _FOREIGN = [
 ]
 
 
-def _profile_sql(column: str, kind: str) -> str:
-    return f"""SELECT 'orders' AS table_name, '{column}' AS column_name, '{kind}' AS data_type, COUNT(*) AS rows,
-        COUNT(*) - COUNT({column}) AS nulls,
-        round((COUNT(*) - COUNT({column})) * 100.0 / COUNT(*), 4) AS null_percentage,
-        COUNT(DISTINCT {column}) AS distinct_values FROM ({_TABLES['orders']})"""
+# ---- the tables as a text export: (row number, columns as name:letter)
+# letters: i bigint, n int, d double, m decimal(12,2), s text, t date
+_EXPORT = {
+    "customers": ("customer_id", "customer_id:i customer_unique_id:i customer_zip_code_prefix:n customer_city:s customer_state:s"),
+    "orders": (
+        "order_id",
+        "order_id:i customer_id:i order_status:s order_purchase_timestamp:t order_delivered_customer_date:t "
+        "order_estimated_delivery_date:t",
+    ),
+    "order_items": (
+        "order_id + order_item_id",
+        "order_id:i order_item_id:n product_id:i seller_id:i shipping_limit_date:t price:m freight_value:m",
+    ),
+    "payments": (
+        "order_id + payment_sequential",
+        "order_id:i payment_sequential:n payment_type:s payment_installments:n payment_value:m",
+    ),
+    "reviews": ("review_id", "review_id:i order_id:i review_score:n review_creation_date:t review_answer_timestamp:t"),
+    "products": ("product_id", "product_id:i product_category_name:s product_brand:s product_weight_g:d"),
+    "sellers": ("seller_id", "seller_id:i seller_zip_code_prefix:n seller_state:s"),
+    "geolocation": (
+        "geolocation_zip_code_prefix",
+        "geolocation_zip_code_prefix:n geolocation_lat:d geolocation_lng:d geolocation_city:s geolocation_state:s",
+    ),
+    "category_translation": (
+        "length(product_category_name)",
+        "product_category_name:s product_category_name_english:s",
+    ),
+}
+_KINDS = {"i": "bigint", "n": "int", "d": "double", "m": "decimal(12,2)", "s": "string", "t": "string"}
+
+
+def _export_columns(letters: str) -> list[tuple[str, str, str]]:
+    """(table, column, letter) of the columns with one of the letters."""
+    listed = [(t, *c.split(":")) for t, (_, columns) in _EXPORT.items() for c in columns.split()]
+    return [(t, c, kind) for t, c, kind in listed if kind in letters]
+
 
+def _cell(table: str, column: str, letter: str) -> str:
+    """The exported text of a cell, or the number itself."""
+    number = _EXPORT[table][0]
+    if letter == "t":
+        return f"""CASE WHEN {column} IS NULL THEN NULL WHEN ({number}) % 7 = 3 THEN 'no date'
+            WHEN ({number}) % 11 = 5 THEN '' ELSE strftime({column}, '%Y-%m-%d %H:%M:%S.%f') END"""
+    if letter == "s":
+        return f"CASE WHEN ({number}) % 5 = 2 THEN ' ' || chr(9) || {column} || chr(10) || ' ' ELSE {column} END"
+    return column
 
-def _date_sql(table: str, column: str) -> str:
-    return f"""SELECT '{table}' AS table_name, '{column}' AS column_name, COUNT({column}) AS valid,
-        0 AS invalid_non_null, MIN({column}) AS minimum, MAX({column}) AS maximum FROM ({_TABLES[table]})"""
 
+def _readable(table: str) -> str:
+    number = _EXPORT[table][0]
+    return f"({number}) % 7 <> 3 AND ({number}) % 11 <> 5"
 
-def _numeric_sql(table: str, column: str) -> str:
+
+def _profile_sql(table: str, column: str, letter: str) -> str:
+    return f"""SELECT '{table}' AS table_name, '{column}' AS column_name, '{_KINDS[letter]}' AS data_type, COUNT(*) AS rows,
+        COUNT(*) - COUNT(v) AS nulls, round((COUNT(*) - COUNT(v)) * 100.0 / COUNT(*), 4) AS null_percentage,
+        COUNT(DISTINCT v) AS distinct_values FROM (SELECT {_cell(table, column, letter)} AS v FROM ({_TABLES[table]}))"""
+
+
+def _date_sql(table: str, column: str, _: str) -> str:
+    return f"""SELECT '{table}' AS table_name, '{column}' AS column_name,
+        COUNT({column}) FILTER (WHERE {_readable(table)}) AS valid,
+        COUNT({column}) FILTER (WHERE NOT ({_readable(table)})) AS invalid_non_null,
+        MIN({column}) FILTER (WHERE {_readable(table)}) AS minimum,
+        MAX({column}) FILTER (WHERE {_readable(table)}) AS maximum FROM ({_TABLES[table]})"""
+
+
+def _numeric_sql(table: str, column: str, _: str) -> str:
     return f"""SELECT '{table}' AS table_name, '{column}' AS column_name, MIN({column}) AS minimum,
         MAX({column}) AS maximum, COUNT(*) FILTER (WHERE {column} = 0) AS zero_count,
         COUNT(*) FILTER (WHERE {column} < 0) AS negative_count,
         COUNT(*) FILTER (WHERE NOT isfinite(CAST({column} AS DOUBLE))) AS non_finite_count FROM ({_TABLES[table]})"""
 
 
-def _top_sql(table: str, column: str) -> str:
+def _top_sql(table: str, column: str, letter: str) -> str:
+    padded = f"COUNT(*) FILTER (WHERE v <> {column})"
+    source = f"(SELECT *, {_cell(table, column, letter)} AS v FROM ({_TABLES[table]}))"
     return f"""SELECT '{table}' AS table_name, '{column}' AS column_name,
-        row_number() OVER (ORDER BY COUNT(*) DESC, {column} NULLS LAST) AS place, {column} AS value,
-        COUNT(*) AS copies, (SELECT COUNT(DISTINCT {column}) FROM ({_TABLES[table]})) AS distinct_values,
-        0 AS padded_rows FROM ({_TABLES[table]}) GROUP BY {column} ORDER BY place LIMIT 10"""
+        row_number() OVER (ORDER BY COUNT(*) DESC, v NULLS LAST) AS place, v AS value, COUNT(*) AS copies,
+        (SELECT COUNT(DISTINCT v) FROM {source}) AS distinct_values, (SELECT {padded} FROM {source}) AS padded_rows
+        FROM {source} GROUP BY v ORDER BY place LIMIT 10"""
+
+
+def _clean_sql(table: str, column: str, _: str) -> str:
+    return f"""SELECT '{table}' AS table_name, '{column}' AS column_name, {column} AS value, COUNT(*) AS copies
+        FROM ({_TABLES[table]}) GROUP BY {column}"""
+
+
+def _parsed_sql(table: str, column: str, _: str) -> str:
+    moment = f"CASE WHEN {_readable(table)} THEN {column} END"
+    return f"""SELECT '{table}' AS table_name, '{column}' AS column_name, {moment} AS moment, COUNT(*) AS copies
+        FROM ({_TABLES[table]}) GROUP BY {moment}"""
 
 
 def _histogram_sql(source: str, columns: str, bins: int) -> str:
@@ -189,6 +260,10 @@ _COMPLETE = """SELECT s.*, position <= last_position AS is_complete,
                          ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS usual
                 FROM {source} WINDOW w AS (PARTITION BY customer_state ORDER BY purchase_period))) s"""
 
+_SINE, _COSINE = (
+    "[" + ", ".join(f"{of(2 * math.pi * m / 12)!r}::DOUBLE" for m in range(1, 13)) + "][season]" for of in (math.sin, math.cos)
+)
+
 _SHARED = {
     **VIEWS,
     "s_orders": _SLICE,
@@ -219,22 +294,32 @@ _SHARED = {
                           unnest(['Last Value Naive', 'Moving Average (3)', 'Seasonal Naive']) AS model,
                           unnest([lasts[-1], means[-1], seasons[-1]]) AS predicted
                    FROM f_steps WHERE step > 0""",
-    # least squares by Cramer's rule on centred sums
-    "f_phases": """SELECT customer_state, 'Validation' AS phase, position AS x, position % 12 + 1 AS season, v
+    # least squares by Cramer's rule on centred sums; sums per calendar month are exact and are added in month order
+    "f_phases": """SELECT customer_state, 'Validation' AS phase, position AS x, position % 12 + 1 AS season, merchandise_revenue AS r
                    FROM f_months WHERE split = 'Training'
                    UNION ALL
-                   SELECT customer_state, 'Future', position, month(purchase_period), v FROM f_months""",
-    "f_points": """SELECT customer_state, phase, CAST(x AS DOUBLE) AS x, sin(2 * pi() * season / 12) AS s,
-                          cos(2 * pi() * season / 12) AS c, v FROM f_phases""",
-    "f_sums": """SELECT customer_state, phase, AVG(x) AS mx, AVG(s) AS ms, AVG(c) AS mc, AVG(v) AS mv,
-                        var_pop(x) AS xx, var_pop(s) AS ss, var_pop(c) AS cc, covar_pop(x, s) AS xs,
-                        covar_pop(x, c) AS xc, covar_pop(s, c) AS sc, covar_pop(x, v) AS xv, covar_pop(s, v) AS sv,
-                        covar_pop(c, v) AS cv FROM f_points GROUP BY 1, 2""",
-    "f_fit": """SELECT *, (xv * (ss * cc - sc * sc) - xs * (sv * cc - sc * cv) + xc * (sv * sc - ss * cv)) / d AS bx,
-                       (xx * (sv * cc - sc * cv) - xv * (xs * cc - sc * xc) + xc * (xs * cv - sv * xc)) / d AS bs,
-                       (xx * (ss * cv - sv * sc) - xs * (xs * cv - sv * xc) + xv * (xs * sc - ss * xc)) / d AS bc
-                FROM (SELECT *, xx * (ss * cc - sc * sc) - xs * (xs * cc - sc * xc) + xc * (xs * sc - ss * xc) AS d
-                      FROM f_sums)""",
+                   SELECT customer_state, 'Future', position, month(purchase_period), merchandise_revenue FROM f_months""",
+    "f_terms": f"""SELECT customer_state, phase, season, {_SINE} AS s, {_COSINE} AS c, CAST(COUNT(*) AS DOUBLE) AS n,
+                          SUM(x) AS x, SUM(x * x) AS x2, SUM(CAST(r AS DECIMAL(18,2))) AS y,
+                          SUM(CAST(x AS DECIMAL(8,0)) * CAST(r AS DECIMAL(18,2))) AS x_y
+                   FROM f_phases GROUP BY customer_state, phase, season""",
+    "f_sums": """SELECT customer_state, phase, SUM(n) AS n, CAST(SUM(x) AS DOUBLE) AS x, CAST(SUM(x2) AS DOUBLE) AS x2,
+                        CAST(SUM(y) AS DOUBLE) AS y, CAST(SUM(x_y) AS DOUBLE) AS x_y,
+                        SUM(s * n ORDER BY season) AS s, SUM(c * n ORDER BY season) AS c,
+                        SUM(s * s * n ORDER BY season) AS s2, SUM(c * c * n ORDER BY season) AS c2,
+                        SUM(s * c * n ORDER BY season) AS s_c, SUM(s * CAST(x AS DOUBLE) ORDER BY season) AS sx,
+                        SUM(c * CAST(x AS DOUBLE) ORDER BY season) AS cx, SUM(s * CAST(y AS DOUBLE) ORDER BY season) AS s_y,
+                        SUM(c * CAST(y AS DOUBLE) ORDER BY season) AS c_y
+                 FROM f_terms GROUP BY customer_state, phase""",
+    "f_centred": """SELECT customer_state, phase, x / n AS mx, s / n AS ms, c / n AS mc, y / n AS mv,
+                           x2 - x * x / n AS xx, sx - x * s / n AS xs, cx - x * c / n AS xc, s2 - s * s / n AS ss,
+                           s_c - s * c / n AS sc, c2 - c * c / n AS cc, x_y - x * y / n AS xv, s_y - s * y / n AS sv,
+                           c_y - c * y / n AS cv FROM f_sums""",
+    "f_minors": """SELECT *, ss * cc - sc * sc AS k11, xc * sc - xs * cc AS k12, xs * sc - xc * ss AS k13,
+                          xx * cc - xc * xc AS k22, xs * xc - xx * sc AS k23, xx * ss - xs * xs AS k33 FROM f_centred""",
+    "f_fit": """SELECT *, (k11 * xv + k12 * sv + k13 * cv) / d AS bx, (k12 * xv + k22 * sv + k23 * cv) / d AS bs,
+                       (k13 * xv + k23 * sv + k33 * cv) / d AS bc
+                FROM (SELECT *, xx * k11 + xs * k12 + xc * k13 AS d FROM f_minors)""",
     "f_asked": """SELECT customer_state, 'Validation' AS phase, purchase_period, position AS x,
                          position % 12 + 1 AS season,
                          row_number() OVER (PARTITION BY customer_state ORDER BY position) AS step
@@ -244,9 +329,10 @@ _SHARED = {
                          month(cutoff + to_months(step)), step
                   FROM (SELECT DISTINCT customer_state, cutoff, n FROM f_months), (SELECT unnest(range(1, 7)) AS step)""",
     "f_trend": """SELECT customer_state, phase, purchase_period, step,
-                         GREATEST(mv + bx * (x - mx) + bs * (sin(2 * pi() * season / 12) - ms)
-                                  + bc * (cos(2 * pi() * season / 12) - mc), 0) AS predicted
-                  FROM f_asked JOIN f_fit USING (customer_state, phase)""",
+                         GREATEST(mv + bx * (x - mx) + bs * (sine - ms) + bc * (cosine - mc), 0::DOUBLE) AS predicted
+                  FROM (SELECT *, {sine} AS sine, {cosine} AS cosine FROM f_asked) JOIN f_fit USING (customer_state, phase)""".format(
+        sine=_SINE, cosine=_COSINE
+    ),
     "f_predictions": """SELECT customer_state, purchase_period, actual, model, predicted FROM f_naive
                         UNION ALL
                         SELECT customer_state, purchase_period, v, 'Linear Trend + Seasonality', predicted
@@ -305,8 +391,27 @@ _MARTS = {
             [
                 _join_sql("orders to customers", "c_orders", "c_customers", "customer_id"),
                 _join_sql("items to products", "c_items", "c_products", "product_id"),
+                _join_sql("items to sellers", "c_items", "c_sellers", "seller_id"),
+                _join_sql(
+                    "item folds to products",
+                    "(SELECT DISTINCT order_id, product_id, seller_id FROM c_items)",
+                    "c_products",
+                    "product_id",
+                ),
                 _join_sql("orders to items", "c_orders", "c_items", "order_id"),
                 _join_sql("orders to payments", "c_orders", "c_payments", "order_id"),
+                _join_sql("orders to reviews", "c_orders", "c_reviews", "order_id"),
+                _join_sql("orders to items per order", "c_orders", "g_items", "order_id"),
+                _join_sql("orders to payments per order", "c_orders", "g_payments", "order_id"),
+                _join_sql("orders to reviews per order", "c_orders", "g_reviews", "order_id"),
+                _join_sql("customers to zip summary", "(SELECT customer_zip_code_prefix AS zip FROM c_customers)", "v_zip", "zip"),
+                _join_sql("sellers to zip summary", "(SELECT seller_zip_code_prefix AS zip FROM c_sellers)", "v_zip", "zip"),
+                _join_sql(
+                    "products to category names",
+                    "(SELECT product_category_name AS source_name FROM c_products)",
+                    "c_translation",
+                    "source_name",
+                ),
             ]
         ),
     ),
@@ -370,60 +475,28 @@ _MARTS = {
     ),
     "column_profile": (
         "table_name:s column_name:s data_type:s rows:l nulls:l null_percentage:d distinct_values:l",
-        _union(
-            _profile_sql(c, k)
-            for c, k in [
-                ("order_id", "bigint"),
-                ("customer_id", "bigint"),
-                ("order_status", "string"),
-                ("order_purchase_timestamp", "timestamp_ntz"),
-                ("order_delivered_customer_date", "timestamp_ntz"),
-                ("order_estimated_delivery_date", "timestamp_ntz"),
-            ]
-        ),
+        _union(_profile_sql(*c) for c in _export_columns("indmst")),
     ),
     "date_profile": (
         "table_name:s column_name:s valid:l invalid_non_null:l minimum:t maximum:t",
-        _union(
-            [
-                _date_sql("orders", "order_purchase_timestamp"),
-                _date_sql("orders", "order_delivered_customer_date"),
-                _date_sql("orders", "order_estimated_delivery_date"),
-                _date_sql("order_items", "shipping_limit_date"),
-            ]
-        ),
+        _union(_date_sql(*c) for c in _export_columns("t")),
     ),
     "numeric_profile": (
         "table_name:s column_name:s minimum:d maximum:d zero_count:l negative_count:l non_finite_count:l",
-        _union(
-            _numeric_sql(t, c)
-            for t, columns in [
-                ("order_items", "order_id order_item_id product_id seller_id price freight_value"),
-                ("geolocation", "geolocation_zip_code_prefix geolocation_lat geolocation_lng"),
-            ]
-            for c in columns.split()
-        ),
+        _union(_numeric_sql(*c) for c in _export_columns("indm")),
     ),
     "top_values": (
         "table_name:s column_name:s place:l value:s copies:l distinct_values:l padded_rows:l",
-        _union(
-            _top_sql(t, c)
-            for t, c in [
-                ("customers", "customer_city"),
-                ("customers", "customer_state"),
-                ("payments", "payment_type"),
-            ]
-        ),
+        _union(_top_sql(*c) for c in _export_columns("s")),
     ),
     # ---- cleaning
     "clean_text": (
-        "customer_id:l customer_city:s customer_state:s",
-        "SELECT * FROM c_customers",
+        "table_name:s column_name:s value:s copies:l",
+        _union(_clean_sql(*c) for c in _export_columns("s")),
     ),
     "parsed_dates": (
-        "review_id:l review_answer_timestamp:t",
-        """SELECT review_id, CASE WHEN review_id % 7 <> 0 THEN review_answer_timestamp END AS review_answer_timestamp
-           FROM c_reviews""",
+        "table_name:s column_name:s moment:t copies:l",
+        _union(_parsed_sql(*c) for c in _export_columns("t")),
     ),
     "clean_products": (
         "product_id:l product_category_name:s product_category:s product_weight_g:d",
@@ -481,6 +554,11 @@ _MARTS = {
         "order_id:l distance_km:d",
         "SELECT order_id, distance_km FROM v_orders",
     ),
+    "review_row_keys": (
+        "row_key:l review_answer_timestamp:t review_id:l order_id:l",
+        """SELECT row_number() OVER (ORDER BY review_answer_timestamp, review_id) AS row_key, review_answer_timestamp,
+                  review_id, order_id FROM c_reviews""",
+    ),
     "first_per_key": (
         "order_id:l order_item_id:l product_id:l seller_id:l shipping_limit_date:t price:m freight_value:m",
         """SELECT * FROM c_items QUALIFY row_number() OVER (PARTITION BY seller_id
@@ -567,6 +645,13 @@ _MARTS = {
                        WHEN percent >= 0.40 THEN 'Developing' ELSE 'Low Value' END AS value_tier
            FROM m_features JOIN m_percent USING (total_spend)""",
     ),
+    "seller_state_shares": (
+        "seller_state:s sellers:l share:d cumulative_share:d",
+        """SELECT seller_state, sellers, sellers / (SUM(sellers) OVER ())::DOUBLE AS share,
+                  (SUM(sellers) OVER (ORDER BY sellers DESC RANGE UNBOUNDED PRECEDING))::DOUBLE
+                  / (SUM(sellers) OVER ())::DOUBLE AS cumulative_share
+           FROM (SELECT seller_state, COUNT(*) AS sellers FROM c_sellers GROUP BY seller_state)""",
+    ),
     "spend_percent_rank": ("total_spend:m copies:l percent:d", "SELECT * FROM m_percent"),
     "exact_quantiles": (
         "seller_state:s fraction:d quantile:d",
@@ -805,23 +890,22 @@ _MARTS = {
     ),
     "trend_forecast": (
         "customer_state:s phase:s step:l predicted:d",
-        "SELECT customer_state, phase, step, round(predicted, 1) AS predicted FROM f_trend",
+        "SELECT customer_state, phase, step, predicted FROM f_trend",
     ),
     "forecast_lines": (
         "customer_state:s line:s purchase_period:t value:d",
-        """SELECT customer_state, 'Actual' AS line, purchase_period, round(actual, 1) AS value
+        """SELECT customer_state, 'Actual' AS line, purchase_period, actual AS value
            FROM f_history WHERE actual IS NOT NULL AND split <> 'Excluded Partial'
-           UNION ALL SELECT customer_state, 'Predicted', purchase_period, round(predicted, 1)
+           UNION ALL SELECT customer_state, 'Predicted', purchase_period, predicted
            FROM f_history WHERE predicted IS NOT NULL
-           UNION ALL SELECT customer_state, 'Future Forecast', purchase_period, round(future_forecast, 1)
+           UNION ALL SELECT customer_state, 'Future Forecast', purchase_period, future_forecast
            FROM f_history WHERE future_forecast IS NOT NULL
-           UNION ALL SELECT customer_state, 'Excluded Partial', purchase_period, round(actual, 1)
+           UNION ALL SELECT customer_state, 'Excluded Partial', purchase_period, actual
            FROM f_history WHERE split = 'Excluded Partial'""",
     ),
     "forecast_history": (
         "customer_state:s purchase_period:t actual:d predicted:d future_forecast:d split:s",
-        """SELECT customer_state, purchase_period, round(actual, 1) AS actual, round(predicted, 1) AS predicted,
-                  round(future_forecast, 1) AS future_forecast, split FROM f_history""",
+        "SELECT customer_state, purchase_period, actual, predicted, future_forecast, split FROM f_history",
     ),
 }
 

@@ -27,6 +27,43 @@ _RETENTION_SPEC = (
     "recency_at_cutoff:l tenure_at_cutoff:l average_freight:d average_review:d late_delivery_rate:d target:l"
 )
 
+_NUMERIC = (
+    "purchase_month purchase_weekday purchase_hour item_count unique_product_count unique_seller_count merchandise_revenue "
+    "total_freight_value gross_order_value total_payment_value maximum_installments distance_km estimated_delivery_days "
+    "average_product_weight_g"
+).split()
+_CATEGORICAL = "customer_state seller_state product_category dominant_payment_type".split()
+
+
+def _number_sql(column: str) -> str:
+    value = f"CAST({column} AS DOUBLE)"
+    return f"COALESCE({value}, (SELECT quantile_cont({value}, 0.5) FROM i_train)) AS {column}"
+
+
+def _level_sql(column: str) -> str:
+    """The level, the usual one where it is missing, and one name for levels seen fewer than twenty times."""
+    usual = f"(SELECT {column} FROM i_train WHERE {column} IS NOT NULL GROUP BY {column} ORDER BY COUNT(*) DESC, {column} LIMIT 1)"
+    level = f"COALESCE(i_rows.{column}, {usual})"
+    seen = f"(SELECT COUNT(*) FROM i_train t WHERE t.{column} = {level})"
+    return f"CASE WHEN {seen} BETWEEN 1 AND 19 THEN 'infrequent' ELSE {level} END AS {column}"
+
+
+def _candidate_sql(name: str, score: str) -> str:
+    """Accuracy, precision, recall, F1 and both areas of one given score."""
+    return f"""SELECT '{name}' AS model, (tp + tn) / (tp + fp + fn + tn)::DOUBLE AS accuracy,
+        COALESCE(tp / NULLIF(tp + fp, 0)::DOUBLE, 0) AS precision, tp / (tp + fn)::DOUBLE AS recall,
+        2 * tp / (2 * tp + fp + fn)::DOUBLE AS f1, roc_auc, pr_auc
+      FROM (SELECT COUNT(*) FILTER (WHERE s >= 0.5 AND y = 1) AS tp, COUNT(*) FILTER (WHERE s >= 0.5 AND y = 0) AS fp,
+                   COUNT(*) FILTER (WHERE s < 0.5 AND y = 1) AS fn, COUNT(*) FILTER (WHERE s < 0.5 AND y = 0) AS tn
+            FROM (SELECT y, {score} AS s FROM l_orders)),
+           (SELECT SUM(neg * ((tp - pos) + pos / 2.0::DOUBLE)) / (ANY_VALUE(n_pos)::DOUBLE * ANY_VALUE(n_neg)) AS roc_auc,
+                   SUM(pos / n_pos::DOUBLE * (tp / (tp + fp)::DOUBLE)) AS pr_auc
+            FROM (SELECT s, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp, pos, neg
+                  FROM (SELECT s, COUNT(*) FILTER (WHERE y = 1) AS pos, COUNT(*) FILTER (WHERE y = 0) AS neg
+                        FROM (SELECT y, {score} AS s FROM l_orders) GROUP BY s)
+                  WINDOW w AS (ORDER BY s DESC)), l_totals)"""
+
+
 _SHARED = {
     **VIEWS,
     "l_orders": """SELECT order_id, bought, late_delivery AS y,
@@ -66,6 +103,13 @@ _SHARED = {
                              + (frequency - AVG(frequency) OVER ()) / stddev_pop(frequency) OVER ()
                              + (monetary - AVG(monetary) OVER ()) / stddev_pop(monetary) OVER () AS value_score
                    FROM s_profiles""",
+    "i_rows": """SELECT v_delivered.*, evaluation_split FROM v_delivered JOIN l_split USING (order_id)""",
+    "i_train": "SELECT * FROM i_rows WHERE evaluation_split = 'Training'",
+    "s_named": """SELECT cluster, customers, ['Low Engagement', 'At Risk', 'Loyal', 'Champions'][row_number()
+                         OVER (ORDER BY value_score, cluster)] AS segment FROM s_scores""",
+    "s_segments": """SELECT f.customer_unique_id, f.recency, f.frequency, f.monetary, n.cluster,
+                            COALESCE(n.segment, 'No Delivered Purchase') AS segment
+                     FROM m_features f LEFT JOIN s_named n ON f.delivered_orders > 0 AND f.customer_unique_id % 4 = n.cluster""",
 }
 
 _MODELS = {
@@ -127,6 +171,52 @@ _MODELS = {
                  FROM l_orders, (SELECT MIN(p) AS low, MAX(p) AS high FROM l_orders))
            GROUP BY ALL""",
     ),
+    "imputed_features": (
+        "order_id:l " + " ".join(f"{c}:d" for c in _NUMERIC) + " " + " ".join(f"{c}:s" for c in _CATEGORICAL),
+        "SELECT order_id, " + ", ".join([*map(_number_sql, _NUMERIC), *map(_level_sql, _CATEGORICAL)]) + " FROM i_rows",
+    ),
+    "selected_model": (
+        "model:s accuracy:d precision:d recall:d f1:d roc_auc:d pr_auc:d",
+        "SELECT * FROM ("
+        + " UNION ALL ".join(
+            f"({_candidate_sql(n, s)})"
+            for n, s in (("Promise", "round(p, 1)"), ("Promise and month", "p"), ("Constant", "0.75::DOUBLE"))
+        )
+        + ") ORDER BY f1 DESC, pr_auc DESC, model LIMIT 1",
+    ),
+    "retention_split": (
+        "customer_unique_id:l target:l split:s",
+        """SELECT customer_unique_id, target, CASE WHEN row_number() OVER w - 1 < floor(0.75::DOUBLE * COUNT(*) OVER (PARTITION BY target))
+                  THEN 'Training' ELSE 'Test' END AS split
+           FROM r_plain WINDOW w AS (PARTITION BY target ORDER BY md5(customer_unique_id || ':42'), customer_unique_id)""",
+    ),
+    "named_segments": (
+        "customer_unique_id:l cluster:l segment:s",
+        "SELECT * FROM s_segments",
+    ),
+    "segment_counts": (
+        "segment:s customers:l",
+        "SELECT segment, COUNT(*) AS customers FROM s_segments GROUP BY segment",
+    ),
+    "segment_means": (
+        "segment:s customers:l recency:d frequency:d monetary:d",
+        """SELECT segment, COUNT(*) AS customers, AVG(recency) AS recency, AVG(frequency) AS frequency,
+                  AVG(CAST(monetary AS DOUBLE)) AS monetary FROM s_segments GROUP BY segment""",
+    ),
+    "largest_segment": (
+        "segment:s customers:l",
+        "SELECT segment, customers FROM s_named ORDER BY customers DESC, segment LIMIT 1",
+    ),
+    "segment_interpretations": (
+        "segment:s behaviour:s action:s",
+        """SELECT segment, behaviour, action FROM s_named JOIN (VALUES
+             ('Champions', 'Most recent, frequent, and valuable customers.', 'Protect loyalty with early access and recognition.'),
+             ('Loyal', 'Repeat customers with consistent value.', 'Use replenishment and category-affinity campaigns.'),
+             ('At Risk', 'Customers whose recency is weaker relative to their value.',
+              'Test selective re-engagement based on prior category.'),
+             ('Low Engagement', 'Mostly one-order customers with lower historical engagement.',
+              'Use low-cost onboarding and post-purchase journeys.')) AS texts(segment, behaviour, action) USING (segment)""",
+    ),
     "retention_dataset": (_RETENTION_SPEC, "SELECT * FROM r_plain"),
     "retention_known_at_cutoff": (_RETENTION_SPEC, "SELECT * FROM r_known"),
     "retention_gate": (

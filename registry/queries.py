@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 
 from marketgrain import job
 from marketgrain.functions.scalars import risk_band
-from marketgrain.ml import delivery, retention, segmentation
+from marketgrain.ml import delivery, prep, retention, segmentation
 from marketgrain.ml import metrics as measures
 from marketgrain.operators import quality, ranks
 from marketgrain.operators.keys import checked_join, first_per_key
 from marketgrain.plans import customer_value as value
-from marketgrain.plans import forecast, insights, kpis, marts, recommend, views
+from marketgrain.plans import forecast, grains, insights, kpis, marts, recommend, views
 from marketgrain.plans.clean import clean_text, parse_dates
 from marketgrain.plans.marketplace import Marketplace
 from marketgrain.plans.order_level import delivery_slice
 from marketgrain.plans.questions import QUESTIONS
 from marketgrain.session import pin
+from marketgrain.sources.sample_views import text_export
+from marketgrain.sources.writers import with_row_keys
 from registry.portable import portable
 
 Query = Callable[[Marketplace], DataFrame]
@@ -58,15 +60,27 @@ def candidate_keys(m):
 
 @named
 def join_multiplication(m):
+    """All joins of the order table and its parts, and those that would multiply rows without a fold."""
     t = m.tables
-    return quality.union_all(
-        [
-            quality.join_multiplication("orders to customers", t["orders"], t["customers"], ["customer_id"]),
-            quality.join_multiplication("items to products", t["order_items"], t["products"], ["product_id"]),
-            quality.join_multiplication("orders to items", t["orders"], t["order_items"], ["order_id"]),
-            quality.join_multiplication("orders to payments", t["orders"], t["payments"], ["order_id"]),
-        ]
-    )
+    key = {"customer": "customer_zip_code_prefix", "seller": "seller_zip_code_prefix"}
+    zips = {role: m.zip_summary.select(F.col("geolocation_zip_code_prefix").alias(c)) for role, c in key.items()}
+    folds = grains.item_folds(t["order_items"])
+    joins = [
+        ("orders to customers", t["orders"], t["customers"], "customer_id"),
+        ("items to products", t["order_items"], t["products"], "product_id"),
+        ("items to sellers", t["order_items"], t["sellers"], "seller_id"),
+        ("item folds to products", folds, t["products"], "product_id"),
+        ("orders to items", t["orders"], t["order_items"], "order_id"),
+        ("orders to payments", t["orders"], t["payments"], "order_id"),
+        ("orders to reviews", t["orders"], t["reviews"], "order_id"),
+        ("orders to items per order", t["orders"], m.items_per_order, "order_id"),
+        ("orders to payments per order", t["orders"], m.payments_per_order, "order_id"),
+        ("orders to reviews per order", t["orders"], m.reviews_per_order, "order_id"),
+        ("customers to zip summary", t["customers"], zips["customer"], key["customer"]),
+        ("sellers to zip summary", t["sellers"], zips["seller"], key["seller"]),
+        ("products to category names", t["products"], t["category_translation"], "product_category_name"),
+    ]
+    return quality.union_all(quality.join_multiplication(name, left, right, [c]) for name, left, right, c in joins)
 
 
 @named
@@ -116,54 +130,58 @@ def null_findings(m):
     return quality.null_findings(m.tables)
 
 
+def _exported(m):
+    """All nine tables as a text export with unreadable dates and padded text."""
+    tables = {**m.tables, "products": m.tables["products"].select("product_id", "product_category_name", "product_brand", "product_weight_g")}
+    return text_export(tables)
+
+
+def _texts(tables):
+    """The text columns that are no dates."""
+    return {n: [c for c in quality.text_columns(df) if c not in quality.date_columns(df)] for n, df in tables.items()}
+
+
 @named
 def column_profile(m):
-    return quality.column_profile(m.tables["orders"], "orders")
+    return quality.schema_profile(_exported(m))
 
 
 @named
 def date_profile(m):
-    profile = quality.date_profile(m.tables["orders"], "orders")
-    return profile.unionByName(quality.date_profile(m.tables["order_items"], "order_items"))
+    return quality.schema_dates(_exported(m))
 
 
 @named
 def numeric_profile(m):
-    profile = quality.numeric_profile(m.tables["order_items"], "order_items")
-    return profile.unionByName(quality.numeric_profile(m.tables["geolocation"], "geolocation"))
+    return quality.schema_numbers(_exported(m))
 
 
 @named
 def top_values(m):
-    return quality.top_values(m.tables["customers"], "customers").unionByName(
-        quality.top_values(m.tables["payments"], "payments")
-    )
+    tables = _exported(m)
+    return quality.schema_top_values(tables, _texts(tables))
 
 
 # ---- cleaning -----------------------------------------------------------------------------------
 
 
 @named
-def clean_text_table(m):
-    padded = m.tables["customers"].select(
-        "customer_id", F.concat(F.lit(" \t"), "customer_city", F.lit("\n ")).alias("customer_city"), "customer_state"
-    )
-    return clean_text(padded)
+def clean_text_tables(m):
+    """Every text of every table after cleaning, counted."""
+    tables = _exported(m)
+    return quality.schema_frequencies({n: clean_text(df) for n, df in tables.items()}, _texts(tables))
 
 
-QUERIES["clean_text"] = QUERIES.pop("clean_text_table")
+QUERIES["clean_text"] = QUERIES.pop("clean_text_tables")
 
 
 @named
 def parsed_dates(m):
-    """Review dates sent through text, with every seventh made unreadable."""
-    text = m.tables["reviews"].select(
-        "review_id",
-        F.when(F.col("review_id") % 7 == 0, "no date")
-        .otherwise(F.col("review_answer_timestamp").cast("string"))
-        .alias("review_answer_timestamp"),
-    )
-    return parse_dates("reviews", text)
+    """Every date of every table after parsing, counted; unreadable ones are unknown."""
+    tables = {n: parse_dates(n, df) for n, df in _exported(m).items()}
+    columns = {n: [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"] for n, df in tables.items()}
+    counted = quality.schema_frequencies(tables, columns)
+    return counted.select("table_name", "column_name", F.expr("cast(value AS timestamp_ntz)").alias("moment"), "copies")
 
 
 @named
@@ -233,6 +251,13 @@ def haversine_km(m):
     return m.order_level.select("order_id", "distance_km")
 
 
+@named
+def review_row_keys(m):
+    """Dense keys of all reviews in the order of their answers."""
+    reviews = m.tables["reviews"].select("review_answer_timestamp", "review_id", "order_id")
+    return with_row_keys(reviews, ["review_answer_timestamp", "review_id"])
+
+
 @named
 def first_per_key_items(m):
     """The cheapest item of every seller."""
@@ -333,6 +358,13 @@ def spend_percent_rank(m):
     return ranks.average_percent_rank(m.customer_features, "total_spend")
 
 
+@named
+def seller_state_shares(m):
+    """Share and running share of the sellers of each state; many states have equally many."""
+    sellers = m.tables["sellers"].groupBy("seller_state").agg(F.count(F.lit(1)).alias("sellers"))
+    return ranks.running_shares(sellers, "sellers")
+
+
 @named
 def exact_quantiles(m):
     """Quartiles and tails of the item price per seller state."""
@@ -573,8 +605,7 @@ def forecast_future(m):
 
 @named
 def trend_forecast(m):
-    trend = forecast.trend_predictions(forecast.split_months(_series_months(m), SERIES), SERIES)
-    return trend.withColumn("predicted", F.round("predicted", 1))
+    return forecast.trend_predictions(forecast.split_months(_series_months(m), SERIES), SERIES)
 
 
 def _history(m):
@@ -584,14 +615,12 @@ def _history(m):
 
 @named
 def forecast_lines(m):
-    return views.forecast_lines(_history(m), SERIES).withColumn("value", F.round("value", 1))
+    return views.forecast_lines(_history(m), SERIES)
 
 
 @named
 def forecast_history(m):
-    history = _history(m)
-    rounded = {c: F.round(c, 1) for c in ("actual", "predicted", "future_forecast")}
-    return history.withColumns(rounded)
+    return _history(m)
 
 
 # ---- models -------------------------------------------------------------------------------------
@@ -611,6 +640,29 @@ def delivery_training_set(m):
     return delivery.training_set(m.order_level)
 
 
+@named
+def imputed_features(m):
+    """The delivery features as the models' scaling and encoding take them: medians, usual and shared levels."""
+    split = delivery.chronological_split(delivery.training_set(m.order_level))
+    training = split.where(F.col("evaluation_split") == "Training")
+    rows = prep.imputed(training, split, delivery.NUMERIC, delivery.CATEGORICAL)
+    numbers = [F.col(f"{c}__number").alias(c) for c in delivery.NUMERIC]
+    return rows.select("order_id", *numbers, *[F.col(c).alias(c.removesuffix("__level")) for c in prep.level_names(delivery.CATEGORICAL)])
+
+
+@named
+def selected_model(m):
+    """The candidate chosen among given scores: the promise alone, the promise and month, and one for all."""
+    known = _lateness(m)
+    p = F.col("late_delivery_probability")
+    candidates = {"Promise": F.round(p, 1), "Promise and month": p, "Constant": F.lit(0.75)}
+    scored = quality.union_all(
+        known.select(F.lit(name).alias("model"), "late_delivery", of.alias("late_delivery_probability")) for name, of in candidates.items()
+    )
+    compared = measures.classification_metrics(scored, "late_delivery", "late_delivery_probability", ["model"])
+    return delivery.best_model(compared)
+
+
 @named
 def chronological_split(m):
     return delivery.chronological_split(_lateness(m)).select("order_id", "order_purchase_timestamp", "evaluation_split")
@@ -673,6 +725,13 @@ def retention_known_at_cutoff(m):
     return retention.retention_dataset(m.orders("customers", "sums", "reviews"), CUTOFF, HORIZON_END, True)
 
 
+@named
+def retention_split(m):
+    """The stratified split of the retention customers by a hash that any engine computes alike."""
+    split = retention.stratified_split(QUERIES["retention_dataset"](m))
+    return split.select("customer_unique_id", "target", "split")
+
+
 @named
 def retention_gate(m):
     return retention.feasibility(QUERIES["retention_dataset"](m))
@@ -684,11 +743,45 @@ def retention_scores(m):
     return retention.train(m.orders("customers", "sums", "reviews"), CUTOFF, HORIZON_END, 5, 0.005, 5).predictions
 
 
+def _clusters(m):
+    """Clusters that any engine can form."""
+    return _rfm(m).select("*", (F.col("customer_unique_id") % 4).cast("int").alias("cluster"))
+
+
 @named
 def segment_naming(m):
-    """Profiles and names for clusters that any engine can form."""
-    clusters = (F.col("customer_unique_id") % 4).cast("int").alias("cluster")
-    return segmentation.segment_profiles(_rfm(m).select("*", clusters))
+    """Profiles and names of given clusters."""
+    return segmentation.segment_profiles(_clusters(m))
+
+
+def _segments(m):
+    return segmentation.named_segments(m.customer_features, _clusters(m), QUERIES["segment_naming"](m))
+
+
+@named
+def named_segments(m):
+    """Every customer's segment for given clusters; without a delivered order there is none."""
+    return _segments(m).select("customer_unique_id", "cluster", "segment")
+
+
+@named
+def segment_counts(m):
+    return segmentation.segment_counts(_segments(m))
+
+
+@named
+def segment_means(m):
+    return segmentation.segment_means(_segments(m))
+
+
+@named
+def largest_segment(m):
+    return segmentation.largest_segment(QUERIES["segment_naming"](m))
+
+
+@named
+def segment_interpretations(m):
+    return segmentation.interpretations(QUERIES["segment_naming"](m))
 
 
 @named
