@@ -114,24 +114,31 @@ def join_multiplication(name: str, left: DataFrame, right: DataFrame, keys: Sequ
 
 
 def validation_report(tables: Tables, expected_rows: Mapping[str, int] | None = None) -> DataFrame:
-    """Rows, columns, exact duplicate rows and null cells per table, against expected row counts if given."""
+    """Rows, columns, exact duplicate rows and null cells per table, against expected row counts if given.
+
+    Only a hash of each row is shuffled. Rows whose hash repeats are read again and compared whole.
+    """
     expected = expected_rows or {}
 
     def report(name: str) -> DataFrame:
         df = tables[name]
         nulls = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("long") for c in df.columns])
-        folded = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies")).withColumn("__nulls", nulls)
+        row = F.xxhash64(*df.columns)
+        folded = df.groupBy(row.alias("__row")).agg(F.count(F.lit(1)).alias("__copies"), F.sum(nulls).alias("__nulls"))
+        repeated = folded.where(F.col("__copies") > 1).select("__row")
+        suspects = df.withColumn("__row", row).join(repeated, "__row", "left_semi").drop("__row")
+        copies = suspects.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
+        duplicates = copies.agg(F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0))).scalar()
         return folded.agg(
             F.coalesce(F.sum("__copies"), F.lit(0)).alias("rows"),
-            F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("duplicate_rows"),
-            F.coalesce(F.sum(F.col("__copies") * F.col("__nulls")), F.lit(0)).alias("null_cells"),
+            F.coalesce(F.sum("__nulls"), F.lit(0)).alias("null_cells"),
         ).select(
             F.lit(name).alias("table_name"),
             "rows",
             F.lit(len(df.columns)).alias("columns"),
             F.lit(expected.get(name)).cast("bigint").alias("expected_rows"),
             (F.col("rows") == F.lit(expected.get(name)).cast("bigint")).alias("row_count_matches"),
-            "duplicate_rows",
+            duplicates.alias("duplicate_rows"),
             "null_cells",
         )
 
@@ -204,27 +211,44 @@ def null_findings(tables: Tables, required: Mapping[str, Sequence[str]] = NOT_NU
     return union_all(finding(name, columns) for name, columns in required.items())
 
 
-def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, value, copies) of all columns as text: one shuffle of counted values."""
-    names = list(columns or df.columns)
-    text = df.select(*[F.col(c).cast("string").alias(c) for c in names])
-    return text.unpivot([], names, "column_name", "value").groupBy("column_name", "value").agg(
-        F.count(F.lit(1)).alias("copies")
-    )
+def value_frequencies(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """(table_name, column_name, value, copies) of the columns as text: one shuffle of counted values."""
+    return schema_frequencies({table: df}, {table: columns or df.columns})
 
 
-def column_profile(df: DataFrame, table: str) -> DataFrame:
-    """Type, nulls, null percentage and distinct values of every column."""
-    types = F.create_map(*[F.lit(x) for name, kind in df.dtypes for x in (name, kind)])
+def schema_frequencies(tables: Tables, columns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """(table_name, column_name, value, copies) of all columns of all tables as text.
+
+    Every table is read once and unpivoted, and all share one shuffle of values that are counted in the map tasks.
+    Nulls, distinct values, extremes, frequent values and padding of a whole schema derive from this table.
+    """
+
+    def cells(name: str) -> DataFrame:
+        names = list((columns or {}).get(name, tables[name].columns))
+        text = tables[name].select(*[F.col(c).cast("string").alias(c) for c in names])
+        return text.unpivot([], names, "column_name", "value").select(F.lit(name).alias("table_name"), "column_name", "value")
+
+    wanted = [name for name in (columns or tables) if (columns or {}).get(name, True)]
+    every = union_all(cells(name) for name in wanted)
+    return every.groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def _data_types(tables: Tables) -> Column:
+    pairs = [x for name in tables for column, kind in tables[name].dtypes for x in (f"{name}.{column}", kind)]
+    return F.create_map(*[F.lit(x) for x in pairs])[F.concat("table_name", F.lit("."), "column_name")]
+
+
+def schema_profile(tables: Tables, frequencies: DataFrame | None = None) -> DataFrame:
+    """Type, nulls, null percentage and distinct values of every column of every table."""
     nulls = F.sum(F.when(F.col("value").isNull(), F.col("copies")).otherwise(0))
     return (
-        value_frequencies(df)
-        .groupBy("column_name")
+        (frequencies or schema_frequencies(tables))
+        .groupBy("table_name", "column_name")
         .agg(F.sum("copies").alias("rows"), nulls.alias("nulls"), F.count("value").alias("distinct_values"))
         .select(
-            F.lit(table).alias("table_name"),
+            "table_name",
             "column_name",
-            types[F.col("column_name")].alias("data_type"),
+            _data_types(tables).alias("data_type"),
             "rows",
             "nulls",
             F.round(F.col("nulls") * 100.0 / F.col("rows"), 4).cast("double").alias("null_percentage"),
@@ -233,67 +257,97 @@ def column_profile(df: DataFrame, table: str) -> DataFrame:
     )
 
 
+def column_profile(df: DataFrame, table: str) -> DataFrame:
+    """``schema_profile`` of one table."""
+    return schema_profile({table: df})
+
+
 def date_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if "date" in c or "timestamp" in c]
 
 
-def date_profile(df: DataFrame, table: str) -> DataFrame:
+def schema_dates(tables: Tables, frequencies: DataFrame | None = None) -> DataFrame:
     """Readable, unreadable, first and last value of every column named like a date."""
-    names = date_columns(df)
-    parsed = {c: F.expr(f"try_cast(`{c}` AS TIMESTAMP_NTZ)") for c in names}
-    cells = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.count(parsed[c]).alias("valid"),
-            F.count_if(F.col(c).isNotNull() & parsed[c].isNull()).alias("invalid_non_null"),
-            F.min(parsed[c]).alias("minimum"),
-            F.max(parsed[c]).alias("maximum"),
-        ).alias(c)
-        for c in names
-    ]
-    return _rows_of(df.agg(*cells), names, table)
+    names = {name: date_columns(tables[name]) for name in tables}
+    if frequencies is None:
+        frequencies = schema_frequencies(tables, {n: c for n, c in names.items() if c})
+    named = F.concat("table_name", F.lit("."), "column_name").isin([f"{n}.{c}" for n, cs in names.items() for c in cs])
+    moment, copies = F.expr("try_cast(value AS TIMESTAMP_NTZ)"), F.col("copies")
+    return (
+        frequencies.where(named)
+        .groupBy("table_name", "column_name")
+        .agg(
+            F.sum(F.when(moment.isNotNull(), copies).otherwise(0)).alias("valid"),
+            F.sum(F.when(F.col("value").isNotNull() & moment.isNull(), copies).otherwise(0)).alias("invalid_non_null"),
+            F.min(moment).alias("minimum"),
+            F.max(moment).alias("maximum"),
+        )
+    )
 
 
-def numeric_profile(df: DataFrame, table: str) -> DataFrame:
+def date_profile(df: DataFrame, table: str) -> DataFrame:
+    """``schema_dates`` of one table."""
+    return schema_dates({table: df})
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+
+
+def schema_numbers(tables: Tables, frequencies: DataFrame | None = None) -> DataFrame:
     """Range, zeros, negatives and non-finite values of every numeric column."""
-    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    cells = []
-    for name in names:
-        value = F.col(name).cast("double")
-        cells.append(
-            F.struct(
-                F.lit(name).alias("column_name"),
-                F.min(value).alias("minimum"),
-                F.max(value).alias("maximum"),
-                F.count_if(value == 0).alias("zero_count"),
-                F.count_if(value < 0).alias("negative_count"),
-                F.count_if(F.isnan(value) | (F.abs(value) == float("inf"))).alias("non_finite_count"),
-            ).alias(name)
+    names = {name: numeric_columns(tables[name]) for name in tables}
+    if frequencies is None:
+        frequencies = schema_frequencies(tables, {n: c for n, c in names.items() if c})
+    named = F.concat("table_name", F.lit("."), "column_name").isin([f"{n}.{c}" for n, cs in names.items() for c in cs])
+    value = F.expr("try_cast(value AS DOUBLE)")
+
+    def rows(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("copies")).otherwise(0))
+
+    return (
+        frequencies.where(named)
+        .groupBy("table_name", "column_name")
+        .agg(
+            F.min(value).alias("minimum"),
+            F.max(value).alias("maximum"),
+            rows(value == 0).alias("zero_count"),
+            rows(value < 0).alias("negative_count"),
+            rows(F.isnan(value) | (F.abs(value) == float("inf"))).alias("non_finite_count"),
         )
-    return _rows_of(df.agg(*cells), names, table)
+    )
 
 
-def _rows_of(row: DataFrame, names: Sequence[str], table: str) -> DataFrame:
-    exploded = row.select(F.explode(F.array(*[F.col(n) for n in names])).alias("cell"))
-    return exploded.select(F.lit(table).alias("table_name"), "cell.*")
+def numeric_profile(df: DataFrame, table: str) -> DataFrame:
+    """``schema_numbers`` of one table."""
+    return schema_numbers({table: df})
 
 
 def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def top_values(df: DataFrame, table: str, columns: Sequence[str] | None = None, count: int = 10) -> DataFrame:
+def schema_top_values(
+    tables: Tables, columns: Mapping[str, Sequence[str]] | None = None, count: int = 10, frequencies: DataFrame | None = None
+) -> DataFrame:
     """The most frequent values of every text column, null included, with the column's padded-row count."""
-    frequencies = value_frequencies(df, columns or text_columns(df))
+    names = columns or {name: text_columns(tables[name]) for name in tables}
+    names = {name: listed for name, listed in names.items() if listed}
+    if frequencies is None:
+        frequencies = schema_frequencies(tables, names)
+    named = F.concat("table_name", F.lit("."), "column_name").isin([f"{n}.{c}" for n, cs in names.items() for c in cs])
+    frequencies = frequencies.where(named)
+    keys = ["table_name", "column_name"]
     padded = F.sum(F.when(F.col("value") != strip(F.col("value")), F.col("copies")).otherwise(0))
-    per_column = frequencies.groupBy("column_name").agg(
-        F.count("value").alias("distinct_values"), padded.alias("padded_rows")
-    )
-    order = Window.partitionBy("column_name").orderBy(F.desc("copies"), F.asc_nulls_last("value"))
+    per_column = frequencies.groupBy(*keys).agg(F.count("value").alias("distinct_values"), padded.alias("padded_rows"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("copies"), F.asc_nulls_last("value"))
     ranked = frequencies.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count)
-    return ranked.join(per_column, "column_name").select(
-        F.lit(table).alias("table_name"), "column_name", "place", "value", "copies", "distinct_values", "padded_rows"
-    )
+    return ranked.join(per_column, keys).select(*keys, "place", "value", "copies", "distinct_values", "padded_rows")
+
+
+def top_values(df: DataFrame, table: str, columns: Sequence[str] | None = None, count: int = 10) -> DataFrame:
+    """``schema_top_values`` of one table."""
+    return schema_top_values({table: df}, {table: columns or text_columns(df)}, count)
 
 
 def grain_audit(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from marketgrain.operators.keys import checked_join, not_null
+from marketgrain.operators.keys import checked_join, first_per_key, not_null
 from marketgrain.operators.ranks import exact_quantiles
 
 # The box of plausible coordinates, both ends included.
@@ -74,7 +74,7 @@ def sellers_geo(sellers: DataFrame, zips: DataFrame) -> DataFrame:
 
 
 def categorised_items(order_items: DataFrame, products: DataFrame) -> DataFrame:
-    """Order items with category and weight; still one row per item."""
+    """Order items (or their folds) with category and weight; still one row per item."""
     product = products.select("product_id", "product_category", "product_weight_g")
     joined = checked_join(order_items, product, "product_id", name="products")
     return joined.withColumn("product_category", F.coalesce("product_category", F.lit("Unknown")))
@@ -86,33 +86,94 @@ def enriched_items(items: DataFrame, sellers: DataFrame) -> DataFrame:
     return checked_join(items, seller, "seller_id", name="sellers")
 
 
-def items_per_order(order_items: DataFrame) -> DataFrame:
-    """Counts and sums per order.
+#: Distance between two line values in ``_line_rank``; above all item numbers.
+_ITEM_NUMBERS = 1 << 33
+
+
+def _line_rank() -> Column:
+    """The place of an item in its order as one fixed-width number, which hash aggregation can fold.
 
-    Each distinct count folds its own (order, id) pairs and then counts rows: two narrow shuffles
-    instead of every row three times, and the last step of both is on ``order_id``, so the join of the
-    two moves nothing.
+    The most valuable line comes first, an unknown value last; the smaller item number decides ties.
     """
-    items = not_null(order_items, "order_id")
-    by_product = _sums(items.groupBy("order_id", "product_id"), F.col("price"), F.col("freight_value"))
-    by_order = by_product.groupBy("order_id").agg(
-        F.sum("item_count").alias("item_count"),
-        F.count("product_id").alias("unique_product_count"),
-        F.sum("merchandise_revenue").cast("decimal(22,2)").alias("merchandise_revenue"),
-        F.sum("total_freight_value").cast("decimal(22,2)").alias("total_freight_value"),
-    )
-    pairs = items.select("order_id", "seller_id").distinct()
-    sellers = pairs.groupBy("order_id").agg(F.count("seller_id").alias("unique_seller_count"))
-    return by_order.join(sellers, "order_id").select(
-        "order_id",
-        "item_count",
-        "unique_product_count",
-        "unique_seller_count",
-        "merchandise_revenue",
-        "total_freight_value",
+    cents = ((F.col("price") + F.col("freight_value")) * 100).cast("decimal(20,0)")
+    value = F.coalesce(-cents, F.lit("9" * 21).cast("decimal(21,0)")).cast("decimal(28,0)")
+    number = F.coalesce(F.col("order_item_id").cast("bigint") + (1 << 32), F.lit(0)).cast("decimal(10,0)")
+    return (value * F.lit(_ITEM_NUMBERS).cast("decimal(10,0)") + number).cast("decimal(38,0)")
+
+
+def item_folds(order_items: DataFrame) -> DataFrame:
+    """One mergeable row per (order, product, seller): count, sums and the rank of the best line.
+
+    Everything an order needs of its items derives from these rows, so the items are read and shuffled once.
+    Category and weight of categorised items are kept.
+    """
+    named = [c for c in ("product_category", "product_weight_g") if c in order_items.columns]
+    return not_null(order_items, "order_id").groupBy("order_id", "product_id", "seller_id", *named).agg(
+        F.count(F.lit(1)).alias("item_count"),
+        F.sum("price").cast("decimal(22,2)").alias("merchandise_revenue"),
+        F.sum("freight_value").cast("decimal(22,2)").alias("total_freight_value"),
+        F.min(_line_rank()).alias("best_line"),
     )
 
 
+def categorised_folds(order_items: DataFrame, products: DataFrame) -> DataFrame:
+    """The folds of the items with category and weight, looked up per fold and not per item."""
+    return categorised_items(item_folds(order_items), products)
+
+
+def _money_sum(column: str) -> Column:
+    return F.coalesce(F.sum(column), F.lit(0)).cast("decimal(22,2)").alias(column)
+
+
+def _counts() -> list[Column]:
+    return [
+        F.sum("item_count").alias("item_count"),
+        F.count_distinct("product_id").alias("unique_product_count"),
+        F.count_distinct("seller_id").alias("unique_seller_count"),
+        _money_sum("merchandise_revenue"),
+        _money_sum("total_freight_value"),
+    ]
+
+
+def _mean_weight() -> Column:
+    weighed = F.when(F.col("product_weight_g").isNotNull(), F.col("item_count"))
+    mean = F.sum(F.col("product_weight_g") * F.col("item_count")) / F.sum(weighed)
+    return mean.alias("average_product_weight_g")
+
+
+def _with_best_line(folds: DataFrame, per_order: DataFrame) -> DataFrame:
+    """``per_order`` (with ``best_line``) and the category and seller of that line.
+
+    The rank was folded by hash; only the folds that reach it are looked at, and equal ones are told apart by
+    product and seller. The join key holds the rank, so the folds of a hot order spread over tasks.
+    """
+    lines = folds.select("order_id", "best_line", "product_id", "seller_id", "product_category")
+    reached = per_order.join(lines, ["order_id", "best_line"])
+    return first_per_key(reached, ["order_id"], [F.asc("product_id"), F.asc("seller_id")]).drop("best_line", "product_id")
+
+
+def _with_place(per_order: DataFrame, sellers: DataFrame) -> DataFrame:
+    """The seller's place, looked up for the one chosen line of an order, not for every item."""
+    place = [c for c in ("seller_state", "seller_lat", "seller_lng") if c in sellers.columns]
+    located = checked_join(per_order, sellers.select("seller_id", *place), "seller_id", name="sellers")
+    return located.drop("seller_id")
+
+
+def items_per_order(order_items: DataFrame) -> DataFrame:
+    """Counts and sums per order."""
+    return item_folds(order_items).groupBy("order_id").agg(*_counts())
+
+
+def order_facts(order_items: DataFrame, products: DataFrame, sellers: DataFrame) -> DataFrame:
+    """``items_per_order`` and ``order_context`` in one row per order, from one fold of the items.
+
+    ``sellers`` may come without coordinates when the caller does not need them.
+    """
+    folds = categorised_folds(order_items, products)
+    per_order = folds.groupBy("order_id").agg(*_counts(), _mean_weight(), F.min("best_line").alias("best_line"))
+    return _with_place(_with_best_line(folds, per_order), sellers)
+
+
 def _sums(grouped: GroupedData, price: Column, freight: Column) -> DataFrame:
     return grouped.agg(
         F.count(F.lit(1)).alias("item_count"),
@@ -172,28 +233,10 @@ def reviews_per_order(reviews: DataFrame) -> DataFrame:
 def order_context(items: DataFrame, sellers: DataFrame) -> DataFrame:
     """Category and seller place of the order's most valuable item, and the mean product weight.
 
-    ``items`` are categorised items. The seller is looked up for the one chosen item of an order, not
-    for every item. ``sellers`` may come without coordinates when the caller does not need them.
+    ``items`` are categorised items or their folds. ``sellers`` may come without coordinates.
     """
-    line_value = F.col("price") + F.col("freight_value")
-    rank = F.struct(
-        line_value.isNull(),
-        -line_value,
-        "order_item_id",
-        # not needed where (order_id, order_item_id) is a key
-        "product_id",
-        "seller_id",
-        "shipping_limit_date",
-    )
-    chosen = (
-        not_null(items, "order_id")
-        .groupBy("order_id")
-        .agg(
-            F.min_by(F.struct("product_category", "seller_id"), rank).alias("primary_item"),
-            F.avg("product_weight_g").alias("average_product_weight_g"),
-        )
-        .select("order_id", "primary_item.*", "average_product_weight_g")
-    )
-    place = [c for c in ("seller_state", "seller_lat", "seller_lng") if c in sellers.columns]
-    located = checked_join(chosen, sellers.select("seller_id", *place), "seller_id", name="sellers")
+    folds = items if "best_line" in items.columns else item_folds(items)
+    per_order = folds.groupBy("order_id").agg(_mean_weight(), F.min("best_line").alias("best_line"))
+    located = _with_place(_with_best_line(folds, per_order), sellers)
+    place = [c for c in ("seller_state", "seller_lat", "seller_lng") if c in located.columns]
     return located.select("order_id", "product_category", *place, "average_product_weight_g")

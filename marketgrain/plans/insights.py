@@ -179,35 +179,48 @@ def slice_insights(order_level: DataFrame) -> DataFrame:
 
     Shares of a slice without revenue are left unknown.
     """
-    sold = delivered_orders(order_level)
-
-    def leading(key: str, measure: Column) -> Column:
-        grouped = sold.where(F.col(key).isNotNull()).groupBy(key).agg(measure.alias("measure"))
-        return _top(grouped, key, "measure")
-
-    people = sold.groupBy("customer_unique_id").agg(F.count("order_id").alias("orders"))
-    repeats = people.where(F.col("customer_unique_id").isNotNull()).agg(
-        F.struct(F.count_if(F.col("orders") > 1).alias("repeats"), F.count(F.lit(1)).alias("people"))
+    keys = ["product_category", "customer_state", "dominant_payment_type", "customer_unique_id"]
+    late, score = F.col("late_delivery"), F.col("average_review_score")
+    # one expand: the slice by each key alone, and as a whole
+    grouped = (
+        delivered_orders(order_level)
+        .groupingSets([[key] for key in keys] + [[]], *keys)
+        .agg(
+            F.grouping_id().alias("without"),
+            F.sum("merchandise_revenue").alias("revenue"),
+            F.count("order_id").alias("orders"),
+            F.avg(late).alias("late_rate"),
+            F.avg(score).alias("review"),
+            F.avg(F.when(late == 0, score)).alias("on_time_review"),
+            F.avg(F.when(late == 1, score)).alias("late_review"),
+            F.sum("total_freight_value").alias("freight"),
+        )
     )
-    revenue_sum = F.sum("merchandise_revenue")
+    # a key's bit is clear where the rows are grouped by it
+    every = (1 << len(keys)) - 1
+    by = {key: (F.col("without") == every - (1 << (len(keys) - 1 - k))) & F.col(key).isNotNull() for k, key in enumerate(keys)}
 
-    def review(late: int) -> Column:
-        return F.avg(F.when(F.col("late_delivery") == late, F.col("average_review_score")))
+    def leading(key: str, measure: str) -> Column:
+        """The largest measure and its key, ties by key."""
+        return F.min(F.when(by[key], F.struct((-F.col(measure)).alias("below"), F.col(key).alias("key"))))
 
-    summary = sold.agg(
-        revenue_sum.alias("revenue"),
-        F.count("order_id").alias("orders"),
-        F.avg("late_delivery").alias("late_rate"),
-        F.avg("average_review_score").alias("review"),
-        review(0).alias("on_time_review"),
-        review(1).alias("late_review"),
-        F.sum("total_freight_value").alias("freight"),
+    def best(name: str, key: str) -> Column:
+        return F.struct(F.col(f"{name}.key").alias(key), (-F.col(f"{name}.below")).alias("measure")).alias(name)
+
+    totals = ["revenue", "orders", "late_rate", "review", "on_time_review", "late_review", "freight"]
+    buyers = by["customer_unique_id"]
+    summary = grouped.agg(
+        *[F.max(F.when(F.col("without") == every, F.col(c))).alias(c) for c in totals],
+        leading("product_category", "revenue").alias("category"),
+        leading("customer_state", "revenue").alias("state"),
+        leading("dominant_payment_type", "orders").alias("payment"),
+        F.struct(F.count_if(buyers & (F.col("orders") > 1)).alias("repeats"), F.count_if(buyers).alias("people")).alias("repeat"),
     ).select(
-        "*",
-        leading("product_category", revenue_sum).alias("category"),
-        leading("customer_state", revenue_sum).alias("state"),
-        leading("dominant_payment_type", F.count("order_id")).alias("payment"),
-        repeats.scalar().alias("repeat"),
+        *totals,
+        best("category", "product_category"),
+        best("state", "customer_state"),
+        best("payment", "dominant_payment_type"),
+        "repeat",
     )
     revenue = F.col("revenue")
 

@@ -91,11 +91,15 @@ class Marketplace:
         if "order_level" in self.published:
             return self.published["order_level"]
         geo = "geo" in parts
-        items = None
-        if "items" in parts:
-            items = self.items_per_order
-        elif "sums" in parts:
-            items = grains.order_sums(self.tables["order_items"])
+        items, context = None, None
+        if {"items", "context"} <= set(parts) and "order_items_order_level" not in self.published:
+            items = grains.order_facts(self.tables["order_items"], self.tables["products"], self._sellers(geo))
+        else:
+            if "items" in parts:
+                items = self.items_per_order
+            elif "sums" in parts:
+                items = grains.order_sums(self.tables["order_items"])
+            context = self._context(geo) if "context" in parts else None
         customers = self.customers_geo if geo else self.tables["customers"]
         return build_order_level(
             self.tables["orders"],
@@ -103,12 +107,15 @@ class Marketplace:
             items=items,
             payments=self.payments_per_order if "payments" in parts else None,
             reviews=self.reviews_per_order if "reviews" in parts else None,
-            context=self._context(geo) if "context" in parts else None,
+            context=context,
         )
 
+    def _sellers(self, geo: bool) -> DataFrame:
+        return self.sellers_geo if geo else self.tables["sellers"]
+
     def _context(self, geo: bool) -> DataFrame:
-        items = self.items.drop("seller_state", "seller_lat", "seller_lng")
-        return grains.order_context(items, self.sellers_geo if geo else self.tables["sellers"])
+        folds = grains.categorised_folds(self.tables["order_items"], self.tables["products"])
+        return grains.order_context(folds, self._sellers(geo))
 
     @cached_property
     def order_context(self) -> DataFrame:

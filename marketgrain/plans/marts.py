@@ -132,8 +132,7 @@ def category_summary(items: DataFrame, order_level: DataFrame) -> DataFrame:
         F.avg("freight").alias("average_freight"),
         F.avg("average_review_score").alias("average_review"),
     )
-    # one row per category
-    whole = F.sum("merchandise_revenue").over(Window.partitionBy())
+    whole = summary.agg(F.sum("merchandise_revenue")).scalar()
     return summary.withColumn("category_share", ratio(F.col("merchandise_revenue"), whole))
 
 

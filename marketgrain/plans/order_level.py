@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketgrain.functions.scalars import fractional_days, haversine_km, month_start
 from marketgrain.operators.keys import checked_join
 
+# Columns of the order table that are filled where an order lacks the part, and with what.
 COUNTS = (
     "item_count",
     "unique_product_count",

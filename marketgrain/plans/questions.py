@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marketgrain.functions.scalars import fractional_days, mean_money, month_distance, month_start, ratio
 from marketgrain.operators.keys import first_per_key
+from marketgrain.operators.ranks import running_shares
 
 Tables = Mapping[str, DataFrame]
 
@@ -235,17 +236,7 @@ def q25(t: Tables) -> DataFrame:
 def q26(t: Tables) -> DataFrame:
     """Category share and running share from the largest down; equal revenues share one running value."""
     revenue = _category_orders(t).groupBy("category").agg(F.sum("revenue").alias("revenue"))
-    # one row per category
-    whole = F.sum("revenue").over(Window.partitionBy())
-    running = F.sum("revenue").over(
-        Window.partitionBy().orderBy(F.desc("revenue")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return revenue.select(
-        "category",
-        "revenue",
-        ratio(F.col("revenue"), whole).alias("share"),
-        ratio(running, whole).alias("cumulative_share"),
-    ).orderBy(F.desc("revenue"), "category")
+    return running_shares(revenue, "revenue").orderBy(F.desc("revenue"), "category")
 
 def q27(t: Tables) -> DataFrame:
     """Distinct products and categories per customer, delivered orders."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marketgrain.functions.scalars import mean_money
 from marketgrain.operators.keys import not_null
-from marketgrain.operators.ranks import exact_quantiles
+from marketgrain.operators.ranks import counted_quantiles
 from marketgrain.plans.order_level import delivered_orders
 
 
@@ -166,19 +166,21 @@ def histogram(
     groups = [by] if by else []
     values: list[Column] = [F.col(c).cast("double").alias(c) for c in columns]
     long = df.select(*groups, *values).unpivot(groups, list(columns), "measure", "value")
-    long = long.where(F.col("value").isNotNull())
-    bounds = long.groupBy("measure").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    # distinct values with their copies: bounds, cap and bins all derive from this table
+    counted = long.where(F.col("value").isNotNull()).groupBy(*groups, "measure", "value").agg(F.count(F.lit(1)).alias("copies"))
+    bounds = counted.groupBy("measure").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     if cap is not None:
-        caps = exact_quantiles(long, "value", [cap], ["measure"]).select("measure", F.col("quantile").alias("cap"))
+        whole = counted.groupBy("measure", "value").agg(F.sum("copies").alias("copies")) if groups else counted
+        caps = counted_quantiles(whole, "value", [cap], ["measure"]).select("measure", F.col("quantile").alias("cap"))
         bounds = bounds.join(caps, "measure").select("measure", "low", F.col("cap").alias("high"))
     width = (F.col("high") - F.col("low")) / bins
     step = F.floor((F.least("value", "high") - F.col("low")) / F.when(width > 0, width))
     position = F.least(F.coalesce(step, F.lit(0)), F.lit(bins - 1)).cast("int")
     return (
         # one row of bounds per measure: the caller's list of columns
-        long.join(F.broadcast(bounds), "measure")
+        counted.join(F.broadcast(bounds), "measure")
         .groupBy(*groups, "measure", position.alias("bin"), "low", "high")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        .agg(F.sum("copies").alias("rows"))
         .select(
             *groups,
             "measure",

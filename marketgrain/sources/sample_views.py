@@ -10,6 +10,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketgrain.sources.lazy import LazyTables
 
@@ -65,10 +66,47 @@ def sample_tables(spark: SparkSession, folder: str) -> Mapping[str, DataFrame]:
     )
 
 
+# The number of each row that decides which of its cells are made unreadable or padded.
+_ROW_NUMBERS = {
+    "customers": "customer_id",
+    "orders": "order_id",
+    "order_items": "order_id + order_item_id",
+    "payments": "order_id + payment_sequential",
+    "reviews": "review_id",
+    "products": "product_id",
+    "sellers": "seller_id",
+    "geolocation": "geolocation_zip_code_prefix",
+    "category_translation": "length(product_category_name)",
+}
+
+
+def text_export(tables: Mapping[str, DataFrame]) -> Mapping[str, DataFrame]:
+    """The sample tables as a careless text export: dates are text, some unreadable or empty, and some text is padded.
+
+    Of the rows whose number leaves 3 by 7 every date reads "no date", of those that leave 5 by 11 it is empty; rows
+    that leave 2 by 5 have white space around every text.
+    """
+
+    def exported(name: str) -> DataFrame:
+        df, number = tables[name], F.expr(_ROW_NUMBERS[name])
+        cells = []
+        for field in df.schema.fields:
+            cell = F.col(field.name)
+            if isinstance(field.dataType, T.TimestampNTZType):
+                text = F.date_format(cell, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+                cell = F.when(cell.isNull(), None).when(number % 7 == 3, "no date").when(number % 11 == 5, "").otherwise(text)
+            elif isinstance(field.dataType, T.StringType):
+                cell = F.when(number % 5 == 2, F.concat(F.lit(" \t"), cell, F.lit("\n "))).otherwise(cell)
+            cells.append(cell.alias(field.name))
+        return df.select(*cells)
+
+    return LazyTables({name: (lambda name=name: exported(name)) for name in _ROW_NUMBERS})
+
+
 def _customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
     return customer.join(nation, customer.c_nationkey == nation.nation).select(
         F.col("c_custkey").alias("customer_id"),
-        F.floor(F.col("c_custkey") / 2).cast("bigint").alias("customer_unique_id"),
+        F.expr("c_custkey div 2").alias("customer_unique_id"),
         F.col("c_nationkey").alias("customer_zip_code_prefix"),
         F.col("c_mktsegment").alias("customer_city"),
         F.col("state").alias("customer_state"),
@@ -122,7 +160,7 @@ def _payments(lineitem: DataFrame) -> DataFrame:
 def _reviews(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_id").alias("review_id"),
-        F.floor(F.col("event_id") / 2).cast("bigint").alias("order_id"),
+        F.expr("event_id div 2").alias("order_id"),
         (1 + F.floor("value").cast("int") % 5).cast("int").alias("review_score"),
         F.col("ts").alias("review_creation_date"),
         F.col("ts").alias("review_answer_timestamp"),

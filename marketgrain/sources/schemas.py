@@ -29,16 +29,20 @@ REQUIRED_COLUMNS = {
     table: [part.split()[0] for part in ddl.replace("(12,2)", "").split(", ")] for table, ddl in SCHEMAS.items()
 }
 
+# The columns that hold dates.
 DATE_COLUMNS = {
-    table: tuple(
-        part.split()[0]
-        for part in ddl.replace("(12,2)", "").split(", ")
-        if part.endswith("string") and ("date" in part or "timestamp" in part or part.startswith("order_approved_at"))
-    )
-    for table, ddl in SCHEMAS.items()
+    "orders": (
+        "order_purchase_timestamp",
+        "order_approved_at",
+        "order_delivered_carrier_date",
+        "order_delivered_customer_date",
+        "order_estimated_delivery_date",
+    ),
+    "order_items": ("shipping_limit_date",),
+    "reviews": ("review_creation_date", "review_answer_timestamp"),
 }
 
-# Keys that must be unique, and column sets that are known not to be keys.
+# Keys that must be unique, and column sets that are known not to be keys.
 UNIQUE_KEYS = {
     "customers": ["customer_id"],
     "orders": ["order_id"],
@@ -54,7 +58,7 @@ OBSERVED_KEYS = {
     "category_translation": [["product_category_name"]],
 }
 
-# (child table, child column, parent table, parent column)
+# Fixed values: (child table, child column, parent table, parent column)
 FOREIGN_KEYS = [
     ("orders", "customer_id", "customers", "customer_id"),
     ("order_items", "order_id", "orders", "order_id"),
@@ -64,7 +68,7 @@ FOREIGN_KEYS = [
     ("reviews", "order_id", "orders", "order_id"),
 ]
 
-# (table, rule name, SQL condition that every row has to meet)
+# Fixed values: (table, rule name, SQL condition that every row has to meet)
 RANGE_RULES = [
     ("order_items", "price_not_negative", "price >= 0"),
     ("order_items", "freight_not_negative", "freight_value >= 0"),
@@ -73,6 +77,7 @@ RANGE_RULES = [
     ("reviews", "score_between_1_and_5", "review_score BETWEEN 1 AND 5"),
 ]
 
+# Columns that must be filled.
 NOT_NULL = {
     "customers": [
         "customer_id",
