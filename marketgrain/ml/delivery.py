@@ -135,6 +135,12 @@ def late_probability() -> Column:
     return vector_to_array("probability")[1]
 
 
+def best_model(comparison: DataFrame) -> DataFrame:
+    """The row of the candidate with the best F1, then average precision; the baseline is none."""
+    # one row per candidate
+    return comparison.where(F.col("model") != BASELINE).orderBy(F.desc("f1"), F.desc("pr_auc"), "model").limit(1)
+
+
 def train(order_level: DataFrame, settings: Settings | None = None) -> DeliveryResult:
     """Fit the candidates on the earlier orders, choose by F1 then average precision on the later ones."""
     settings = settings or Settings()
@@ -150,7 +156,8 @@ def train(order_level: DataFrame, settings: Settings | None = None) -> DeliveryR
     ).first()
 
     preparation = fit_preparation(training, NUMERIC, CATEGORICAL)
-    kept = ["order_id", "late_delivery", "evaluation_split", "features"]
+    listed = ["order_id", "order_purchase_timestamp", "customer_state", "late_delivery", "evaluation_split"]
+    kept = [*listed, "features"]
     prepared = pin(preparation.transform(split).select(*kept))
     weighted = measures.with_balance(prepared.where(F.col("evaluation_split") == "Training"), "late_delivery")
     test = prepared.where(F.col("evaluation_split") != "Training")
@@ -172,18 +179,13 @@ def train(order_level: DataFrame, settings: Settings | None = None) -> DeliveryR
             union_all(scored), "late_delivery", "late_delivery_probability", ["model"]
         )
     )
-    # one row per candidate
-    selected = (
-        comparison.where(F.col("model") != BASELINE).orderBy(F.desc("f1"), F.desc("pr_auc"), "model").first()["model"]
-    )
+    selected = best_model(comparison).first()["model"]
     model = joined_model(preparation, fitted[selected])
 
-    probabilities = fitted[selected].transform(prepared).select(
-        "order_id", late_probability().alias("late_delivery_probability")
-    )
     predictions = pin(
-        split.select("order_id", "order_purchase_timestamp", "customer_state", "late_delivery", "evaluation_split")
-        .join(probabilities, "order_id")
+        fitted[selected]
+        .transform(prepared)
+        .select(*listed, late_probability().alias("late_delivery_probability"))
         .withColumn("risk_category", risk_band(F.col("late_delivery_probability")))
     )
     tested = predictions.where(F.col("evaluation_split") != "Training")

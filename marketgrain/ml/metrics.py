@@ -1,6 +1,6 @@
 """Classification measures computed on Spark, exact for any number of distinct scores.
 
-Rows are folded per distinct score first; cumulative counts come from range-split running totals, so
+Rows are folded per distinct score first; cumulative counts come from sums over ranges of the score, so
 neither tied scores nor a large test set end up in one task.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketgrain.functions.scalars import ratio
-from marketgrain.operators.ranks import running_totals
+from marketgrain.operators.ranks import value_totals
 
 THRESHOLD = 0.5
 MEASURES = ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")
@@ -23,7 +23,7 @@ def _steps(scored: DataFrame, label: str, score: str, groups: Sequence[str]) ->
     folded = scored.groupBy(*groups, score).agg(
         F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) != 1).alias("negatives")
     )
-    placed = running_totals(folded, [score], ["positives", "negatives"], groups, descending=True)
+    placed = value_totals(folded, score, ["positives", "negatives"], groups, descending=True)
     return placed.withColumns(
         {
             "true_positives": F.col("positives_before") + F.col("positives"),

@@ -9,13 +9,9 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, St
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketgrain.ml.levels import RARE, LevelTable
 from marketgrain.operators.ranks import exact_quantiles
 
-RARE = "infrequent"
-# Fixed value: levels seen fewer times than this in training share one column.
-MINIMUM_FREQUENCY = 20
-
-
 def numeric_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """The exact median of every column: one number per feature comes back."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
@@ -23,62 +19,39 @@ def numeric_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {c: found.get(c, 0.0) for c in columns}
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def imputer(train: DataFrame, numeric: Sequence[str]) -> SQLTransformer:
+    """Numeric nulls become the median, written as a SQL stage that is saved with the pipeline."""
+    columns = [f"COALESCE(CAST(`{c}` AS DOUBLE), {m!r}D) AS `{c}__number`" for c, m in numeric_medians(train, numeric).items()]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")
 
 
-def _levels(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[list[str], list[str]]]:
-    """Frequent and rare levels per column, most frequent first.
+def level_names(categorical: Sequence[str]) -> list[str]:
+    return [f"{c}__level" for c in categorical]
 
-    Levels are a model's vocabulary (states, categories, payment types): their number does not grow
-    with the rows, and the string indexer keeps them on the driver as well.
-    """
-    text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    counted = (
-        text.unpivot([], list(columns), "column", "level")
-        .where(F.col("level").isNotNull())
-        .groupBy("column", "level")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy("column", F.desc("n"), "level")
-        .collect()
-    )
-    return {
-        c: (
-            [r["level"] for r in counted if r["column"] == c and r["n"] >= MINIMUM_FREQUENCY],
-            [r["level"] for r in counted if r["column"] == c and r["n"] < MINIMUM_FREQUENCY],
-        )
-        for c in columns
-    }
 
+def level_stage(categorical: Sequence[str]) -> LevelTable:
+    """Text nulls become the most frequent level, rare levels one level."""
+    return LevelTable(inputCols=list(categorical), outputCols=level_names(categorical))
 
-def imputer(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> SQLTransformer:
-    """Numeric nulls become the median, text nulls the most frequent level, rare levels one level.
 
-    Written as a SQL stage, so it is saved with the pipeline and runs inside generated code.
-    """
-    columns = [f"COALESCE(CAST(`{c}` AS DOUBLE), {m!r}D) AS `{c}__number`" for c, m in numeric_medians(train, numeric).items()]
-    for column, (frequent, rare) in _levels(train, categorical).items() if categorical else ():
-        known = f"`{column}`"
-        if frequent or rare:
-            known = f"COALESCE(`{column}`, {_quoted((frequent + rare)[0])})"
-        if rare:
-            known = f"CASE WHEN {known} IN ({', '.join(map(_quoted, rare))}) THEN '{RARE}' ELSE {known} END"
-        columns.append(f"{known} AS `{column}__level`")
-    return SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")
+def imputed(train: DataFrame, rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """``rows`` with the ``__number`` and ``__level`` columns that scaling and encoding start from."""
+    numbers = imputer(train, numeric).transform(rows)
+    return level_stage(categorical).fit(train).transform(numbers) if categorical else numbers
 
 
 def fit_preparation(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> PipelineModel:
     """Impute, scale the numbers, one-hot the levels; a level unseen in training becomes all zeros."""
-    first = imputer(train, numeric, categorical)
-    levels, indexes = [f"{c}__level" for c in categorical], [f"{c}__index" for c in categorical]
+    levels, indexes = level_names(categorical), [f"{c}__index" for c in categorical]
     encoded = [f"{c}__onehot" for c in categorical]
     stages: list = [
-        first,
+        imputer(train, numeric),
         VectorAssembler(inputCols=[f"{c}__number" for c in numeric], outputCol="numbers"),
         StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
     ]
     if categorical:
         stages += [
+            level_stage(categorical),
             StringIndexer(inputCols=levels, outputCols=indexes, handleInvalid="keep"),
             OneHotEncoder(inputCols=indexes, outputCols=encoded, dropLast=True, handleInvalid="error"),
         ]

@@ -113,16 +113,12 @@ def feasibility(
 
 def stratified_split(dataset: DataFrame, share: float = TRAIN_SHARE, seed: int = SEED) -> DataFrame:
     """``dataset`` with ``split``: the first ``share`` of each class in a fixed pseudo-random order trains."""
-    order = dataset.select(
-        "customer_unique_id",
-        "target",
-        F.xxhash64(F.col("customer_unique_id").cast("string"), F.lit(seed)).alias("hash"),
-        F.lit(1).cast("bigint").alias("rows"),
-    )
-    placed = running_totals(order, ["hash", "customer_unique_id"], ["rows"], ["target"])
-    trains = F.col("rows_before") < F.floor(F.lit(share) * F.col("rows_total"))
-    sides = placed.select("customer_unique_id", F.when(trains, "Training").otherwise("Test").alias("split"))
-    return dataset.join(sides, "customer_unique_id")
+    # a hash that any engine computes alike
+    shuffled = F.md5(F.concat_ws(":", F.col("customer_unique_id").cast("string"), F.lit(str(seed))).cast("binary"))
+    keyed = dataset.withColumns({"__hash": shuffled, "__rows": F.lit(1).cast("bigint")})
+    placed = running_totals(keyed, ["__hash", "customer_unique_id"], ["__rows"], ["target"])
+    trains = F.col("__rows_before") < F.floor(F.lit(share) * F.col("__rows_total"))
+    return placed.select(*dataset.columns, F.when(trains, "Training").otherwise("Test").alias("split"))
 
 
 @dataclass

@@ -220,13 +220,7 @@ def train(
     )
     rfm = labelled.select("customer_unique_id", *RFM, F.col(f"cluster_{chosen}").alias("cluster"))
     profiles = pin(segment_profiles(rfm))
-    label = F.lit(None).cast("string")
-    for row in profiles.select("cluster", "segment").collect():
-        label = F.when(F.col("cluster") == row["cluster"], row["segment"]).otherwise(label)
-    labels = rfm.select("customer_unique_id", "cluster", label.alias("segment"))
-    segments = features.join(labels, "customer_unique_id", "left").withColumn(
-        "segment", F.coalesce("segment", F.lit(UNSEGMENTED))
-    )
+    segments = named_segments(features, rfm, profiles)
     return SegmentationResult(
         segments,
         profiles,
@@ -240,6 +234,15 @@ def train(
     )
 
 
+def named_segments(features: DataFrame, clusters: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``features`` with the cluster and its segment name; customers in no cluster say so."""
+    # one row per cluster, at most six
+    names = F.broadcast(profiles.select("cluster", "segment"))
+    labels = clusters.select("customer_unique_id", "cluster").join(names, "cluster")
+    joined = features.join(labels, "customer_unique_id", "left")
+    return joined.withColumn("segment", F.coalesce("segment", F.lit(UNSEGMENTED)))
+
+
 def largest_segment(profiles: DataFrame) -> DataFrame:
     return profiles.orderBy(F.desc("customers"), "segment").limit(1).select("segment", "customers")
 
