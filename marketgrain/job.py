@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from marketgrain.ml import delivery, retention, segmentation
 from marketgrain.operators import quality
+from marketgrain.operators.keys import verified_keys
 from marketgrain.plans import customer_value, forecast, insights, kpis, marts, recommend
 from marketgrain.plans.marketplace import Marketplace
 from marketgrain.plans.order_level import delivery_slice
@@ -119,7 +120,10 @@ def run(spark: SparkSession, source: Marketplace, output: str, options: JobOptio
         quality.validation_report(source.tables, options.expected_rows), reports, "data_validation"
     )
 
-    m = publish_core(source, core)
+    # the contract keys hold from here on, so the joins don't check them again
+    held = [r["table_name"] for r in findings.where("is_key").collect()]
+    with verified_keys(held):
+        m = publish_core(source, core)
     audit = quality.grain_audit(
         m.tables, m.order_level, m.customer_features, m.zip_summary, m.items_per_order, m.payments_per_order
     )

@@ -13,7 +13,14 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLWritable,
+)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +86,7 @@ class _TableReader(DefaultParamsReader):
         return model
 
 
-class LevelTableModel(Model, _LevelParams):
+class LevelTableModel(Model, _LevelParams, MLWritable, MLReadable):
     """Adds each output column: the level, its shared name if it is rare, the usual one if it is missing.
 
     A level that training didn't see stays as it is.
@@ -100,13 +107,6 @@ class LevelTableModel(Model, _LevelParams):
     def write(self) -> _TableWriter:
         return _TableWriter(self)
 
-    def save(self, path: str) -> None:
-        self.write().save(path)
-
     @classmethod
     def read(cls) -> _TableReader:
         return _TableReader(cls)
-
-    @classmethod
-    def load(cls, path: str) -> LevelTableModel:
-        return cls.read().load(path)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,13 +13,29 @@ _COPIES = "__copies"
 _POSITION = "__position"
 
 
+_verified: ContextVar[frozenset[str]] = ContextVar("verified", default=frozenset())
+
+
+@contextmanager
+def verified_keys(names: Iterable[str]) -> Iterator[None]:
+    """Plans made inside don't check the keys of these sides again: a run checks each table once, when it starts."""
+    token = _verified.set(_verified.get() | frozenset(names))
+    try:
+        yield
+    finally:
+        _verified.reset(token)
+
+
 def unique_rows(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """``df`` itself, but the job fails when a key occurs twice.
 
     The number of repeated keys is a scalar subquery over the key columns alone, so it runs inside the
     same job, copies of a hot key fold before the shuffle, and ``df`` reaches its join unchanged:
-    adaptive execution can still broadcast it or split a skewed partner.
+    adaptive execution can still broadcast it or split a skewed partner. Sides that ``verified_keys`` names
+    are taken as they are.
     """
+    if name in _verified.get():
+        return df
     copies = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_COPIES))
     repeated = copies.where(F.col(_COPIES) > 1).agg(F.count(F.lit(1))).scalar()
     failure = F.raise_error(F.lit(f"{name} key {list(keys)} is not unique")).cast("boolean")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,16 +77,64 @@ def load_order(tables: Iterable[str]) -> list[str]:
     return placed
 
 
-def load_relational(tables: Mapping[str, DataFrame], url: str, properties: Mapping[str, str]) -> None:
+def staging_name(table: str) -> str:
+    return f"{table}__staging"
+
+
+def switch_statements(tables: Iterable[str]) -> list[str]:
+    """The statements that exchange all tables for their staged copies; run in one transaction.
+
+    Children are emptied before their parents and filled after them, so the foreign keys hold at every step.
+    """
+    order = load_order(tables)
+    columns = {name: ", ".join(REQUIRED_COLUMNS[name]) for name in order}
+    emptied = [f"DELETE FROM {RELATIONAL_NAMES[name]}" for name in reversed(order)]
+    filled = []
+    for name in order:
+        target = RELATIONAL_NAMES[name]
+        filled.append(f"INSERT INTO {target} ({columns[name]}) SELECT {columns[name]} FROM {staging_name(target)}")
+    return emptied + filled
+
+
+def load_relational(
+    tables: Mapping[str, DataFrame],
+    url: str,
+    properties: Mapping[str, str],
+    connect: Callable[[], Any] | None = None,
+) -> None:
     """Empty and refill every relational table over JDBC, parents first.
 
-    Emptying a parent empties its children, which are filled after it. Each table commits on its own;
-    readers that need all nine at one instant load into a second schema and switch.
+    With ``connect``, which opens a connection of Python's database interface, all tables are first written to
+    staging tables by the executors and then exchanged in one transaction: readers see all old or all new
+    rows, and a failure leaves the old ones. Without it each table commits on its own.
     """
     loaded = relational_tables(tables)
-    for name in load_order(RELATIONAL_NAMES):
-        options = {**properties, "truncate": "true", "cascadeTruncate": "true", "batchsize": str(BATCH_ROWS)}
-        loaded[RELATIONAL_NAMES[name]].write.jdbc(url, RELATIONAL_NAMES[name], mode="overwrite", properties=options)
+    options = {**properties, "batchsize": str(BATCH_ROWS)}
+    if connect is None:
+        options |= {"truncate": "true", "cascadeTruncate": "true"}
+        for name in load_order(RELATIONAL_NAMES):
+            loaded[RELATIONAL_NAMES[name]].write.jdbc(url, RELATIONAL_NAMES[name], mode="overwrite", properties=options)
+        return
+    for target, rows in loaded.items():
+        rows.write.jdbc(url, staging_name(target), mode="overwrite", properties=options)
+    switch(connect(), RELATIONAL_NAMES)
+
+
+def switch(connection: Any, tables: Iterable[str]) -> None:
+    """Run ``switch_statements`` as one transaction; the staging tables go after it has committed."""
+    try:
+        cursor = connection.cursor()
+        for statement in switch_statements(tables):
+            cursor.execute(statement)
+        connection.commit()
+        for name in load_order(tables):
+            cursor.execute(f"DROP TABLE {staging_name(RELATIONAL_NAMES[name])}")
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
 
 
 def with_row_keys(df: DataFrame, order: Sequence[str], name: str = "row_key") -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketgrain.functions.scalars import fractional_days, haversine_km, strip, title_case, whole_days
+from marketgrain.operators import keys
 from marketgrain.plans import grains, marts
 from marketgrain.plans.clean import clean_products, clean_text, parse_dates
 from marketgrain.plans.order_level import build_order_level
@@ -256,3 +257,37 @@ def test_sums_survive_every_grain_and_row_order(small):
     assert small.orders("sums").groupBy().agg(F.sum("merchandise_revenue")).first()[0] == price
     shuffled = small.tables["order_items"].orderBy(F.rand(7))
     assert grains.items_per_order(shuffled).exceptAll(small.items_per_order).count() == 0
+
+
+def test_verified_sides_are_not_checked_again(spark, small):
+    """A key that a run has verified is trusted inside the run, and checked again outside of it."""
+    left = spark.createDataFrame([(1,)], "k int")
+    twice = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+    with keys.verified_keys(["products"]):
+        assert keys.checked_join(left, twice, "k", name="products").count() == 2
+        with pytest.raises(Exception, match="not unique"):
+            keys.checked_join(left, twice, "k", name="sellers").collect()
+    with pytest.raises(Exception, match="not unique"):
+        keys.checked_join(left, twice, "k", name="products").collect()
+
+
+def test_item_folds_tell_equal_lines_apart(spark):
+    """Equal values go by item number; an unknown value comes last; repeated item numbers by product and seller."""
+    rows = [
+        ("a", 2, "p2", "s1", "5.00"), ("a", 1, "p1", "s2", "5.00"), ("a", 3, "p3", "s3", None),
+        ("b", 1, "p9", "s9", "7.00"), ("b", 1, "p1", "s3", "7.00"), ("b", 1, "p1", "s2", "7.00"),
+        ("c", 4, "p4", "s4", None), ("c", 2, "p2", "s2", None), ("d", 1, "p1", "s1", "-3.00"), ("d", 2, "p2", "s2", "-2.50"),
+    ]
+    items = spark.createDataFrame(rows, "order_id string, order_item_id int, product_id string, seller_id string, price string")
+    money = {c: F.col("price").cast("decimal(12,2)") for c in ("price", "freight_value")}
+    items = items.withColumns(money | {"shipping_limit_date": F.lit(day("2018-01-01")).cast("timestamp_ntz")})
+    products = spark.createDataFrame([(f"p{k}", f"C{k}", float(k)) for k in range(1, 10)], "product_id string, product_category string, product_weight_g double")
+    sellers = spark.createDataFrame([(f"s{k}", f"S{k}") for k in range(1, 10)], "seller_id string, seller_state string")
+    facts = {r["order_id"]: r for r in grains.order_facts(items, products, sellers).collect()}
+    assert {o: (r["product_category"], r["seller_state"]) for o, r in facts.items()} == {
+        "a": ("C1", "S2"), "b": ("C1", "S2"), "c": ("C2", "S2"), "d": ("C2", "S2")
+    }
+    assert (facts["a"]["item_count"], facts["a"]["unique_product_count"], facts["b"]["unique_seller_count"]) == (3, 3, 3)
+    assert facts["b"]["average_product_weight_g"] == pytest.approx(11 / 3)
+    context = {r["order_id"]: r for r in grains.order_context(grains.categorised_items(items, products), sellers).collect()}
+    assert all(context[o][c] == facts[o][c] for o in facts for c in ("product_category", "seller_state", "average_product_weight_g"))

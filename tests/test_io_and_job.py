@@ -106,6 +106,54 @@ def test_parents_load_before_their_children():
     assert all(order.index(parent) < order.index(child) for child, _, parent, _ in FOREIGN_KEYS)
 
 
+class Recorder:
+    """A connection that notes what is run and fails at a statement that contains ``bad``."""
+
+    def __init__(self, bad=None):
+        self.done, self.bad = [], bad
+
+    def cursor(self):
+        return self
+
+    def execute(self, statement):
+        if self.bad and self.bad in statement:
+            raise ValueError(statement)
+        self.done.append(statement)
+
+    def commit(self):
+        self.done.append("COMMIT")
+
+    def rollback(self):
+        self.done.append("ROLLBACK")
+
+    def close(self):
+        self.done.append("CLOSE")
+
+
+def test_tables_switch_in_one_transaction():
+    connection = Recorder()
+    writers.switch(connection, SCHEMAS)
+    ran = connection.done[: connection.done.index("COMMIT")]
+    emptied = [s.split()[2] for s in ran if s.startswith("DELETE")]
+    filled = [s.split()[2] for s in ran if s.startswith("INSERT")]
+    assert sorted(emptied) == sorted(filled) == sorted(RELATIONAL_NAMES.values())
+    assert ran.index(f"DELETE FROM {emptied[-1]}") < next(k for k, s in enumerate(ran) if s.startswith("INSERT"))
+    for child, _, parent, _ in FOREIGN_KEYS:
+        c, p = RELATIONAL_NAMES[child], RELATIONAL_NAMES[parent]
+        assert emptied.index(c) < emptied.index(p) and filled.index(p) < filled.index(c)
+    payments = next(s for s in ran if "INSERT INTO order_payments " in s)
+    listed = ", ".join(REQUIRED_COLUMNS["payments"])
+    assert payments == f"INSERT INTO order_payments ({listed}) SELECT {listed} FROM order_payments__staging"
+    assert connection.done[-2:] == ["COMMIT", "CLOSE"] and sum(s.startswith("DROP") for s in connection.done) == 9
+
+
+def test_a_failed_switch_rolls_back():
+    connection = Recorder("INSERT INTO orders ")
+    with pytest.raises(ValueError):
+        writers.switch(connection, SCHEMAS)
+    assert "COMMIT" not in connection.done and connection.done[-2:] == ["ROLLBACK", "CLOSE"]
+
+
 def test_relational_projection(spark, source):
     tables = writers.relational_tables(readers.read_sources(spark, str(source)))
     assert set(tables) == set(RELATIONAL_NAMES.values())

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from marketgrain.ml import delivery, prep, retention, segmentation
+from marketgrain.ml import delivery, levels, prep, retention, segmentation
 from marketgrain.ml import metrics as measures
 
 
@@ -164,9 +164,30 @@ def test_preparation_groups_rare_levels_and_ignores_unseen(spark):
     fitted = prep.fit_preparation(train, ["n"], ["k"])
     new = spark.createDataFrame([("c", None), ("zzz", 2.0), (None, 2.0), ("it's", 1.0)], "k string, n double")
     out = fitted.transform(new).collect()
-    assert [r["n__number"] for r in out] == [1.0, 2.0, 2.0, 1.0]
-    assert [r["k__level"] for r in out] == [prep.RARE, "zzz", "a", "it's"]
-    assert out[1]["k__onehot"].numNonzeros() == 0 and out[0]["k__onehot"].numNonzeros() == 1
+    by_level = {r["k"]: r for r in out}
+    assert {k: r["n__number"] for k, r in by_level.items()} == {"c": 1.0, "zzz": 2.0, None: 2.0, "it's": 1.0}
+    assert {k: r["k__level"] for k, r in by_level.items()} == {"c": prep.RARE, "zzz": "zzz", None: "a", "it's": "it's"}
+    assert by_level["zzz"]["k__onehot"].numNonzeros() == 0 and by_level["c"]["k__onehot"].numNonzeros() == 1
+
+
+def test_level_table_holds_any_number_of_levels_and_survives_saving(spark, tmp_path):
+    rows = [(f"rare {k}", "x") for k in range(3000)] + [("usual", None)] * 30 + [(None, "y")] * 19
+    train = spark.createDataFrame(rows, "k string, j string")
+    model = levels.LevelTable(inputCols=["k", "j"], outputCols=["k2", "j2"]).fit(train)
+    assert model.table.where("level IS NOT NULL").count() == 3001
+    new = spark.createDataFrame([("rare 7", "y"), ("usual", "x"), (None, None), ("new", "z"), ("it's", "y")], "k string, j string")
+    want = {("rare 7", "infrequent", "infrequent"), ("usual", "usual", "x"), (None, "usual", "x"), ("new", "new", "z"), ("it's", "it's", "infrequent")}
+    assert {(r["k"], r["k2"], r["j2"]) for r in model.transform(new).collect()} == want
+    PipelineModel(stages=[model]).write().overwrite().save(str(tmp_path / "levels"))
+    loaded = PipelineModel.load(str(tmp_path / "levels"))
+    assert {(r["k"], r["k2"], r["j2"]) for r in loaded.transform(new).collect()} == want
+
+
+def test_levels_of_a_small_or_empty_column(spark):
+    train = spark.createDataFrame([("a", None)] * 3, "k string, j string")
+    model = levels.LevelTable(inputCols=["k", "j"], outputCols=["k2", "j2"], minimum=5).fit(train)
+    rows = model.transform(spark.createDataFrame([("a", None), (None, "q")], "k string, j string")).collect()
+    assert {(r["k2"], r["j2"]) for r in rows} == {("infrequent", None), ("infrequent", "q")}
 
 
 def test_silhouettes_equal_brute_force(spark):
