@@ -33,21 +33,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketgrain.llm.common import by_bytes, stored
-from marketgrain.llm.tokens import encode, ranks
+from marketgrain.llm.tokens import encode_array, ranks
+
+#: Text that a batch encodes at once; a token takes some hundred bytes until its group is written.
+BATCH_BYTES = 1 << 20
+#: Bits of a key that hold a token's end; the document's place in the batch lies above them.
+_END_BITS = 40
 
 _ROWS = "doc_id bigint, n_a bigint, n_b bigint, links array<int>, groups string"
 
 
 class Vocabularies(NamedTuple):
-    """Both vocabularies with the bytes of their tokens, and the pairs that can be linked."""
+    """Both vocabularies with the bytes of their tokens."""
 
-    encode_a: object
-    encode_b: object
+    path_a: str
+    model_b: sentencepiece.SentencePieceProcessor
     bytes_a: pa.Array
     bytes_b: pa.Array
-    pairs: np.ndarray  # ascending a * size of B + b
-    path_a: str
-    path_b: str
+
+    def ids_a(self, texts: list[str]) -> pa.ListArray:
+        return _lists([encode_array(self.path_a, " " + text) for text in texts])
+
+    def ids_b(self, texts: list[str]) -> pa.ListArray:
+        return _lists([np.array(ids, np.int32) for ids in self.model_b.encode(texts, num_threads=1)])
 
 
 def _piece_bytes(model: sentencepiece.SentencePieceProcessor, piece: int) -> bytes:
@@ -55,8 +63,9 @@ def _piece_bytes(model: sentencepiece.SentencePieceProcessor, piece: int) -> byt
     return bytes([int(name[3:5], 16)]) if model.is_byte(piece) else name.replace("▁", " ").encode()
 
 
-def _possible(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """All ``a * len(b) + b`` where the bytes of one token end with those of the other."""
+def possible_pairs(v: Vocabularies) -> np.ndarray:
+    """All ``a * size of B + b`` where the bytes of one token end with those of the other, ascending."""
+    a, b = v.bytes_a.to_pylist(), v.bytes_b.to_pylist()
     ids_a, ids_b = {}, {}
     for ids, tokens in ((ids_a, a), (ids_b, b)):
         for k, token in enumerate(tokens):
@@ -80,16 +89,7 @@ def vocabularies(path_a: str, path_b: str) -> Vocabularies:
         a[k] = token
     model = sentencepiece.SentencePieceProcessor(model_file=path_b)
     b = [_piece_bytes(model, k) for k in range(model.get_piece_size())]
-    one = encode(path_a)
-    return Vocabularies(
-        lambda texts: [one(" " + text) for text in texts],
-        lambda texts: model.encode(texts, num_threads=1),
-        pa.array(a, pa.binary()),
-        pa.array(b, pa.binary()),
-        _possible(a, b),
-        path_a,
-        path_b,
-    )
+    return Vocabularies(path_a, model, pa.array(a, pa.binary()), pa.array(b, pa.binary()))
 
 
 def _joined(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
@@ -98,23 +98,23 @@ def _joined(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
 
 
 def _ends(ids: pa.ListArray, pieces: pa.Array, side: str) -> pa.Table:
-    """Every token with its parent, its end in the parent's bytes, its id and its place in the batch."""
+    """Every token's key, its parent and its end in the parent's bytes, and its place in the batch."""
     flat, doc = pc.list_flatten(ids), pc.list_parent_indices(ids)
-    sizes = pc.binary_length(pieces.take(flat)).cast(pa.int64())
+    sizes = pc.binary_length(pieces).cast(pa.int64()).take(flat)
     total = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(sizes)])
     before = total.take(ids.offsets.slice(0, len(ids)))  # the sum at the parent's start
     end = pc.subtract(total.slice(1), before.take(doc))
-    return pa.table({"doc": doc.cast(pa.int64()), "end": end, side: flat, f"at_{side}": pa.array(np.arange(len(flat)))})
+    key = pc.bit_wise_or(pc.shift_left(doc.cast(pa.int64()), pa.scalar(_END_BITS, pa.int64())), end)
+    return pa.table({"key": key, side: pa.array(np.arange(len(flat), dtype=np.int32))})
 
 
-def _groups(ids_a: pa.ListArray, ids_b: pa.ListArray, links: pa.Table) -> pa.Array:
+def _groups(ids_a: pa.ListArray, ids_b: pa.ListArray, last_a: np.ndarray, last_b: np.ndarray, doc: np.ndarray) -> pa.Array:
     """``a1,a2|b1;a3|b2,b3`` for each document: the tokens of both sides in group order, joined with separators."""
     flat_a, flat_b = (pc.list_flatten(x).to_numpy() for x in (ids_a, ids_b))
-    last_a, last_b, doc = (links[c].to_numpy() for c in ("at_a", "at_b", "doc"))
-    starts_a, starts_b = (np.concatenate([[0], x + 1]) for x in (last_a, last_b))
-    here_a, here_b = np.arange(len(flat_a)), np.arange(len(flat_b))
-    place_a = here_a + starts_b[np.searchsorted(last_a, here_a)]
-    place_b = here_b + starts_a[np.searchsorted(last_b, here_b) + 1]
+    group_a, group_b = (_group_numbers(last, len(flat)) for last, flat in ((last_a, flat_a), (last_b, flat_b)))
+    starts_b = np.concatenate([[0], last_b + 1])
+    place_a = np.arange(len(flat_a)) + starts_b[group_a]
+    place_b = np.arange(len(flat_b)) + (last_a + 1)[group_b]
     ids, separator = np.empty(len(flat_a) + len(flat_b), np.int32), np.zeros(len(flat_a) + len(flat_b), np.int8)
     ids[place_a], ids[place_b] = flat_a, flat_b
     separator[place_a[last_a]] = 1
@@ -126,52 +126,59 @@ def _groups(ids_a: pa.ListArray, ids_b: pa.ListArray, links: pa.Table) -> pa.Arr
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), words), "")
 
 
-def _lists(lists: list[list[int]]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-    flat = np.fromiter((k for x in lists for k in x), np.int32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+def _group_numbers(last: np.ndarray, size: int) -> np.ndarray:
+    """The group of each token, counted from the groups' last tokens."""
+    ended = np.zeros(size + 1, np.int32)
+    ended[last + 1] = 1
+    return np.cumsum(ended[:size])
 
 
-def align_texts(texts: pa.Array, v: Vocabularies) -> dict[str, pa.Array]:
-    """``n_a, n_b, links`` (numbers of the linked pairs in text order) and ``groups`` of each text."""
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays])))
+
+
+def _filtered(lists: pa.ListArray, kept: pa.Array) -> pa.ListArray:
+    """The kept lists, with offsets that start at zero."""
+    some = lists.filter(kept)
+    sizes = pc.list_value_length(some).to_numpy()
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pc.list_flatten(some))
+
+
+def align_texts(texts: pa.Array, v: Vocabularies, pairs: np.ndarray) -> dict[str, pa.Array]:
+    """``n_a, n_b, links`` (places in ``pairs`` of the linked pairs in text order) and ``groups`` of each text."""
     some = np.flatnonzero(pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False))
     given = texts.take(pa.array(some))
     strings = given.to_pylist()
-    ids_a, ids_b = _lists(v.encode_a(strings)), _lists(v.encode_b(strings))
+    ids_a, ids_b = v.ids_a(strings), v.ids_b(strings)
     whole = pc.binary_join_element_wise(" ", given, "").cast(pa.binary())
     same = pc.and_(pc.equal(_joined(ids_a, v.bytes_a), whole), pc.equal(_joined(ids_b, v.bytes_b), whole))
-    some, ids_a, ids_b = some[same.to_numpy(zero_copy_only=False)], ids_a.filter(same), ids_b.filter(same)
-    ids_a, ids_b = (pa.ListArray.from_arrays(_offsets(x), pc.list_flatten(x)) for x in (ids_a, ids_b))
-    ends_a, ends_b = _ends(ids_a, v.bytes_a, "a"), _ends(ids_b, v.bytes_b, "b")
-    links = ends_a.join(ends_b, ["doc", "end"], join_type="inner", use_threads=False)
-    links = links.sort_by([("doc", "ascending"), ("end", "ascending")]).combine_chunks()
-    code = links["a"].to_numpy().astype(np.int64) * len(v.bytes_b) + links["b"].to_numpy()
-    pair = np.searchsorted(v.pairs, code).astype(np.int32)
+    some, ids_a, ids_b = some[same.to_numpy(zero_copy_only=False)], _filtered(ids_a, same), _filtered(ids_b, same)
+    links = _ends(ids_a, v.bytes_a, "a").join(_ends(ids_b, v.bytes_b, "b"), "key", join_type="inner", use_threads=False)
+    links = links.sort_by("a").combine_chunks()
+    last_a, last_b = links["a"].to_numpy(), links["b"].to_numpy()
+    doc = links["key"].to_numpy() >> _END_BITS
+    code = pc.list_flatten(ids_a).to_numpy()[last_a].astype(np.int64) * len(v.bytes_b) + pc.list_flatten(ids_b).to_numpy()[last_b]
     n_a, n_b, n_links = (np.zeros(len(texts), np.int64) for _ in range(3))
     n_a[some], n_b[some] = (pc.list_value_length(x).to_numpy() for x in (ids_a, ids_b))
-    n_links[some] = np.bincount(links["doc"].to_numpy(), minlength=len(some))
+    n_links[some] = np.bincount(doc, minlength=len(some))
     offsets = np.concatenate([[0], np.cumsum(n_links)]).astype(np.int32)
     groups = np.full(len(texts), "", object)
-    groups[some] = _groups(ids_a, ids_b, links).to_numpy(zero_copy_only=False)
+    groups[some] = _groups(ids_a, ids_b, last_a, last_b, doc).to_numpy(zero_copy_only=False)
     return {
         "n_a": pa.array(n_a),
         "n_b": pa.array(n_b),
-        "links": pa.ListArray.from_arrays(pa.array(offsets), pa.array(pair)),
+        "links": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.searchsorted(pairs, code).astype(np.int32))),
         "groups": pa.array(groups, pa.string()),
     }
 
 
-def _offsets(lists: pa.ListArray) -> pa.Array:
-    """Offsets that start at zero."""
-    sizes = pc.list_value_length(lists).to_numpy()
-    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-
-
-def _aligned_rows(path_a: str, path_b: str):
+def _aligned_rows(path_a: str, path_b: str, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabularies(path_a, path_b)
-        for batch in (part for whole in batches for part in by_bytes(whole, "text")):
-            found = align_texts(batch["text"], v)
+        for batch in (part for whole in batches for part in by_bytes(whole, "text", BATCH_BYTES)):
+            found = align_texts(batch["text"], v, sent.value)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *found.values()], ["doc_id", *found])
 
     return run
@@ -183,11 +190,11 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from counted.rename_columns(["pair", "n"]).to_batches()
 
 
-def pair_counts(aligned: DataFrame, v: Vocabularies) -> np.ndarray:
+def pair_counts(aligned: DataFrame, pairs: np.ndarray) -> np.ndarray:
     """How often the corpus links each pair that can occur."""
     counted = aligned.select("links").mapInArrow(_pair_rows, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     rows = counted.toArrow()  # at most one row per pair of the vocabularies
-    counts = np.zeros(len(v.pairs), np.int64)
+    counts = np.zeros(len(pairs), np.int64)
     counts[rows["pair"].to_numpy()] = rows["n"].to_numpy()
     return counts
 
@@ -218,12 +225,13 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     pair of the same B id exceeds in the corpus, ``count_sum`` adds up the counts of the links' pairs.
     """
     v = vocabularies(path_a, path_b)
+    pairs, context = possible_pairs(v), docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    aligned = stored(rows.mapInArrow(_aligned_rows(path_a, path_b), _ROWS), "aligned", compression="zstd")
-    counts = pair_counts(aligned, v)
+    aligned = stored(rows.mapInArrow(_aligned_rows(path_a, path_b, context.broadcast(pairs)), _ROWS), "aligned", compression="zstd")
+    counts = pair_counts(aligned, pairs)
     most = np.zeros(len(v.bytes_b), np.int64)
-    np.maximum.at(most, v.pairs % len(v.bytes_b), counts)
-    sent = docs.sparkSession.sparkContext.broadcast((counts, counts == most[v.pairs % len(v.bytes_b)]))
+    np.maximum.at(most, pairs % len(v.bytes_b), counts)
+    sent = context.broadcast((counts, counts == most[pairs % len(v.bytes_b)]))
     return aligned.mapInArrow(
         _counted_rows(sent),
         "doc_id bigint, n_a bigint, n_b bigint, groups string, n_links bigint, n_best bigint, count_sum bigint",

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import regex
 import tiktoken
 
@@ -51,17 +52,45 @@ def encode(path: str) -> Callable[[str], list[int]]:
     of the pattern. A long run is therefore cut there and encoded as the one word it is.
     """
     words = encoding(path).encode_ordinary
-    whole = tiktoken.Encoding("run", pat_str="(?s:.+)", mergeable_ranks=ranks(path), special_tokens={}).encode_ordinary
-    long_space = regex.compile(rf"(?<!\p{{White_Space}})\p{{White_Space}}{{{LONG_SPACE},}}")
 
     def run(text: str) -> list[int]:
-        ids: list[int] = []
-        at = 0
-        for space in long_space.finditer(text):
-            end = space.end() - (space.end() < len(text))
-            ids += words(text[at : space.start()])
-            ids += whole(text[space.start() : end])
-            at = end
-        return ids + words(text[at:]) if at else words(text)
+        parts = list(_parts(text))
+        if len(parts) == 1:
+            return words(text)
+        return [k for part, is_space in parts for k in (_run_encoding(path) if is_space else encoding(path)).encode_ordinary(part)]
 
     return run
+
+
+def encode_array(path: str, text: str) -> np.ndarray:
+    """``encode`` as an array of 32-bit numbers, without a Python number per id."""
+    found = [
+        (_run_encoding(path) if is_space else encoding(path)).encode_to_numpy(part, disallowed_special=())
+        for part, is_space in _parts(text)
+    ]
+    return (found[0] if len(found) == 1 else np.concatenate(found)).astype(np.int32)
+
+
+@lru_cache(maxsize=4)
+def _run_encoding(path: str) -> tiktoken.Encoding:
+    """Takes a whole text for one word."""
+    return tiktoken.Encoding("run", pat_str="(?s:.+)", mergeable_ranks=ranks(path), special_tokens={})
+
+
+@lru_cache(maxsize=4)
+def _long_space(least: int) -> regex.Pattern:
+    return regex.compile(rf"(?<!\p{{White_Space}})\p{{White_Space}}{{{least},}}")
+
+
+def _parts(text: str) -> Iterator[tuple[str, bool]]:
+    """The text cut around its long runs of white space; true for such a run."""
+    at = 0
+    if len(text) >= LONG_SPACE:
+        for space in _long_space(LONG_SPACE).finditer(text):
+            end = space.end() - (space.end() < len(text))
+            if space.start() > at:
+                yield text[at : space.start()], False
+            yield text[space.start() : end], True
+            at = end
+    if at < len(text) or not at:
+        yield text[at:], False
