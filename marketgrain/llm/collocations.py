@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from marketgrain.llm.common import mixed, piece_words, rolling, stored
 from marketgrain.llm.packed import (
+    among,
     bin_bits,
     by_slot,
     dealt_texts,
@@ -56,6 +57,8 @@ SHARD_BYTES = 8 << 20
 SLOT_BYTES = 8 << 20
 
 _UNKNOWN = "und"
+#: Bins laid together before a merge, in capacities.
+_LAID = 8
 
 
 class _Phrases:
@@ -73,10 +76,26 @@ class _Phrases:
             self.at.append(at)
             self.hashes.append(mixed((rolling(words.hashes, size)[at] + np.uint64(size)) * (salt | np.uint64(1))))
 
-    def phrase(self, position: int, size: int) -> str:
+    def phrases(self, positions: np.ndarray, size: int) -> pa.Array:
+        """The words from each position on, joined by one space."""
         w = self.words
-        parts = (w.data[a:b] for a, b in zip(w.begins[position : position + size], w.ends[position : position + size]))
-        return b" ".join(p.tobytes() for p in parts).lower().decode()
+        begins, ends = w.begins[positions], w.ends[positions + size - 1]
+        lengths = ends - begins
+        gaps = [(w.ends[positions + k], w.begins[positions + k + 1]) for k in range(size - 1)]
+        plain = np.ones(len(positions), bool)  # one space between any two words: the text itself
+        for left, right in gaps:
+            plain &= (right - left == 1) & (w.data[left] == 0x20)
+        starts = np.cumsum(lengths) - lengths
+        inside = np.arange(int(lengths.sum())) + np.repeat(begins - starts, lengths)
+        lower = w.data[inside]
+        lower += ((lower >= 65) & (lower <= 90)).astype(np.uint8) * np.uint8(32)
+        offsets = np.concatenate([starts, [len(lower)]]).astype(np.int64)
+        buffers = pa.py_buffer(offsets.tobytes()), pa.py_buffer(lower.tobytes())
+        whole = pa.LargeStringArray.from_buffers(len(positions), *buffers).cast(pa.string())
+        if plain.all():
+            return whole
+        joined = pc.replace_substring_regex(whole.filter(pa.array(~plain)), "[ \t]+", " ")
+        return pc.replace_with_mask(whole, pa.array(~plain), joined)
 
 
 def _by_language(texts: pa.Table) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
@@ -97,7 +116,7 @@ def _summary_rows(bits: int, slots: int, longest: int):
                 b, c = summed(hashes >> shift, found.copies[at])
                 bins.append(b)
                 counts.append(c)
-        b, c = summed(np.concatenate(bins), np.concatenate(counts))
+        b, c = summed(np.concatenate(bins), np.concatenate(counts), runs=True)
         shard = texts["shard"][0].as_py()
         rows = [(s, shard, pack_sorted(b[i:j]), pack(c[i:j].astype(np.uint64))) for s, i, j in by_slot(b, edges)]
         columns = list(zip(*rows)) or [()] * len(schema)
@@ -108,7 +127,7 @@ def _summary_rows(bits: int, slots: int, longest: int):
 
 def merged(bins: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     """One summary of at most ``capacity`` bins from several laid together, and what it took off every count."""
-    bins, counts = summed(bins, counts)
+    bins, counts = summed(bins, counts, runs=True)
     if len(bins) <= capacity:
         return bins, counts, 0
     cut = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
@@ -120,10 +139,17 @@ def frequent_bins(summaries: list[tuple[np.ndarray, np.ndarray]], threshold: int
     """All bins whose total count reaches ``threshold``, and few others."""
     mass = sum(int(counts.sum()) for _, counts in summaries)
     capacity, error = mass // threshold + 1, 0
-    bins, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for b, c in summaries:
-        bins, counts, cut = merged(np.concatenate([bins, b]), np.concatenate([counts, c]), capacity)
-        error += cut
+    laid: list[tuple[np.ndarray, np.ndarray]] = []
+    for k, summary in enumerate(summaries):
+        laid.append(summary)
+        # several are laid together before they are cut back, as long as they stay few
+        if k + 1 == len(summaries) or sum(len(b) for b, _ in laid) > _LAID * capacity:
+            bins, counts, cut = merged(*(np.concatenate(c) for c in zip(*laid)), capacity)
+            laid = [(bins, counts)]
+            error += cut
+    if not laid:
+        return np.zeros(0, np.uint64)
+    bins, counts = laid[0]
     return bins[counts + error >= threshold]
 
 
@@ -134,7 +160,7 @@ def _survivor_rows(threshold: int):
         parts = [unpack_sorted(x) for x in sent["bins"].to_pylist()]
         counts = (unpack(x).astype(np.int64) for x in sent["counts"].to_pylist())
         survivors = frequent_bins(list(zip(parts, counts)), threshold)
-        held = [part[np.isin(part, survivors, assume_unique=True)] for part in parts]
+        held = [part[among(part, survivors)] for part in parts]
         rows = [(shard, pack_sorted(b)) for shard, b in zip(sent["shard"].to_pylist(), held) if len(b)]
         columns = list(zip(*rows)) or [()] * 2
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -157,13 +183,16 @@ def _counted_rows(bits: int, longest: int):
                 found = _Phrases(part, copies, lang, longest)
                 out.append(pa.table([[lang], [0], [""], [int(found.copies.sum())]], schema=_COUNTED))
                 for size, (at, hashes) in enumerate(zip(found.at, found.hashes), start=1):
-                    use = np.isin(hashes >> shift, survivors)
-                    keys, first, which = np.unique(hashes[use], return_index=True, return_inverse=True)
-                    n = np.zeros(len(keys), np.int64)
-                    np.add.at(n, which, found.copies[at[use]])
-                    phrases = [found.phrase(p, size) for p in at[use][first].tolist()]
-                    size_ = pa.array(np.full(len(keys), size, np.int32))
-                    out.append(pa.table([pa.array([lang] * len(keys), pa.string()), size_, phrases, n], schema=_COUNTED))
+                    use = among(hashes >> shift, survivors)
+                    hashes, at = hashes[use], at[use]
+                    if not len(at):
+                        continue
+                    order = np.argsort(hashes)
+                    hashes, at = hashes[order], at[order]
+                    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+                    n = np.add.reduceat(found.copies[at], first)
+                    names = pa.array([lang] * len(first), pa.string()), pa.array(np.full(len(first), size, np.int32))
+                    out.append(pa.table([*names, found.phrases(at[first], size), n], schema=_COUNTED))
         return pa.concat_tables(out) if out else _COUNTED.empty_table()
 
     return run

@@ -140,7 +140,7 @@ def _answer_rows(asked: pa.Table) -> pa.Table:
     """For every shard that asked, the bins that occur twice or more and how often."""
     schema = pa.schema([("shard", pa.int32()), ("bins", pa.binary()), ("times", pa.binary())])
     parts = [unpack_sorted(x) for x in asked["bins"].to_pylist()]
-    bins, times = summed(np.concatenate(parts), np.concatenate([unpack(x) for x in asked["times"].to_pylist()]))
+    bins, times = summed(np.concatenate(parts), np.concatenate([unpack(x) for x in asked["times"].to_pylist()]), runs=True)
     rows = []
     for shard, part in zip(asked["shard"].to_pylist(), parts):
         total = times[np.searchsorted(bins, part)]

@@ -69,16 +69,33 @@ def by_slot(bins: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, int
         yield slot, int(cuts[slot]), int(cuts[slot + 1])
 
 
-def summed(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values, ascending, with the sum of their weights."""
+def summed(values: np.ndarray, weights: np.ndarray, runs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, with the sum of their weights; ``runs``: the values are ascending runs."""
     if not len(values):
         return values, weights
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values, kind="stable" if runs else None)
     values, weights = values[order], weights[order]
     starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
     return values[starts], np.add.reduceat(weights, starts)
 
 
+_SPREAD, _TABLE_BITS = np.uint64(0x9E3779B97F4A7C15), 22
+
+
+def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """True where a value is one of the ascending ``keys``; a small table rules out most others first."""
+    found = np.zeros(len(values), bool)
+    if not len(keys) or not len(values):
+        return found
+    slot = np.uint64(64 - _TABLE_BITS)
+    table = np.zeros(1 << _TABLE_BITS, bool)
+    table[(keys * _SPREAD) >> slot] = True
+    maybe = np.flatnonzero(table[(values * _SPREAD) >> slot])
+    at = np.minimum(np.searchsorted(keys, values[maybe]), len(keys) - 1)
+    found[maybe] = keys[at] == values[maybe]
+    return found
+
+
 def _folded_rows(columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
