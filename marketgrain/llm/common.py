@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -46,6 +46,20 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by_key(df: DataFrame, name: str, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Write ``df`` once, a bucket of its keys per file, sorted; read as buckets, and as plain files.
+
+    The number of buckets is that of the session's shuffle partitions, so a join of the buckets on all keys meets a
+    side that is dealt by them where it lies: nothing of the written side is shuffled again.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    unique = f"{name}-{uuid.uuid4().hex}"
+    path, table_name = f"{shared_folder(spark)}/{unique}", unique.replace("-", "_")
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table_name, format="parquet")
+    return spark.table(table_name), spark.read.schema(df.schema).parquet(path)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -115,7 +129,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _slice_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, code: np.ndarray):
+def _slice_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, code: np.ndarray, prefix: int | None = None):
     inside = ~separator[data]
     before = np.empty_like(inside)
     before[:1] = False
@@ -129,6 +143,8 @@ def _slice_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, c
     lasts = offsets[1:] - 1
     after[lasts[lasts >= 0]] = False
     ends = np.flatnonzero(inside & ~after) + 1
+    if prefix is not None:
+        ends = np.minimum(ends, starts + prefix)
     size = len(data) if len(data) > 2 * SLICE_BYTES else 2 * SLICE_BYTES
     up, down = _powers(size)
     total = np.zeros(len(data) + 1, np.uint64)
@@ -137,8 +153,10 @@ def _slice_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, c
     return hashes, np.searchsorted(starts, offsets)
 
 
-def word_table(texts: pa.Array, fold: bool = False, punctuation: bool = False) -> WordTable:
-    """64-bit hashes of the words of ``texts``; a null text has none.
+def word_table(
+    texts: pa.Array, fold: bool = False, punctuation: bool = False, prefix: int | None = None
+) -> WordTable:
+    """64-bit hashes of the words of ``texts``, or of their first ``prefix`` bytes; a null text has none.
 
     Words are runs without the six ASCII white-space bytes. ``punctuation`` makes ASCII punctuation and
     control bytes separators too, ``fold`` gives A-Z the hashes of a-z.
@@ -154,7 +172,7 @@ def word_table(texts: pa.Array, fold: bool = False, punctuation: bool = False) -
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
         local = offsets[at : to + 1] - offsets[at]
-        part, bounds = _slice_words(data[offsets[at] : offsets[to]], local, separator, code)
+        part, bounds = _slice_words(data[offsets[at] : offsets[to]], local, separator, code, prefix)
         hashes.append(part)
         counts.append(np.diff(bounds))
         at = to

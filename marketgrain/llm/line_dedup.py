@@ -11,7 +11,8 @@ of runs grows with the logarithm of the number of batches and a key is rewritten
 
 Only DataFrame functions are used. Keys are counted before they are shuffled, so a line that most
 documents hold is one row per task there. The join that marks lines keeps its sides splittable; adaptive
-execution deals a frequent key to several tasks. Runs are written to the shared folder.
+execution deals a frequent key to several tasks. Runs are written to the shared folder by key, so that a new batch,
+dealt by key for its own counts, meets them without another shuffle.
 
 A null or empty text is one empty line. Documents with a null ``doc_id`` keep all lines and make others
 lose none. Rows that repeat a ``doc_id`` are one document. Keys are compared by 128 bits of hashes. Columns other
@@ -26,7 +27,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketgrain.llm.common import SPACES, stored, text_of, whole_rows
+from marketgrain.llm.common import SPACES, stored_by_key, text_of, whole_rows
 
 MIN_CHARS = 10
 FAN_OUT = 2
@@ -52,28 +53,29 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineRuns:
-    """The keys of all batches so far."""
+    """The keys of all batches so far: each run dealt by key to buckets, sorted, and as plain files."""
 
     def __init__(self, fan_out: int = FAN_OUT, min_chars: int = MIN_CHARS) -> None:
         self.fan_out, self.min_chars = fan_out, min_chars
-        self.levels: list[list[DataFrame]] = []
+        self.levels: list[list[tuple[DataFrame, DataFrame]]] = []
 
     @property
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[tuple[DataFrame, DataFrame]]:
         return [run for level in self.levels for run in level]
 
     def _write(self, level: int, keys: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(stored(keys.sort(*_KEY), f"line-run-{level}"))
+        self.levels[level].append(stored_by_key(keys, f"line-run-{level}", _KEY))
 
     def _compact(self) -> None:
         for level, runs in enumerate(self.levels):
             if len(runs) >= self.fan_out:
-                merged = runs[0]
-                for run in runs[1:]:
-                    merged = merged.unionByName(run)
-                self._write(level + 1, merged)
+                merged = runs[0][1]
+                for _, files in runs[1:]:
+                    merged = merged.unionByName(files)
+                buckets = int(merged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+                self._write(level + 1, merged.repartition(buckets, *_KEY))
                 runs.clear()
 
     def add(self, docs: DataFrame) -> DataFrame:
@@ -82,13 +84,15 @@ class LineRuns:
         The result has the columns of ``docs`` and ``n_lines, n_dropped, kept``.
         """
         keys = line_keys(docs, self.min_chars)
+        # dealt by key once for the counts; the runs lie dealt the same way, so the anti-joins move nothing
         fresh = keys.groupBy(*_KEY).agg(F.min("doc_id").alias("first"))
-        for run in self.runs:
-            fresh = fresh.join(run, _KEY, "left_anti")
+        for buckets, _ in self.runs:
+            fresh = fresh.join(buckets.hint("merge"), _KEY, "left_anti")
         self._write(0, fresh)
-        known = self.runs[0]
-        for run in self.runs[1:]:
-            known = known.unionByName(run)
+        # a frequent key is many rows here, so both sides are shuffled and adaptive execution can split it
+        known = self.runs[0][1]
+        for _, files in self.runs[1:]:
+            known = known.unionByName(files)
         marked = keys.join(known, _KEY).where(F.col("doc_id") > F.col("first")).select("doc_id", "row", "line")
         judged = _without(docs, marked)
         self._compact()
@@ -119,11 +123,13 @@ def _without(docs: DataFrame, marked: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, batches: int = BATCHES, fan_out: int = FAN_OUT, min_chars: int = MIN_CHARS) -> DataFrame:
     """All of ``docs`` judged in ``batches`` ranges of ``doc_id``; the cut points don't change the result."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     runs = LineRuns(fan_out, min_chars)
-    if low is None:
+    shares = [k / batches for k in range(1, batches)]
+    # about as many documents in each batch, however the ids lie
+    found = docs.agg(F.percentile_approx(F.col("doc_id"), shares or [0.5], 1000)).first()[0]
+    if found is None:
         return runs.add(docs)
-    cuts = sorted({low + (high - low + 1) * k // batches for k in range(1, batches)} - {low})
+    cuts = sorted({int(c) for c in found}) if shares else []
     below = F.col("doc_id").isNull()  # documents without an id go with the first batch
     judged = None
     for cut in [*cuts, None]:

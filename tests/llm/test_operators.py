@@ -225,9 +225,38 @@ def test_toxicity(spark):
     assert toxicity.detect(docs.limit(0), table).count() == 0
 
 
+def test_inflected_words_share_what_is_learned(spark):
+    """Held-out documents hold forms of the toxic words that no learning document has."""
+    rng = random.Random(7)
+    ends = ["".join(rng.choice("aeiourstn") for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(700):
+        words = ["".join(rng.choice("aeiourstn") for _ in range(7)) for _ in range(rng.randint(20, 60))]
+        held = zlib.crc32(str(i).encode()) % 5 == 0
+        for _ in range(4 * (i % 4 == 0)):
+            words.insert(rng.randrange(len(words)), rng.choice(["réeux", "bomen"]) + rng.choice(ends[300:] if held else ends[:300]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    docs, table = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    found = {r.doc_id: r.score for r in toxicity.detect(docs, table).collect()}
+    held = [i for i in found if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(found[i] >= 0.5) == (i % 4 == 0) for i in held]) > 0.95
+
+
 # ---- quality rules -----------------------------------------------------------------------------
 
 
+def test_a_short_repeated_heading_keeps_a_long_text(spark):
+    """Repeated lines weigh by their characters, stop words by their share."""
+    rng = random.Random(2)
+    words = [*"the of and to in".split(), *("".join(rng.choice("abcdeiou") for _ in range(6)) for _ in range(40))]
+    prose = lambda n, share: " ".join(rng.choice(words[:5]) if rng.random() < share else rng.choice(words[5:]) for _ in range(n))
+    line = prose(30, 0.3)
+    rows = [(1, f"Part one\n{prose(80, 0.3)}\nPart one"), (2, f"{line}\n{prose(40, 0.3)}\n{line}\n{line}"), (3, prose(80, 0.0)), (4, None)]
+    kept = {r.doc_id for r in quality_rules.accepted(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == {1}
+
+
 def test_quality(docs):
     got = Counter(
         (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
@@ -274,6 +303,22 @@ def test_lines(docs, batches, fan_out):
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in found.collect()) == want
 
 
+def test_skewed_ids_fill_the_batches_alike(spark):
+    rows = [(10**12 + k, f"a line that is long enough {k % 50}\nshort") for k in range(400)] + [(1, "a line that is long enough 7")]
+    docs = documents(spark, rows)
+    found = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs).collect()}
+    assert sum(found.values()) == 400 - 49 and found[1] == 0 and found[10**12 + 7] == 1
+
+
+def test_runs_lie_dealt_by_key(docs):
+    runs = line_dedup.LineRuns()
+    runs.add(docs.where("doc_id < 100"))
+    fresh = line_dedup.line_keys(docs.where("doc_id >= 100")).groupBy("key_a", "key_b").count()
+    joined = fresh.join(runs.runs[0][0].hint("merge"), ["key_a", "key_b"], "left_anti")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # of the batch's own keys
+
+
 def test_runs_are_compacted(docs):
     runs = line_dedup.LineRuns(fan_out=2)
     for k in range(4):
