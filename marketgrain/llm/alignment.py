@@ -36,11 +36,14 @@ from marketgrain.llm.common import by_bytes, stored
 from marketgrain.llm.tokens import encode_array, ranks
 
 #: Text that a batch encodes at once; a token takes some hundred bytes until its group is written.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 #: Bits of a key that hold a token's end; the document's place in the batch lies above them.
 _END_BITS = 40
 
-_ROWS = "doc_id bigint, n_a bigint, n_b bigint, links array<int>, groups string"
+#: Rows whose groups are written out at once in the second pass.
+_ROWS_OUT = 256
+
+_ROWS = "doc_id bigint, n_a bigint, n_b bigint, links array<int>, groups binary, size bigint"
 
 
 class Vocabularies(NamedTuple):
@@ -179,6 +182,10 @@ def _aligned_rows(path_a: str, path_b: str, sent):
         v = vocabularies(path_a, path_b)
         for batch in (part for whole in batches for part in by_bytes(whole, "text", BATCH_BYTES)):
             found = align_texts(batch["text"], v, sent.value)
+            groups = [g.encode() for g in found["groups"].to_pylist()]
+            # kept compressed until they are written out: the links of a whole batch come back at once
+            found["groups"] = pa.array([pa.compress(g, codec="zstd", asbytes=True) for g in groups], pa.binary())
+            found["size"] = pa.array([len(g) for g in groups], pa.int64())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *found.values()], ["doc_id", *found])
 
     return run
@@ -202,17 +209,23 @@ def pair_counts(aligned: DataFrame, pairs: np.ndarray) -> np.ndarray:
 def _counted_rows(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, best = sent.value
-        for batch in batches:
-            links = batch["links"]
-            flat, sizes = pc.list_flatten(links).to_numpy(), pc.list_value_length(links).to_numpy()
+        for batch in (whole.slice(at, _ROWS_OUT) for whole in batches for at in range(0, whole.num_rows, _ROWS_OUT)):
+            flat = pc.list_flatten(batch["links"]).to_numpy()
+            sizes = pc.list_value_length(batch["links"]).to_numpy()
             sums = np.zeros((2, len(flat) + 1), np.int64)
             np.cumsum(best[flat], out=sums[0, 1:])
             np.cumsum(counts[flat], out=sums[1, 1:])
             ends = np.cumsum(sizes)
             n_best, count_sum = sums[:, ends] - sums[:, ends - sizes]
-            names = ["doc_id", "n_a", "n_b", "groups"]
-            found = [pa.array(sizes.astype(np.int64)), pa.array(n_best), pa.array(count_sum)]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *found], [*names, "n_links", "n_best", "count_sum"])
+            groups = [
+                pa.decompress(g.as_buffer(), decompressed_size=n.as_py(), codec="zstd", asbytes=True)
+                for g, n in zip(batch["groups"], batch["size"])
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["n_a"], batch["n_b"], pa.array(groups, pa.binary()).cast(pa.string())]
+                + [pa.array(sizes.astype(np.int64)), pa.array(n_best), pa.array(count_sum)],
+                ["doc_id", "n_a", "n_b", "groups", "n_links", "n_best", "count_sum"],
+            )
 
     return run
 
@@ -227,7 +240,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     v = vocabularies(path_a, path_b)
     pairs, context = possible_pairs(v), docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    aligned = stored(rows.mapInArrow(_aligned_rows(path_a, path_b, context.broadcast(pairs)), _ROWS), "aligned", compression="zstd")
+    aligned = stored(rows.mapInArrow(_aligned_rows(path_a, path_b, context.broadcast(pairs)), _ROWS), "aligned")
     counts = pair_counts(aligned, pairs)
     most = np.zeros(len(v.bytes_b), np.int64)
     np.maximum.at(most, pairs % len(v.bytes_b), counts)
