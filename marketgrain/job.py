@@ -193,6 +193,8 @@ def run(spark: SparkSession, source: Marketplace, output: str, options: JobOptio
                 "validation": writers.nested_rows(validation, "tables"),
                 "identities": quality.identity_report(m.tables),
                 "insights": writers.nested_rows(published["business_insights"], "rows"),
+                "forecast": forecast.forecast_facts(series, published["model_metrics"].where("module = 'Forecasting'")),
+                "delivery_confusion": writers.nested_rows(published["delivery_confusion_matrix"], "rows"),
                 "models": facts,
             },
         ),

@@ -189,6 +189,17 @@ def compare_models(predictions: DataFrame, series: str) -> DataFrame:
     return metrics.withColumn("selected", best == 1)
 
 
+def forecast_facts(months: DataFrame, metrics: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """One row on a single series: how many months trained and validated, the last complete one, the selected model."""
+    chosen = metrics.where("selected").agg(F.max(F.struct("model", "rmse"))).scalar()
+    return months.agg(
+        F.count_if(F.col("split") == "Training").alias("training_months"),
+        F.count_if(F.col("split") == "Validation").alias("validation_months"),
+        F.min("purchase_period").alias("first_month"),
+        F.max("purchase_period").alias("last_complete_month"),
+    ).select("*", F.lit(horizon).alias("forecast_months"), chosen.getField("model").alias("selected_model"), chosen.getField("rmse").alias("validation_rmse"))
+
+
 def _naive_ahead(tail: Column, horizon: int) -> dict[str, Column]:
     """The next ``horizon`` values of each naive candidate after ``tail``, the last values of a series.
 

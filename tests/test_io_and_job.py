@@ -207,6 +207,10 @@ def test_whole_job(spark, small, tmp_path):
     assert "is_complete" in published["monthly_sales"].columns
     report = readers.read_report(spark, f"{output}/reports", "run_results").first()
     assert report["kpis"]["total_delivered_orders"] > 0 and len(report["validation"]["tables"]) == 9
+    chosen = job.module_metrics(published["model_metrics"], "Forecasting", selected_only=True).first()
+    assert report["forecast"]["selected_model"] == chosen["model"] and report["forecast"]["forecast_months"] == 6
+    assert report["forecast"]["training_months"] > report["forecast"]["validation_months"] >= 3
+    assert {r["actual"] for r in report["delivery_confusion"]["rows"]} == {"Actual late", "Actual on time"}
     for name in ("delivery_predictions", "customer_segments", "forecast_history", "category_recommendations"):
         assert readers.path_exists(spark, f"{output}/dashboard/{name}")
 
