@@ -40,6 +40,8 @@ BATCH_BYTES = 1 << 19
 #: Bits of a key that hold a token's end; the document's place in the batch lies above them.
 _END_BITS = 40
 
+#: Rows of a written file; the second pass reads and writes a file's rows as one batch, some ten kB each.
+ROWS_PER_FILE = 2000
 #: Rows whose groups are written out at once in the second pass.
 _ROWS_OUT = 256
 
@@ -187,6 +189,7 @@ def _aligned_rows(path_a: str, path_b: str, sent):
             found["groups"] = pa.array([pa.compress(g, codec="zstd", asbytes=True) for g in groups], pa.binary())
             found["size"] = pa.array([len(g) for g in groups], pa.int64())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *found.values()], ["doc_id", *found])
+        pa.default_memory_pool().release_unused()  # the worker lives on for the next pass
 
     return run
 
@@ -240,7 +243,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     v = vocabularies(path_a, path_b)
     pairs, context = possible_pairs(v), docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    aligned = stored(rows.mapInArrow(_aligned_rows(path_a, path_b, context.broadcast(pairs)), _ROWS), "aligned")
+    aligned = stored(rows.mapInArrow(_aligned_rows(path_a, path_b, context.broadcast(pairs)), _ROWS), "aligned", ROWS_PER_FILE)
     counts = pair_counts(aligned, pairs)
     most = np.zeros(len(v.bytes_b), np.int64)
     np.maximum.at(most, pairs % len(v.bytes_b), counts)

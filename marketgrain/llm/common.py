@@ -38,11 +38,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and continue from the written table."""
+def stored(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
+    """Write ``df`` once to the shared folder and continue from the written table.
+
+    ``rows_per_file`` bounds what a task reads at once where rows are wide; zero sets no bound.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
