@@ -26,14 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketgrain.llm.common import by_bytes
+
 # White space of the pre-tokenizer's pattern.
 _WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 # Fixed value: the pre-tokenizer's pattern, its white space spelled out.
 _WORD = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 )
-#: Encoded chunks kept in a worker, in two generations; what is gone is computed anew.
-MAX_CHUNKS = 300_000
+#: Bytes of text encoded together, a longer text alone.
+STEP_BYTES = 1 << 18
+#: Bytes of encoded chunks kept in a worker, in each of two generations; what is gone is computed anew.
+CACHE_BYTES = 8 << 20
+#: Bytes of a chunk's two objects and its place in the table, beside its text and ids.
+ENTRY_BYTES = 200
 #: Bytes of a word beyond which it is walked on its own, and words walked together.
 LONG = 48
 WALK = 1 << 16
@@ -132,6 +138,7 @@ class BytePairs:
         self._merge_at = Slots(merged, np.array(list(self.merged.values())))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.young_bytes = 0
 
     def _beside(self, a: int, b: int) -> bool:
         """Whether the merges leave ``a`` and ``b`` side by side.
@@ -259,8 +266,8 @@ class BytePairs:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit numbers."""
-        if len(self.young) > MAX_CHUNKS:
-            self.old, self.young = self.young, {}
+        if self.young_bytes > CACHE_BYTES:
+            self.old, self.young, self.young_bytes = self.young, {}, 0
         known, old = self.young, self.old
         rows = [self._keys(text) for text in texts]
         found = [list(map(known.get, row)) for row in rows]
@@ -269,6 +276,7 @@ class BytePairs:
         again = {key: old[key] for key in fresh if key in old}
         known.update(again)
         known.update(self._encode_keys(fresh - again.keys()))
+        self.young_bytes += sum(ENTRY_BYTES + len(key) + len(known[key]) for key in fresh)
         for k in unknown:
             found[k] = list(map(known.__getitem__, rows[k]))
         return list(map(b"".join, found))
@@ -289,9 +297,9 @@ def load(path: str) -> BytePairs:
 def _coded_rows(path: str, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
+        for part in (part for whole in batches for part in by_bytes(whole, "text", STEP_BYTES)):
+            for at in range(0, part.num_rows, rows):
+                batch = part.slice(at, rows)
                 coded = model.encode([text or "" for text in batch["text"].to_pylist()])
                 flat = np.frombuffer(b"".join(coded), np.int32)
                 offsets = np.concatenate([[0], np.cumsum([len(row) // 4 for row in coded])]).astype(np.int32)
@@ -304,7 +312,7 @@ def _coded_rows(path: str, rows: int):
 
 
 def encode_and_decode(docs: DataFrame, path: str, rows: int = 512) -> DataFrame:
-    """``docs`` with ``ids`` (array<int>) and ``decoded``; ``rows`` texts share one trie.
+    """``docs`` with ``ids`` (array<int>) and ``decoded``; at most ``rows`` texts, of ``STEP_BYTES``, share one trie.
 
     Columns named ``ids`` or ``decoded`` are replaced, the others pass through under any name. Repeated rows are
     coded each, a null text as an empty one; an empty table gives an empty table.
