@@ -8,11 +8,16 @@ nor the articles of a page that has no other content.
 Of articles, those named as a teaser or an advert count only where a page has no other, reader comments never.
 Elements hidden by an attribute or their own style are left out.
 
-Pages that mark no content are compared with their neighbours: pages are sorted by host and URL path, each
-is paired with the adjacent page of its host whose path agrees longer, their unmarked lines are aligned by
-longest common subsequence, and shared lines go as the host's template. A pair that shares most of its
-lines, also of those that a further neighbour doesn't share, holds copies of one text; then the next of two
-neighbours on either side decides, and if all are copies, nothing goes.
+Every page is compared with its neighbours: pages that mark content, and the others, are sorted by host and URL path,
+and their lines are aligned by longest common subsequence with those of the two adjacent pages of the host on either side.
+
+On pages that mark no content the adjacent page whose path agrees longer decides, and shared lines go as the host's
+template. A pair that shares most of its lines, also of those that a further neighbour doesn't share, holds copies
+of one text; then the next neighbour decides, and if all are copies, nothing goes.
+
+On pages that mark content, an article or main element goes as the host's template if two neighbours of
+another text share all of its lines. Other elements stay whole, lines that an article has in common with another too. What
+goes is less than half of the lines; where it would be more, copies of one text are nearby, and nothing goes.
 
 Only line hashes are sorted, by range, so a host with most of the pages spreads over many tasks, and each
 range learns its outer neighbours from four rows per range. The result doesn't depend on the cuts.
@@ -41,6 +46,8 @@ from marketgrain.llm.common import by_bytes, stored
 
 #: Share of a page's lines in its neighbour from which the two hold copies of one text.
 COPY_SHARE = 0.8
+#: Pages compared with their neighbours at once.
+PAIR_ROWS = 256
 
 # Element names by their role.
 BLOCK_TAGS = frozenset(
@@ -119,31 +126,31 @@ def _region(tag: str, attributes: str, outer: int) -> int:
     return NAMED if dropped else outer
 
 
-def blocks(html: str) -> list[tuple[int, str]]:
-    """Region and text of each block outside boilerplate, in page order."""
-    found: list[tuple[int, str]] = []
-    open_tags: list[tuple[str, int]] = []  # with the region inside
+def blocks(html: str) -> list[tuple[int, int, str]]:
+    """Region, number of the innermost content element (0 outside) and text of each block outside boilerplate, in page order."""
+    found: list[tuple[int, int, str]] = []
+    open_tags: list[tuple[str, int, int]] = []  # with the region and the element inside
     depth: Counter[str] = Counter()  # open elements by name
-    region, parts, at = UNMARKED, [], 0
+    region, element, elements, parts, at = UNMARKED, 0, 0, [], 0
 
     def flush() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                found.append((region, text))
+                found.append((region, element, text))
             parts.clear()
 
     def close(tag: str) -> None:
-        nonlocal region
+        nonlocal region, element
         for k in range(len(open_tags) - 1, -1, -1):
             if open_tags[k][0] == tag:
-                outer = open_tags[k - 1][1] if k else UNMARKED
+                _, outer, outer_element = open_tags[k - 1] if k else ("", UNMARKED, 0)
                 if tag in BLOCK_TAGS or outer != region:
                     flush()
-                for name, _ in open_tags[k:]:
+                for name, _, _ in open_tags[k:]:
                     depth[name] -= 1
                 del open_tags[k:]
-                region = outer
+                region, element = outer, outer_element
                 return
 
     while at < len(html):
@@ -187,21 +194,30 @@ def blocks(html: str) -> list[tuple[int, str]]:
             inner = _region(tag, match[3], region)
             if inner != region:
                 flush()
-            open_tags.append((tag, inner))
+            if inner in (CONTENT, SPARE) and (tag in CONTENT_TAGS or inner != region):
+                elements += 1
+                element = elements
+            open_tags.append((tag, inner, element))
             depth[tag] += 1
             region = inner
     flush()
     return found
 
 
-def main_lines(html: str | None) -> tuple[list[str], bool]:
-    """The lines of the page's content, else of articles in boilerplate by name, else unmarked ones; true for the last."""
+def page_lines(html: str | None) -> tuple[list[str], list[int]]:
+    """The page's lines and the content element of each: content, else articles in boilerplate by name, else unmarked with 0."""
     found = blocks(html or "")
     for wanted in (CONTENT, SPARE):
-        content = [text for region, text in found if region == wanted]
+        content = [(text, element) for region, element, text in found if region == wanted]
         if content:
-            return content, False
-    return [text for _, text in found], True
+            return [text for text, _ in content], [element for _, element in content]
+    return [text for _, _, text in found], [0] * len(found)
+
+
+def main_lines(html: str | None) -> tuple[list[str], bool]:
+    """The page's lines before they are compared with its neighbours'; true if they are unmarked."""
+    lines, elements = page_lines(html)
+    return lines, not any(elements)
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
@@ -296,31 +312,38 @@ def template_lines(lines: list[int], neighbours: list[list[int]]) -> list[int]:
     return []
 
 
+def template_elements(lines: list[int], elements: list[int], neighbours: list[list[int]]) -> list[int]:
+    """Positions of the lines of elements of which two other texts share all lines; none if they are half of the lines."""
+    others = [set(common_lines(lines, other)) for other in neighbours if other != lines]
+    places: dict[int, list[int]] = {}
+    for k, element in enumerate(elements):
+        places.setdefault(element, []).append(k)
+    gone = {e for e, where in places.items() if sum(other.issuperset(where) for other in others) >= 2}
+    found = [k for k, element in enumerate(elements) if element in gone]
+    return found if 2 * len(found) < len(lines) else []
+
+
 def _line_rows(schema: T.StructType, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in by_bytes(whole, "html")):
-            read = [main_lines(html) for html in batch["html"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch[n] for n in kept),
-                    pa.array([lines for lines, _ in read], pa.list_(pa.string())),
-                    pa.array([unmarked for _, unmarked in read], pa.bool_()),
-                ],
-                names=schema.names,
-            )
+            lines = [main_lines(html)[0] for html in batch["html"].to_pylist()]
+            columns = [*(batch[n] for n in kept), pa.array(lines, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return run
 
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in by_bytes(whole, "html")):
-        hashes, use = [], []
+        hashes, marks = [], []
         for html in batch["html"].to_pylist():
-            lines, unmarked = main_lines(html)
-            use.append(unmarked and bool(lines))
-            hashes.append([xxhash.xxh64_intdigest(line.encode()) - (1 << 63) for line in lines] if unmarked else [])
-        columns = [batch["page"], batch["host"], batch["path"], pa.array(hashes, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["page", "host", "path", "lines"]).filter(pa.array(use, pa.bool_()))
+            lines, elements = page_lines(html)
+            hashes.append([xxhash.xxh64_intdigest(line.encode()) - (1 << 63) for line in lines])
+            marks.append(elements)
+        given = [batch["page"], batch["host"], batch["path"], pa.array(map(any, marks), pa.bool_())]
+        columns = [*given, pa.array(hashes, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int32()))]
+        use = pa.array(map(bool, hashes), pa.bool_())
+        yield pa.RecordBatch.from_arrays(columns, ["page", "host", "path", "marked", "lines", "elements"]).filter(use)
 
 
 def _agreement(a: str, b: str) -> int:
@@ -333,35 +356,41 @@ def _agreement(a: str, b: str) -> int:
     return count
 
 
+def _gone(row: dict) -> list[int]:
+    """Positions of a page's lines that its neighbours show to be template."""
+    if not row["host"]:
+        return []
+    near = []
+    for pair in ([row["before"], row["after"]], [row["before_2"], row["after_2"]]):
+        found = [n for n in pair if n is not None and n["host"] == row["host"] and n["marked"] == row["marked"]]
+        near += sorted(found, key=lambda n: -_agreement(n["path"], row["path"]))
+    others = [n["lines"] for n in near]
+    if row["marked"]:
+        return template_elements(row["lines"], row["elements"], others)
+    return template_lines(row["lines"], others)
+
+
 def _template_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page", pa.int64()), ("gone", pa.list_(pa.int32()))])
-    for batch in batches:
-        pages, gone = [], []
-        for row in batch.to_pylist():
-            sides = [row["before"], row["after"]], [row["before_2"], row["after_2"]]
-            near = []
-            for pair in sides:
-                found = [n for n in pair if n is not None and n["host"] == row["host"]]
-                near += sorted(found, key=lambda n: -_agreement(n["path"], row["path"]))
-            shared = template_lines(row["lines"], [n["lines"] for n in near]) if row["host"] else []
-            if shared:
-                pages.append(row["page"])
-                gone.append(shared)
-        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], schema=schema)
+    for whole in batches:
+        for at in range(0, whole.num_rows, PAIR_ROWS):
+            found = [(row["page"], _gone(row)) for row in whole.slice(at, PAIR_ROWS).to_pylist()]
+            pages, gone = [p for p, lines in found if lines], [lines for _, lines in found if lines]
+            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], schema=schema)
 
 
 def template_positions(pages: DataFrame) -> DataFrame:
-    """``page, gone``: positions of template lines, for pages (``page, url, html``) that mark no content."""
+    """``page, gone``: positions of template lines among the ``main_lines`` of pages (``page, url, html``)."""
     url = F.coalesce("url", F.lit(""))
     host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     path = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
     hashed = pages.select("page", host.alias("host"), path.alias("path"), "html").mapInArrow(
-        _hash_rows, "page bigint, host string, path string, lines array<bigint>"
+        _hash_rows, "page bigint, host string, path string, marked boolean, lines array<bigint>, elements array<int>"
     )
-    order = ["host", "path", "page"]
+    order = ["host", "marked", "path", "page"]
     ranged = hashed.distinct().repartitionByRange(*order).sortWithinPartitions(*order)
     sorted_pages = stored(ranged.withColumn("part", F.spark_partition_id()), "page-lines")
-    page = F.struct("host", "path", "lines")
+    page = F.struct("host", "marked", "path", "lines")
     in_part = Window.partitionBy("part").orderBy(*order)
     near = {"before": F.lag(page, 1), "before_2": F.lag(page, 2), "after": F.lead(page, 1), "after_2": F.lead(page, 2)}
     placed = (
@@ -369,12 +398,13 @@ def template_positions(pages: DataFrame) -> DataFrame:
         .withColumn("size", F.max("from_first").over(Window.partitionBy("part")))
         .where("from_first <= 2 OR from_first > size - 2")
     )
+    own = ["page", "host", "marked", "path", "lines", "elements"]
     # the two outer pages on either side of each part know their neighbours in other parts from each other
     everywhere = Window.orderBy(*order)
     outer = placed.select(F.col("page").alias("outer"), *[n.over(everywhere).alias(f"part_{c}") for c, n in near.items()])
-    within = sorted_pages.select("page", "host", "path", "lines", *[n.over(in_part).alias(c) for c, n in near.items()])
+    within = sorted_pages.select(*own, *[n.over(in_part).alias(c) for c, n in near.items()])
     paired = within.join(outer, within.page == outer.outer, "left").select(
-        "page", "host", "path", "lines", *[F.coalesce(c, f"part_{c}").alias(c) for c in near]
+        *own, *[F.coalesce(c, f"part_{c}").alias(c) for c in near]
     )
     return paired.mapInArrow(_template_rows, "page bigint, gone array<int>")
 
@@ -389,10 +419,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     )
     gone = stored(template_positions(keyed.select(F.col("page_key").alias("page"), "url", "html")), "page-templates")
     kept = [c for c in keyed.columns if c != "html"]
-    schema = T.StructType(
-        [keyed.schema[c] for c in kept]
-        + [T.StructField("page_lines", T.ArrayType(T.StringType())), T.StructField("page_unmarked", T.BooleanType())]
-    )
+    schema = T.StructType([keyed.schema[c] for c in kept]).add("page_lines", T.ArrayType(T.StringType()))
     read = keyed.mapInArrow(_line_rows(schema, kept), schema)
     joined = read.join(gone.withColumnRenamed("page", "page_key"), "page_key", "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("page_lines") - 1), F.col("gone"))

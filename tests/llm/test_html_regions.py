@@ -124,3 +124,23 @@ def test_differencing_against_sorted_pages(spark):
         want[number] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     assert {r.page_id: r.text for r in html.extract_text(pages).collect()} == want
     assert any(len(want[n].split("\n")) < len(lines) for n, _, _, lines in rows)
+
+
+def test_marked_pages_are_compared_too(spark):
+    """An article that the neighbours hold as well is template; an article's own lines stay, shared ones too."""
+    note = "<article><p>About us</p><p>Write to us</p></article>"
+    own = lambda k: f"<article><h1>Title {k}</h1><p>Same words</p><p>Text {k}</p><p>End {k}</p></article>"
+    rows = [(k, f"https://h.example/a/{k:02}", f"<p>Top</p><main><p>News</p>{own(k)}{note}</main>") for k in range(9)]
+    # one article that two pages list, and copies of one text
+    rows += [(20 + k, f"https://l.example/{k}", own(k) + own(k + 1)) for k in range(4)]
+    rows += [(30 + k, f"https://c.example/{k}", own(0) + f"<article>Beside {k}</article>") for k in range(4)]
+    # unmarked pages among marked ones of their host
+    rows += [(40 + k, f"https://m.example/{k}", f"<p>Top</p><p>Menu</p>{own(k) if k % 2 else f'<p>Line {k}</p>'}") for k in range(6)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in html.extract_text(pages).collect()}
+    text = lambda k: f"Title {k}\nSame words\nText {k}\nEnd {k}"
+    want = {k: text(k) for k in range(9)}
+    want |= {20 + k: f"{text(k)}\n{text(k + 1)}" for k in range(4)}
+    want |= {30 + k: f"{text(0)}\nBeside {k}" for k in range(4)}
+    want |= {40 + k: text(k) if k % 2 else f"Line {k}" for k in range(6)}
+    assert got == want
