@@ -6,7 +6,7 @@ the rows is folded before it is shuffled, and its result is unique on the key by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from marketgrain.operators.keys import checked_join, first_per_key, not_null
@@ -164,14 +164,36 @@ def items_per_order(order_items: DataFrame) -> DataFrame:
     return item_folds(order_items).groupBy("order_id").agg(*_counts())
 
 
+def _first_of(column: str) -> Column:
+    """1 on the first line of every known value of ``column`` inside its order, else null."""
+    before = F.lag(column).over(Window.partitionBy("order_id").orderBy(column))
+    return F.when(F.col(column).isNotNull() & ~before.eqNullSafe(F.col(column)), 1)
+
+
 def order_facts(order_items: DataFrame, products: DataFrame, sellers: DataFrame) -> DataFrame:
-    """``items_per_order`` and ``order_context`` in one row per order, from one fold of the items.
+    """``items_per_order`` and ``order_context`` in one row per order.
 
-    ``sellers`` may come without coordinates when the caller does not need them.
+    The items travel twice, as narrow rows: to their products and from there to their orders. Everything after that
+    happens where the order lies; only the row of an order goes on to the seller. ``sellers`` may come without
+    coordinates when the caller does not need them.
     """
-    folds = categorised_folds(order_items, products)
-    per_order = folds.groupBy("order_id").agg(*_counts(), _mean_weight(), F.min("best_line").alias("best_line"))
-    return _with_place(_with_best_line(folds, per_order), sellers)
+    narrow = not_null(order_items, "order_id").select(
+        "order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"
+    )
+    lines = categorised_items(narrow, products).repartition("order_id")
+    lines = lines.withColumns({"item_count": F.lit(1).cast("bigint"), "__product": _first_of("product_id")})
+    lines = lines.withColumn("__seller", _first_of("seller_id"))
+    per_order = lines.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("item_count"),
+        F.count("__product").alias("unique_product_count"),
+        F.count("__seller").alias("unique_seller_count"),
+        F.coalesce(F.sum("price"), F.lit(0)).cast("decimal(22,2)").alias("merchandise_revenue"),
+        F.coalesce(F.sum("freight_value"), F.lit(0)).cast("decimal(22,2)").alias("total_freight_value"),
+        _mean_weight(),
+        F.min(F.struct(_line_rank().alias("rank"), "product_id", "seller_id", "product_category")).alias("__best"),
+    )
+    best = [F.col(f"__best.{c}").alias(c) for c in ("seller_id", "product_category")]
+    return _with_place(per_order.select("*", *best).drop("__best"), sellers)
 
 
 def _sums(grouped: GroupedData, price: Column, freight: Column) -> DataFrame:
