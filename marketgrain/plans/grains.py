@@ -212,10 +212,13 @@ def order_sums(order_items: DataFrame) -> DataFrame:
 def payments_per_order(payments: DataFrame) -> DataFrame:
     """Totals per order and the type that carries the largest summed value (ties by name).
 
-    The order level reads the (order, type) level, so the type count is a plain count.
+    The order level reads the (order, type) level, so the type count is a plain count. The payments travel once, to
+    their orders: both levels are formed there.
     """
     per_type = (
         not_null(payments, "order_id")
+        .select("order_id", "payment_type", "payment_value", "payment_installments")
+        .repartition("order_id")
         .groupBy("order_id", "payment_type")
         .agg(
             F.coalesce(F.sum("payment_value"), F.lit(0)).cast("decimal(22,2)").alias("value"),

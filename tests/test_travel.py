@@ -42,3 +42,9 @@ def test_order_facts_equal_both_reductions(spark):
     got = grains.order_facts(items, products, sellers).select(*want.columns)
     assert got.schema == want.schema or got.dtypes == want.dtypes
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 80
+
+
+def test_payments_travel_once(spark):
+    payments = spark.createDataFrame([(1, "a", "2.00", 3)], "order_id long, payment_type string, payment_value string, payment_installments int")
+    per_order = grains.payments_per_order(payments.withColumn("payment_value", F.col("payment_value").cast("decimal(12,2)")))
+    assert plan_of(per_order).count("Exchange hashpartitioning(") == 1
