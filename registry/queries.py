@@ -643,7 +643,8 @@ def delivery_training_set(m):
 @named
 def imputed_features(m):
     """The delivery features as the models' scaling and encoding take them: medians, usual and shared levels."""
-    split = delivery.chronological_split(delivery.training_set(m.order_level))
+    # read for the boundary, the medians, the levels and the rows: written once, without the joins behind it
+    split = delivery.chronological_split(pin(delivery.training_set(m.order_level)))
     training = split.where(F.col("evaluation_split") == "Training")
     rows = prep.imputed(training, split, delivery.NUMERIC, delivery.CATEGORICAL)
     numbers = [F.col(f"{c}__number").alias(c) for c in delivery.NUMERIC]

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from marketgrain.plans import grains
+from registry.queries import QUERIES
 
 
 def plan_of(df):
@@ -48,3 +49,7 @@ def test_payments_travel_once(spark):
     payments = spark.createDataFrame([(1, "a", "2.00", 3)], "order_id long, payment_type string, payment_value string, payment_installments int")
     per_order = grains.payments_per_order(payments.withColumn("payment_value", F.col("payment_value").cast("decimal(12,2)")))
     assert plan_of(per_order).count("Exchange hashpartitioning(") == 1
+
+
+def test_imputed_features_read_the_joins_once(small):
+    assert "FileScan" not in plan_of(QUERIES["imputed_features"](small))
