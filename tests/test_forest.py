@@ -67,6 +67,15 @@ def test_a_small_forest_stays_one_model(estimator, rows):
     assert isinstance(one, RandomForestClassificationModel) and one.getNumTrees == TREES
 
 
+def test_the_order_table_is_read_once_for_training(small, monkeypatch):
+    """Both the boundary and the rows come from one stored copy."""
+    seen = []
+    monkeypatch.setattr(delivery, "chronological_split", lambda rows: seen.append(rows._jdf.queryExecution().executedPlan().toString()) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        delivery.train(small.order_level)
+    assert "FileScan" not in seen[0] and "Join" not in seen[0]
+
+
 def test_delivery_trains_with_a_forest_in_parts(small, monkeypatch):
     monkeypatch.setattr(forest, "NODES", 400)
     settings = delivery.Settings(forest_trees=8, forest_depth=5, iterations=20, candidates=(delivery.FOREST,))
