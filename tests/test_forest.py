@@ -84,3 +84,15 @@ def test_delivery_trains_with_a_forest_in_parts(small, monkeypatch):
     assert result.predictions.count() == result.predictions.select("order_id").distinct().count() == known.count()
     assert isinstance(result.model.stages[-1], forest.PartedForest) and result.importance.count() > 5
     assert result.predictions.where("late_delivery_probability NOT BETWEEN 0 AND 1 OR risk_category IS NULL").count() == 0
+
+
+def test_the_forest_does_not_depend_on_the_place_of_rows(planted_orders):
+    settings = delivery.Settings(forest_trees=4, forest_depth=4, candidates=(delivery.FOREST,))
+    found = [delivery.train(rows, settings).predictions.orderBy("order_id").toPandas() for rows in planted_orders]
+    assert len(found[0]) > 300 and (found[0].late_delivery_probability == found[1].late_delivery_probability).all()
+
+
+@pytest.fixture(scope="module")
+def planted_orders(small):
+    rows = pin(small.order_level.where("order_status = 'delivered' AND late_delivery IS NOT NULL"))
+    return rows.coalesce(1).orderBy("order_id"), rows.repartition(3, "customer_id").sortWithinPartitions(F.desc("order_id"))
